@@ -59,7 +59,7 @@ def interpolate(
         f: F.when(F.col(f).isNotNull() & ~F.isnan(f), F.struct(F.col(t).alias("t"), F.col(f).cast("double").alias("x")))
         for f in features
     }
-    df = df.withColumn("_bucket", spread.bucket_of(t, size))
+    df = df.withColumn("_bucket", spread.bucket_of(t, size)).repartition(*by, "_bucket")
     edges = df.groupBy(*by, "_bucket").agg(
         *[F.max(p).alias(f"_last_{f}") for f, p in known.items()],
         *[F.min(p).alias(f"_first_{f}") for f, p in known.items()],

@@ -16,35 +16,43 @@ from tidewatch.operators import panel, reconstruct, spread, windows
 TILE = 8
 
 
-def _tiles(features: Sequence[str]) -> list[tuple[int, int]]:
-    starts = range(0, len(features), TILE)
-    return [(i, j) for i in starts for j in starts]
-
-
 def _pair_rows(pairs: DataFrame, keys: Sequence[str], features: Sequence[str], make) -> DataFrame:
-    """Aggregate every ordered feature pair of array columns a and b, a tile of pairs per pass.
+    """Aggregate every ordered feature pair of array columns a and b in one pass.
 
-    ``make(x, y)`` gives the named aggregates of one pair. The result has one row per key and pair.
+    ``make(x, y)`` gives the named aggregates of one pair. Rows are repeated once per tile of
+    TILE x TILE pairs, not once per pair; only the sums of a tile are shuffled.
     """
-    n, out = len(features), None
-    for i0, j0 in _tiles(features):
-        cells = {}
-        for i in range(i0, min(i0 + TILE, n)):
-            for j in range(j0, min(j0 + TILE, n)):
-                cells[(i, j)] = make(F.col("a")[i], F.col("b")[j])
-        aggs = [c.alias(f"_{name}_{i}_{j}") for (i, j), named in cells.items() for name, c in named.items()]
-        wide = pairs.groupBy(*keys).agg(*aggs)
-        rows = [
-            F.struct(
-                F.lit(features[i]).alias("feature_i"),
-                F.lit(features[j]).alias("feature_j"),
-                *[F.col(f"_{name}_{i}_{j}").alias(name) for name in named],
-            )
-            for (i, j), named in cells.items()
-        ]
-        part = wide.select(*keys, F.inline(F.array(*rows)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    features = list(features)
+    starts = range(0, len(features), TILE)
+    tiles = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            F.slice("a", i + 1, TILE).alias("a"),
+            F.slice("b", j + 1, TILE).alias("b"),
+        )
+        for i in starts
+        for j in starts
+    ]
+    width = min(TILE, len(features))
+    cut = pairs.select(*keys, F.inline(F.array(*tiles)))
+    cells = {
+        (i, j): make(F.get(F.col("a"), F.lit(i)), F.get(F.col("b"), F.lit(j)))
+        for i in range(width)
+        for j in range(width)
+    }
+    aggs = [c.alias(f"_{name}_{i}_{j}") for (i, j), named in cells.items() for name, c in named.items()]
+    names = F.array(*[F.lit(f) for f in features])
+    rows = [
+        F.struct(
+            F.get(names, F.col("i") + i).alias("feature_i"),
+            F.get(names, F.col("j") + j).alias("feature_j"),
+            *[F.col(f"_{name}_{i}_{j}").alias(name) for name in named],
+        )
+        for (i, j), named in cells.items()
+    ]
+    wide = cut.groupBy(*keys, "i", "j").agg(*aggs)
+    return wide.select(*keys, F.inline(F.array(*rows))).where("feature_i IS NOT NULL AND feature_j IS NOT NULL")
 
 
 def _ahead(df: DataFrame, by: Sequence[str], columns: Sequence[str], lags: int, size: int | None) -> DataFrame:
@@ -83,6 +91,7 @@ def lagged_spearman(
     """
     by = list(by)
     steps = windows.diff(df.select(*by, "t", *features), by, features, size=size).withColumn("t", F.col("t") - 1)
+    steps = spread.durable(steps)
     long = panel.to_long(steps, [*by, "t"], features)
     ranked = windows.average_rank(long, [*by, "feature"], "x", "r", limit)
 
@@ -169,6 +178,7 @@ def cluster_redundant(
     One task per series gets one features x features matrix, never its rows.
     """
     by, features = list(by), list(features)
+    sim = spread.durable(sim)
     place = {f: i for i, f in enumerate(features)}
     n = len(features)
 
@@ -184,7 +194,7 @@ def cluster_redundant(
         return out[[*by, "feature", "cluster"]]
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sim.schema if f.name in by)
-    members = sim.groupBy(*by).applyInPandas(assign, f"{types}, feature string, cluster int")
+    members = spread.durable(sim.groupBy(*by).applyInPandas(assign, f"{types}, feature string, cluster int"))
     return medoids(members, sim, by, features)
 
 
@@ -340,9 +350,11 @@ def assign_groups(
         "_high", F.col("importance") >= F.round(F.col("q")[0], 9)
     )
     order = Window.partitionBy(*by, "_high").orderBy(F.desc("importance"), "cluster")
-    judged = judged.withColumn("_place", F.row_number().over(order) - 1)
-    counts = judged.groupBy(*by).agg(F.count_if("_high").cast("int").alias("_n_high"))
-    placed = judged.join(counts, by).select(
+    whole = Window.partitionBy(*by)
+    judged = judged.withColumns(
+        {"_place": F.row_number().over(order) - 1, "_n_high": F.count_if("_high").over(whole)}
+    )
+    placed = judged.select(
         *by,
         "cluster",
         F.when(F.col("_high"), F.col("_place")).otherwise(F.col("_n_high")).cast("int").alias("grp"),

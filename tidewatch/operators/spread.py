@@ -12,6 +12,7 @@ Three tools:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write df to reliable storage and read it from there on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written to the shared folder: computed once, safe against lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/tidewatch/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
@@ -164,10 +166,13 @@ def bucket_running(
     t: str = "t",
     size: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums / maxima along t, one bucket per task."""
+    """Inclusive running sums / maxima along t, one bucket per task.
+
+    The rows are shuffled once; bucket totals and rows come from the same exchange.
+    """
     by = list(by)
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    df = df.withColumn("_bucket", bucket_of(t, size))
+    df = df.withColumn("_bucket", bucket_of(t, size)).repartition(*by, "_bucket")
     per_bucket = df.groupBy(*by, "_bucket").agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in maxima.items()]
     )

@@ -195,20 +195,20 @@ def _(spark, folder):
     )
 
 
-@query("fit_threshold", sql("e1 s1 fl", "SELECT series_id, round(threshold, 6) AS threshold FROM th"))
+@query("fit_threshold", sql("e1 s1 fl", "SELECT series_id, round(threshold, 9) AS threshold FROM th"))
 def _(spark, folder):
     cut = scoring.fit_threshold(
         tables.window_scores(spark, folder), BY, 95.0, bound_by=tables.series_sizes(spark, folder)
     )
-    return rounded(cut, ["threshold"])
+    return rounded(cut, ["threshold"], 9)
 
 
 @query(
     "flag_scores",
-    sql("e1 s1 fl", "SELECT series_id, w, t_end, score, round(threshold, 6) AS threshold, pred FROM fl"),
+    sql("e1 s1 fl", "SELECT series_id, w, t_end, score, round(threshold, 9) AS threshold, pred FROM fl"),
 )
 def _(spark, folder):
-    return rounded(tables.window_flags(spark, folder), ["threshold"])
+    return rounded(tables.window_flags(spark, folder), ["threshold"], 9)
 
 
 # ---- label alignment ------------------------------------------------------------------
@@ -339,13 +339,13 @@ def _(spark, folder):
     sql(
         "e1 s1 fl tr",
         """SELECT series_id, min(score) AS score_min, max(score) AS score_max, round(avg(score), 4) AS score_mean,
-        round(stddev_pop(score), 4) AS score_std, round(max(threshold), 6) AS threshold, CAST(sum(pred) AS BIGINT) AS n_flagged,
+        round(stddev_pop(score), 4) AS score_std, round(max(threshold), 9) AS threshold, CAST(sum(pred) AS BIGINT) AS n_flagged,
         round(avg(y) * 100, 6) AS true_rate_pct FROM tr GROUP BY 1""",
     ),
 )
 def _(spark, folder):
     diag = evaluate.score_diagnostics(tables.window_truth(spark, folder), BY)
-    return rounded(rounded(diag, ["score_mean", "score_std"], 4), ["threshold", "true_rate_pct"])
+    return rounded(rounded(rounded(diag, ["score_mean", "score_std"], 4), ["threshold"], 9), ["true_rate_pct"])
 
 
 @query("agg_confusion", sql("e1 s1 fl tr", CONFUSION + " SELECT * FROM cf"))
@@ -499,10 +499,10 @@ def sweep(spark, folder):
 
 @query(
     "agg_threshold_sweep",
-    sql("e1 s1 fl tr", SWEEP + f" SELECT series_id, CAST(pct AS INTEGER) AS pct, round(threshold, 6) AS threshold, n_detected, tp, fp, fn, {PRF} FROM ff"),
+    sql("e1 s1 fl tr", SWEEP + f" SELECT series_id, CAST(pct AS INTEGER) AS pct, round(threshold, 9) AS threshold, n_detected, tp, fp, fn, {PRF} FROM ff"),
 )
 def _(spark, folder):
-    return rounded(sweep(spark, folder), ["threshold", "precision", "recall", "f1"])
+    return rounded(rounded(sweep(spark, folder), ["threshold"], 9), ["precision", "recall", "f1"])
 
 
 @query(
@@ -558,10 +558,10 @@ def node_scores(spark, folder):
     return rounded(scoring.node_errors(node_cells(spark, folder), ["series_id", "t", "node"]), ["score"])
 
 
-@query("score_nodes_sum", sql("nl", NODE_ERR + " SELECT series_id, t, round(sum(score), 4) AS score_sum FROM ns GROUP BY 1, 2"))
+@query("score_nodes_sum", sql("nl", NODE_ERR + " SELECT series_id, t, round(sum(score), 6) AS score_sum FROM ns GROUP BY 1, 2"))
 def _(spark, folder):
     both = scoring.node_sum_max(node_scores(spark, folder), ["series_id", "t"])
-    return rounded(both.drop("score_max"), ["score_sum"], 4)
+    return rounded(both.drop("score_max"), ["score_sum"])
 
 
 @query("score_nodes_max", sql("nl", NODE_ERR + " SELECT series_id, t, max(score) AS score_max FROM ns GROUP BY 1, 2"))
@@ -619,9 +619,9 @@ def _(spark, folder):
     sql(
         "e1",
         STEP_ERRORS + """, lq AS (SELECT series_id, quantile_cont(score, 0.95) AS threshold FROM lt GROUP BY 1)
-        SELECT series_id, node, p, t, score, round(threshold, 6) AS threshold, CAST(score > round(threshold, 9) AS INTEGER) AS pred,
+        SELECT series_id, node, p, t, score, round(threshold, 9) AS threshold, CAST(score > round(threshold, 9) AS INTEGER) AS pred,
         CAST(row_number() OVER (PARTITION BY series_id, p ORDER BY score DESC, node) AS INTEGER) AS rank FROM lt JOIN lq USING (series_id)""",
     ),
 )
 def _(spark, folder):
-    return rounded(scoring.interpret_nodes(step_scores(spark, folder), BY, SHORT, LENGTH), ["threshold"])
+    return rounded(scoring.interpret_nodes(step_scores(spark, folder), BY, SHORT, LENGTH), ["threshold"], 9)

@@ -50,6 +50,11 @@ def full_day_panel(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select("series_id", "t", *[F.round(F.coalesce(k, F.lit(0.0)), 6).alias(k) for k in KINDS])
 
 
+def stored_day_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The filled day panel written once, for plans that read it several times."""
+    return spread.durable(full_day_panel(spark, folder))
+
+
 def vector_panel(spark: SparkSession, folder: str) -> DataFrame:
     """One series per label, one step per vector, 64 features."""
     vectors = table(spark, folder, "embeddings")
