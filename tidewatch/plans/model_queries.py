@@ -493,7 +493,7 @@ def _(spark, folder):
 
 
 TRIALS = """ti AS (SELECT o_orderpriority AS study, o_orderkey AS trial, CASE o_orderstatus WHEN 'F' THEN 'COMPLETE' WHEN 'P' THEN 'PRUNED' ELSE 'FAIL' END AS state,
-  round(o_totalprice / 1000000, 6) AS value, CASE WHEN o_custkey % 2 = 0 THEN round(o_custkey / 1000, 6) END AS kl FROM orders)"""
+  o_totalprice / 1000000 AS value, CASE WHEN o_custkey % 2 = 0 THEN round(o_custkey / 1000, 6) END AS kl FROM orders)"""
 
 
 def trials(spark, folder):
@@ -503,7 +503,7 @@ def trials(spark, folder):
         F.col("o_orderpriority").alias("study"),
         F.col("o_orderkey").alias("trial"),
         state.alias("state"),
-        F.round(F.col("o_totalprice") / 1000000, 6).alias("value"),
+        (F.col("o_totalprice") / 1000000).alias("value"),
         F.when(F.col("o_custkey") % 2 == 0, weight).otherwise(F.create_map().cast("map<string,double>")).alias("params"),
     )
 
@@ -512,11 +512,11 @@ def trials(spark, folder):
     "agg_trial_stats",
     f"""WITH {TRIALS} SELECT study, count(*) AS n_trials, count(*) FILTER (state = 'COMPLETE') AS n_completed, count(*) FILTER (state = 'PRUNED') AS n_pruned,
     max(value) FILTER (state = 'COMPLETE') AS best, round(avg(value) FILTER (state = 'COMPLETE'), 6) AS mean,
-    round(stddev_pop(value) FILTER (state = 'COMPLETE'), 6) AS std, round(quantile_cont(value, 0.5) FILTER (state = 'COMPLETE'), 7) AS median FROM ti GROUP BY 1""",
+    round(stddev_pop(value) FILTER (state = 'COMPLETE'), 6) AS std, round(quantile_cont(value, 0.5) FILTER (state = 'COMPLETE'), 9) AS median FROM ti GROUP BY 1""",
 )
 def _(spark, folder):
     out = compare.trial_stats(trials(spark, folder))
-    return rounded(rounded(out, ["mean", "std"]), ["median"], 7)
+    return rounded(rounded(out, ["mean", "std"]), ["median"], 9)
 
 
 @query(

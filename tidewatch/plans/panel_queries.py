@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
-from tidewatch.operators import panel, prepare, spread, windows
+from tidewatch.operators import panel, prepare, select, spread, windows
 from tidewatch.plans import tables
 from tidewatch.plans.registry import query
 from tidewatch.plans.tables import BY, KINDS, LENGTH, SHORT, WIDTH, sql, table
@@ -537,15 +537,11 @@ def _(spark, folder):
     sql(
         "d3",
         "lg AS ("
-        + " UNION ALL ".join(f"SELECT series_id, t, '{k}' AS f, {k} AS x FROM d3" for k in KINDS)
-        + """) SELECT a.series_id, a.f AS feature_i, b.f AS feature_j, count(*) AS n, round(sum(a.x * b.x), 4) AS dot
+        + " UNION ALL ".join(f"SELECT series_id, t, '{k}' AS f, floor({k}) AS x FROM d3" for k in KINDS)
+        + """) SELECT a.series_id, a.f AS feature_i, b.f AS feature_j, count(*) AS n, sum(a.x * b.x) AS dot
         FROM lg a JOIN lg b ON b.series_id = a.series_id AND b.t = a.t + 2 AND a.f < b.f GROUP BY 1, 2, 3""",
     ),
 )
 def _(spark, folder):
-    from tidewatch.operators import select
-
-    pairs = select.lagged_products(tables.full_day_panel(spark, folder), BY, KINDS, 2)
-    return pairs.where("feature_i < feature_j").select(
-        "series_id", "feature_i", "feature_j", "n", F.round("dot", 4).alias("dot")
-    )
+    whole = tables.full_day_panel(spark, folder).withColumns({k: F.floor(k).cast("double") for k in KINDS})
+    return select.lagged_products(whole, BY, KINDS, 2).where("feature_i < feature_j")
