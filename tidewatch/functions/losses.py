@@ -58,3 +58,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 def f_score(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation, null when a side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread != 0, F.covar_pop(x, y) / spread)

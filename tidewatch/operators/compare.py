@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions import losses
 from tidewatch.operators import panel, spread
 
 
@@ -73,7 +74,7 @@ def param_correlation(trials: DataFrame, param: str = "kl_weight", default: floa
     """Per study: correlation of a parameter with the value over completed trials."""
     x = F.coalesce(F.try_element_at("params", F.lit(param)), F.lit(default))
     done = trials.where(F.col("state") == "COMPLETE")
-    return done.groupBy("study").agg(F.corr(x, F.col("value")).alias("corr"))
+    return done.groupBy("study").agg(losses.correlation(x, F.col("value")).alias("corr"))
 
 
 def best_trial(trials: DataFrame, direction: str = "maximize") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions import losses
 from tidewatch.operators import panel, reconstruct, spread, windows
 
 # Features per side of one block of pairwise aggregates.
@@ -141,8 +142,8 @@ def lagged_spearman(
         corrected(F.col("r"), F.col("x"), F.col("tail")).alias("a"),
         corrected(F.col("other")["r"], F.col("other")["x"], F.col("head")).alias("b"),
     )
-    rho = _pair_rows(pairs, [*by, "tau"], features, lambda x, y: {"rho": F.corr(x, y)})
-    strength = F.abs(F.coalesce(F.when(~F.isnan("rho"), F.col("rho")), F.lit(0.0)))
+    rho = _pair_rows(pairs, [*by, "tau"], features, lambda x, y: {"rho": losses.correlation(x, y)})
+    strength = F.abs(F.coalesce("rho", F.lit(0.0)))
     if decay:
         strength = strength * F.exp(-F.col("tau") / F.lit(float(decay)))
     both = rho.where("feature_i <> feature_j").select(*by, "feature_i", "feature_j", strength.alias("_s"))
@@ -182,7 +183,7 @@ def cluster_redundant(
     place = {f: i for i, f in enumerate(features)}
     n = len(features)
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((n, n))
         m[pdf["feature_i"].map(place), pdf["feature_j"].map(place)] = pdf["sim"]
         dist = np.clip(1.0 - m, 0.0, 1.0)

@@ -28,6 +28,10 @@ LOOKUP_LIMIT = 500_000
 # Copies of the small side when it is too large to broadcast.
 SALTS = 32
 
+# Largest group per frame and keys already counted. It picks the route only: both give the
+# same rows, so that an outdated count costs time at worst.
+_largest: dict[tuple, int] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees; a temporary one only where none is configured."""
@@ -52,10 +56,13 @@ def durable(df: DataFrame) -> DataFrame:
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
     """Whether some group of ``by`` has more rows than one task should order."""
     limit = GROUP_LIMIT if limit is None else limit
-    if not by:
-        return df.count() > limit
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > limit
+    asked = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by))
+    if asked not in _largest:
+        if by:
+            _largest[asked] = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        else:
+            _largest[asked] = df.count()
+    return _largest[asked] > limit
 
 
 def running_totals(
@@ -197,14 +204,15 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows with fitted per-series values: broadcast after counting, else salted.
 
-    ``how`` is inner, left, left_semi or left_anti.
+    The fitted side is stored once, so that counting it does not compute it twice. ``how`` is
+    inner, left, left_semi or left_anti.
     """
     limit = LOOKUP_LIMIT if limit is None else limit
     on = list(on)
     if not on:
         df, small, on = df.withColumn("_one", F.lit(1)), small.withColumn("_one", F.lit(1)), ["_one"]
-    small = small.persist()
-    if small.limit(limit + 1).count() <= limit:
+    small = durable(small)
+    if small.count() <= limit:
         out = df.join(F.broadcast(small), on, how)
     else:
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")

@@ -69,7 +69,7 @@ def matrix(spark: SparkSession, path: str, folders: bool = False, features: Sequ
     placed = with_place(spark.read.option("recursiveFileLookup", "true").text(path))
     placed = placed.withColumn("series_id", entity_name(F.col("_file"), folders)).where("trim(value) <> ''")
     rows = file_order(placed, ["series_id"])
-    values = F.transform(F.split("value", ","), lambda c: F.trim(c).cast("double"))
+    values = F.transform(F.split("value", ","), lambda c: F.nullif(F.trim(c), F.lit("")).cast("double"))
     if features is None:
         return rows.select("series_id", "t", values.alias("values"))
     return rows.select("series_id", "t", *[F.get(values, F.lit(i)).alias(f) for i, f in enumerate(features)])
