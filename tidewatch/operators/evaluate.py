@@ -125,8 +125,7 @@ def point_adjust(
     flagged window); fp counts covered positions outside segments.
     """
     by = list(by)
-    covered = windows.covered_flags(labels.select(*by, "t", y), flagged, by, length, size=size)
-    numbered = windows.number_segments(covered, by, y, size=size)
+    numbered = windows.covered_segments(labels, flagged, by, length, y, size)
     segment = F.when(F.col(y) == 1, F.col("seg_id"))
     per_segment = numbered.groupBy(*by, segment.alias("_seg")).agg(
         F.max("hit").alias("_hit"), F.sum("hit").alias("_points")

@@ -13,11 +13,18 @@ from tidewatch.operators import spread, windows
 
 
 def window_mean_error(
-    df: DataFrame, by: Sequence[str], features: Sequence[str], length: int, t: str = "t", size: int | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    features: Sequence[str],
+    length: int,
+    t: str = "t",
+    size: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Mean squared error of reconstructing each window by its own mean: (by, w, t_end, score).
 
     The error of a feature is the population variance of the frame, so no window array is built.
+    ``carry`` names columns of the window's last row to keep, such as its label.
     """
 
     def build(w):
@@ -28,9 +35,10 @@ def window_mean_error(
             total = total + e
         return {"score": total / F.lit(float(len(features))), "_len": F.count(F.lit(1)).over(frame)}
 
-    out = spread.windowed(df.select(*by, t, *features), by, length - 1, 0, build=build, t=t, size=size)
+    kept = list(dict.fromkeys([*features, *carry]))
+    out = spread.windowed(df.select(*by, t, *kept), by, length - 1, 0, build=build, t=t, size=size)
     return out.where(F.col("_len") == length).select(
-        *by, (F.col(t) - (length - 1)).alias("w"), F.col(t).alias("t_end"), "score"
+        *by, (F.col(t) - (length - 1)).alias("w"), F.col(t).alias("t_end"), "score", *carry
     )
 
 

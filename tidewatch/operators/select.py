@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.functions import losses
 from tidewatch.operators import panel, reconstruct, spread, windows
 
 # Features per side of one block of pairwise aggregates.
 TILE = 8
 
 
-def _pair_rows(pairs: DataFrame, keys: Sequence[str], features: Sequence[str], make) -> DataFrame:
-    """Aggregate every ordered feature pair of array columns a and b in one pass.
+def _pair_sums(pairs: DataFrame, keys: Sequence[str], features: Sequence[str], counted: bool = False) -> DataFrame:
+    """Sums over the rows of array columns a and b for every ordered feature pair, in one pass.
 
-    ``make(x, y)`` gives the named aggregates of one pair. Rows are repeated once per tile of
-    TILE x TILE pairs, not once per pair; only the sums of a tile are shuffled.
+    (keys, feature_i, feature_j, dot = sum a_i b_j, aa = sum a_i^2, bb = sum b_j^2, and n when
+    ``counted``). Rows are repeated once per tile of TILE x TILE pairs, not once per pair; only
+    the sums of a tile are shuffled.
     """
     features = list(features)
     starts = range(0, len(features), TILE)
@@ -35,24 +35,34 @@ def _pair_rows(pairs: DataFrame, keys: Sequence[str], features: Sequence[str], m
         for i in starts
         for j in starts
     ]
-    width = min(TILE, len(features))
+    side = range(min(TILE, len(features)))
     cut = pairs.select(*keys, F.inline(F.array(*tiles)))
-    cells = {
-        (i, j): make(F.get(F.col("a"), F.lit(i)), F.get(F.col("b"), F.lit(j)))
-        for i in range(width)
-        for j in range(width)
-    }
-    aggs = [c.alias(f"_{name}_{i}_{j}") for (i, j), named in cells.items() for name, c in named.items()]
+    cut = cut.select(
+        *keys,
+        "i",
+        "j",
+        *[F.get(F.col("a"), F.lit(i)).alias(f"a{i}") for i in side],
+        *[F.get(F.col("b"), F.lit(j)).alias(f"b{j}") for j in side],
+    )
+    dots = {(i, j): F.col(f"a{i}") * F.col(f"b{j}") for i in side for j in side}
+    wide = cut.groupBy(*keys, "i", "j").agg(
+        *[F.sum(x).alias(f"dot_{i}_{j}") for (i, j), x in dots.items()],
+        *[F.sum(F.col(f"a{i}") * F.col(f"a{i}")).alias(f"aa_{i}") for i in side],
+        *[F.sum(F.col(f"b{j}") * F.col(f"b{j}")).alias(f"bb_{j}") for j in side],
+        *([F.count(x).alias(f"n_{i}_{j}") for (i, j), x in dots.items()] if counted else []),
+    )
     names = F.array(*[F.lit(f) for f in features])
     rows = [
         F.struct(
             F.get(names, F.col("i") + i).alias("feature_i"),
             F.get(names, F.col("j") + j).alias("feature_j"),
-            *[F.col(f"_{name}_{i}_{j}").alias(name) for name in named],
+            F.col(f"dot_{i}_{j}").alias("dot"),
+            F.col(f"aa_{i}").alias("aa"),
+            F.col(f"bb_{j}").alias("bb"),
+            *([F.col(f"n_{i}_{j}").alias("n")] if counted else []),
         )
-        for (i, j), named in cells.items()
+        for i, j in dots
     ]
-    wide = cut.groupBy(*keys, "i", "j").agg(*aggs)
     return wide.select(*keys, F.inline(F.array(*rows))).where("feature_i IS NOT NULL AND feature_j IS NOT NULL")
 
 
@@ -72,7 +82,8 @@ def lagged_products(
     pairs = near.where(F.size("_near") == tau + 1).select(
         *by, F.col("values").alias("a"), F.col("_near")[tau]["values"].alias("b")
     )
-    return _pair_rows(pairs, by, features, lambda x, y: {"n": F.count(x * y), "dot": F.sum(x * y)})
+    sums = _pair_sums(pairs, by, features, counted=True)
+    return sums.select(*by, "feature_i", "feature_j", "n", "dot")
 
 
 def lagged_spearman(
@@ -94,7 +105,8 @@ def lagged_spearman(
     steps = windows.diff(df.select(*by, "t", *features), by, features, size=size).withColumn("t", F.col("t") - 1)
     steps = spread.durable(steps)
     long = panel.to_long(steps, [*by, "t"], features)
-    ranked = windows.average_rank(long, [*by, "feature"], "x", "r", limit)
+    per_feature = steps.select(*by, F.lit("any").alias("feature"))
+    ranked = windows.average_rank(long, [*by, "feature"], "x", "r", limit, per_feature)
 
     sizes = steps.groupBy(*by).agg((F.max("t") + 1).alias("n"))
     ends = spread.lookup_join(steps, sizes, by)
@@ -122,12 +134,13 @@ def lagged_spearman(
     ).where(F.col("tau") <= F.least(F.lit(max_lag), F.floor(F.col("n") / 2)))
 
     def corrected(ranks, values, dropped):
-        """Ranks among the rows left after dropping the first tau rows of ``dropped``."""
+        """Ranks, less their mean, among the rows left after dropping tau rows of ``dropped``."""
         gone = F.slice(dropped, 1, F.col("tau"))
+        middle = (F.col("n") - F.col("tau") + 1) / 2
 
         def one(rank, i):
             v = F.get(values, i)
-            return rank - F.aggregate(
+            return rank - middle - F.aggregate(
                 gone,
                 F.lit(0.0),
                 lambda acc, d: acc
@@ -142,8 +155,9 @@ def lagged_spearman(
         corrected(F.col("r"), F.col("x"), F.col("tail")).alias("a"),
         corrected(F.col("other")["r"], F.col("other")["x"], F.col("head")).alias("b"),
     )
-    rho = _pair_rows(pairs, [*by, "tau"], features, lambda x, y: {"rho": losses.correlation(x, y)})
-    strength = F.abs(F.coalesce("rho", F.lit(0.0)))
+    rho = _pair_sums(pairs, [*by, "tau"], features)
+    varied = (F.col("aa") > 0) & (F.col("bb") > 0)
+    strength = F.when(varied, F.abs(F.col("dot")) / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
     if decay:
         strength = strength * F.exp(-F.col("tau") / F.lit(float(decay)))
     both = rho.where("feature_i <> feature_j").select(*by, "feature_i", "feature_j", strength.alias("_s"))

@@ -112,19 +112,16 @@ def lattice(df: DataFrame, by: Sequence[str], score: str, delay: int, length: in
     return out.select(*by, "p", (F.col("p") + length - delay).alias("t"), "score")
 
 
+def run_start(y: str, w) -> Column:
+    """1 on the first row of a run of ones, over a bucket window."""
+    return ((F.col(y) == 1) & (F.coalesce(F.lag(y).over(w), F.lit(0)) != 1)).cast("int")
+
+
 def number_segments(
     df: DataFrame, by: Sequence[str], y: str = "y", t: str = "t", size: int | None = None
 ) -> DataFrame:
     """Add seg_id: the number of runs of ones that have started up to this row."""
-    starts = spread.windowed(
-        df,
-        by,
-        1,
-        0,
-        build=lambda w: {"_start": ((F.col(y) == 1) & (F.coalesce(F.lag(y).over(w), F.lit(0)) != 1)).cast("int")},
-        t=t,
-        size=size,
-    )
+    starts = spread.windowed(df, by, 1, 0, build=lambda w: {"_start": run_start(y, w)}, t=t, size=size)
     return spread.bucket_running(starts, by, {"seg_id": F.col("_start")}, t=t, size=size).drop("_start")
 
 
@@ -177,17 +174,24 @@ def window_cover(flagged: DataFrame, lengths: DataFrame, by: Sequence[str], leng
     )
 
 
-def covered_flags(
-    labels: DataFrame, flagged: DataFrame, by: Sequence[str], length: int, t: str = "t", size: int | None = None
+def covered_segments(
+    labels: DataFrame, flagged: DataFrame, by: Sequence[str], length: int, y: str = "y", size: int | None = None
 ) -> DataFrame:
-    """Label rows with ``hit``: whether a flagged window covers the row.
+    """Label rows with ``hit`` (a flagged window covers the row) and ``seg_id``.
 
-    A rolling maximum over the flags; nothing is multiplied by the window length.
+    The cover is a rolling maximum over the flags: nothing is multiplied by the window length,
+    and the starts of the labelled runs come from the same pass.
     """
-    marks = flagged.select(*by, F.col("w").alias(t), F.lit(1).alias("_f")).distinct()
-    base = labels.join(marks, [*by, t], "left")
-    build = lambda w: {"hit": F.coalesce(F.max("_f").over(w.rowsBetween(-(length - 1), 0)), F.lit(0))}
-    return spread.windowed(base, by, length - 1, 0, build=build, t=t, size=size).drop("_f")
+    by = list(by)
+    marks = flagged.select(*by, F.col("w").alias("t"), F.lit(1).alias("_f")).distinct()
+    base = labels.select(*by, "t", y).join(marks, [*by, "t"], "left")
+
+    def build(w):
+        covering = F.max("_f").over(w.rowsBetween(-(length - 1), 0))
+        return {"hit": F.coalesce(covering, F.lit(0)), "_start": run_start(y, w)}
+
+    marked = spread.windowed(base, by, length, 0, build=build, size=size).drop("_f")
+    return spread.bucket_running(marked, by, {"seg_id": F.col("_start")}, size=size).drop("_start")
 
 
 def pad_labels(labels: DataFrame, lengths: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
@@ -217,10 +221,18 @@ def align_any(cells: DataFrame, labels: DataFrame, by: Sequence[str], y: str = "
 
 
 def average_rank(
-    df: DataFrame, by: Sequence[str], value: str, name: str = "rank", limit: int | None = None
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    name: str = "rank",
+    limit: int | None = None,
+    bound_by: DataFrame | None = None,
 ) -> DataFrame:
     """Ranks from 1 with ties averaged, per group."""
     by = list(by)
+    if not spread.has_hot_group(df if bound_by is None else bound_by, by, limit):
+        order, ties = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
+        return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     upto = spread.running_totals(counts, by, [F.col(value)], {"_upto": F.col("_n")}, limit)
     ranked = upto.withColumn(name, F.col("_upto") - (F.col("_n") - 1) / 2).drop("_n", "_upto")

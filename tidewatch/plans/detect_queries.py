@@ -151,9 +151,9 @@ def group_sizes(spark, folder):
     return tables.series_sizes(spark, folder).withColumn("grp", F.lit(0))
 
 
-def baseline_ecdf(spark, folder):
-    train = tables.group_window_losses(spark, folder).where("split = 'train'")
-    return scoring.fit_ecdf(train, ["series_id", "grp"], bound_by=group_sizes(spark, folder))
+def baseline_ecdf(spark, folder, losses_of):
+    train = losses_of.where("split = 'train'")
+    return spread.durable(scoring.fit_ecdf(train, ["series_id", "grp"], bound_by=group_sizes(spark, folder)))
 
 
 @query(
@@ -161,7 +161,9 @@ def baseline_ecdf(spark, folder):
     sql("gl ec", "SELECT series_id, grp, loss, n, CAST(sum(n) OVER (PARTITION BY series_id, grp ORDER BY loss) AS BIGINT) AS cum FROM ec"),
 )
 def _(spark, folder):
-    return scoring.cumulative(baseline_ecdf(spark, folder), ["series_id", "grp"])
+    return scoring.cumulative(
+        baseline_ecdf(spark, folder, tables.group_window_losses(spark, folder)), ["series_id", "grp"]
+    )
 
 
 BELOW = """bl AS (SELECT g.series_id, g.w, g.grp, g.loss, CAST(coalesce(sum(e.n) FILTER (e.loss <= g.loss), 0) AS BIGINT) AS below,
@@ -170,8 +172,8 @@ BELOW = """bl AS (SELECT g.series_id, g.w, g.grp, g.loss, CAST(coalesce(sum(e.n)
 
 @query("join_ecdf_asof", sql("gl ec", BELOW + " SELECT * FROM bl"))
 def _(spark, folder):
-    val = tables.group_window_losses(spark, folder).where("split = 'val'")
-    ecdf = baseline_ecdf(spark, folder)
+    losses_of = tables.group_window_losses(spark, folder)
+    val, ecdf = losses_of.where("split = 'val'"), baseline_ecdf(spark, folder, losses_of)
     return scoring.count_below(val, ecdf, ["series_id", "grp"], ["w"], bound_by=group_sizes(spark, folder)).select(
         "series_id", "w", "grp", "loss", "below", "n_base"
     )
@@ -186,8 +188,8 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    val = tables.group_window_losses(spark, folder).where("split = 'val'")
-    ecdf, sizes = baseline_ecdf(spark, folder), group_sizes(spark, folder)
+    losses_of, sizes = tables.group_window_losses(spark, folder), group_sizes(spark, folder)
+    val, ecdf = losses_of.where("split = 'val'"), baseline_ecdf(spark, folder, losses_of)
     below = scoring.count_below(val, ecdf, ["series_id", "grp"], ["w"], bound_by=sizes)
     tail = losses.tail_score(F.col("below"), F.col("n_base"))
     return below.groupBy("series_id", "w").agg(
@@ -216,7 +218,8 @@ def _(spark, folder):
 
 @query("align_labels_end", sql("e1 s1 fl tr", "SELECT series_id, w, pred, y FROM tr"))
 def _(spark, folder):
-    return tables.window_truth(spark, folder).select("series_id", "w", "pred", "y")
+    flags = tables.window_flags(spark, folder).select("series_id", "w", "pred")
+    return windows.align_end(flags, tables.event_panel(spark, folder), BY, LENGTH)
 
 
 @query(
@@ -393,7 +396,7 @@ PER_SERIES = AUC.format(by="series_id,", src="tr", part="PARTITION BY series_id"
 
 def ranks(spark, folder, by):
     bound = tables.series_sizes(spark, folder)
-    return evaluate.ranking_metrics(tables.window_truth(spark, folder), by, bound_by=bound)
+    return evaluate.ranking_metrics(tables.window_scores(spark, folder, ("y",)), by, bound_by=bound)
 
 
 @query(
@@ -447,7 +450,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    return rounded(evaluate.score_separation(tables.window_truth(spark, folder), BY), ["score_sep"], 4)
+    return rounded(evaluate.score_separation(tables.window_scores(spark, folder, ("y",)), BY), ["score_sep"], 4)
 
 
 TYPES = ["error", "purchase", "signup"]
@@ -470,8 +473,7 @@ tt AS (SELECT k AS type, ty.* FROM ty JOIN (VALUES ('error'), ('purchase'), ('si
     ),
 )
 def _(spark, folder):
-    kinds = tables.event_panel(spark, folder).select("series_id", F.col("t").alias("t_end"), "event_type")
-    scored = tables.window_flags(spark, folder).join(kinds, ["series_id", "t_end"])
+    scored = tables.window_flags(spark, folder, ("event_type",))
     positive = F.col("event_type").isin(TYPES)
     scored = scored.withColumns(
         {"y": positive.cast("int"), "type": F.when(positive, F.col("event_type"))}
@@ -493,7 +495,7 @@ pr AS (SELECT *, {PRF_OF} FROM cf), ff AS (SELECT *, {F1_OF} FROM pr)"""
 
 def sweep(spark, folder):
     return evaluate.threshold_sweep(
-        tables.window_truth(spark, folder), BY, POINTS, bound_by=tables.series_sizes(spark, folder)
+        tables.window_scores(spark, folder, ("y",)), BY, POINTS, bound_by=tables.series_sizes(spark, folder)
     )
 
 

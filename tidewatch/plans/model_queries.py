@@ -207,7 +207,7 @@ def _(spark, folder):
 def day_windows(spark, folder):
     """Standardised five-day windows of the day panel, flattened."""
     df = tables.stored_day_panel(spark, folder)
-    scaled = prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS)
+    scaled = spread.durable(prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS))
     return windows.flatten_windows(windows.sliding(scaled, BY, KINDS, SHORT))
 
 
@@ -224,7 +224,7 @@ TWO = {0: ["click", "error"], 1: ["purchase", "signup", "view"]}
 @query("recon_grouped")
 def _(spark, folder):
     df = tables.stored_day_panel(spark, folder)
-    scaled = prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS)
+    scaled = spread.durable(prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS))
     wins = windows.sliding_grouped(scaled, BY, TWO, SHORT)
     fitted = reconstruct.GroupedPca.fit(wins, sorted(TWO), 3)
     return rounded(scoring.group_losses(fitted.transform(wins), ["series_id", "w"], {0: False, 1: False}), ["loss"])
@@ -257,7 +257,7 @@ def _(spark, folder):
 @query("mask_importance")
 def _(spark, folder):
     df = tables.stored_day_panel(spark, folder)
-    scaled = prepare.scale_robust(df, prepare.median_iqr(df, BY, KINDS), BY, KINDS)
+    scaled = spread.durable(prepare.scale_robust(df, prepare.median_iqr(df, BY, KINDS), BY, KINDS))
     wins = windows.flatten_windows(windows.sliding(scaled, BY, KINDS, SHORT))
     split = prepare.split_contiguous(wins, BY, 0.3, t="w")
     model = reconstruct.WindowPca.fit(split.where("split = 'train'"), 6)

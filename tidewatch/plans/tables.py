@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators import panel, prepare, scoring, spread, windows
+from tidewatch.operators import panel, prepare, scoring, spread
 
 BY = ["series_id"]
 KINDS = ["click", "error", "purchase", "signup", "view"]
@@ -135,20 +135,20 @@ def sql(names: str, body: str) -> str:
 # ---- scored windows of the event panel ------------------------------------------------
 
 
-def window_scores(spark: SparkSession, folder: str) -> DataFrame:
+def window_scores(spark: SparkSession, folder: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Error of each 30-event window against its own mean."""
-    scored = scoring.window_mean_error(event_panel(spark, folder), BY, ["x"], LENGTH)
+    scored = scoring.window_mean_error(event_panel(spark, folder), BY, ["x"], LENGTH, carry=carry)
     return scored.withColumn("score", F.round("score", 6))
 
 
-def window_flags(spark: SparkSession, folder: str) -> DataFrame:
-    scored = window_scores(spark, folder)
+def window_flags(spark: SparkSession, folder: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    scored = window_scores(spark, folder, carry)
     return scoring.flag(scored, scoring.fit_threshold(scored, BY, 95.0, bound_by=series_sizes(spark, folder)), BY)
 
 
 def window_truth(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagged windows with the label of their last event."""
-    return windows.align_end(window_flags(spark, folder), event_panel(spark, folder), BY, LENGTH)
+    """Flagged windows with the label of their last event, kept along while windowing."""
+    return window_flags(spark, folder, ("y",))
 
 
 def series_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,10 +157,10 @@ def series_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def group_window_losses(spark: SparkSession, folder: str) -> DataFrame:
-    """Losses of two feature groups per window, marked train/val along time."""
+    """Losses of two feature groups per window, marked train/val along time, written once."""
     errors = scoring.window_mean_group_errors(event_panel(spark, folder), BY, {0: ["x"], 1: ["k"]}, LENGTH)
     errors = errors.withColumn("loss", F.round("loss", 6))
-    return prepare.split_contiguous(errors, BY, 0.3, t="w")
+    return spread.durable(prepare.split_contiguous(errors, BY, 0.3, t="w"))
 
 
 SQL |= {
