@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,7 +100,8 @@ def lagged_spearman(
 
     The values are ranked once over the whole series. A lag drops at most ``max_lag`` rows at
     one end, so the rank within the remaining rows follows from the full rank and the few
-    dropped values.
+    dropped values. Blocks of one bucket each then add up their products in numpy, and the
+    sums of the blocks are added by Spark. ``features`` must hold no nulls.
     """
     by = list(by)
     steps = windows.diff(df.select(*by, "t", *features), by, features, size=size).withColumn("t", F.col("t") - 1)
@@ -128,41 +130,94 @@ def lagged_spearman(
         F.array(*[F.col(f"x_{f}") for f in features]).alias("x"),
         F.array(*[F.col(f"r_{f}") for f in features]).alias("r"),
     )
-    near = spread.lookup_join(_ahead(rows, by, ["x", "r"], max_lag, size), ends, by)
-    lagged = near.select(
-        *by, "n", "head", "tail", "x", "r", F.posexplode("_near").alias("tau", "other")
-    ).where(F.col("tau") <= F.least(F.lit(max_lag), F.floor(F.col("n") / 2)))
-
-    def corrected(ranks, values, dropped):
-        """Ranks, less their mean, among the rows left after dropping tau rows of ``dropped``."""
-        gone = F.slice(dropped, 1, F.col("tau"))
-        middle = (F.col("n") - F.col("tau") + 1) / 2
-
-        def one(rank, i):
-            v = F.get(values, i)
-            return rank - middle - F.aggregate(
-                gone,
-                F.lit(0.0),
-                lambda acc, d: acc
-                + F.when(F.get(d, i) < v, 1.0).when(F.get(d, i) == v, 0.5).otherwise(0.0),
-            )
-
-        return F.transform(ranks, one)
-
-    pairs = lagged.select(
+    size = size or spread.BUCKET
+    blocks = spread.with_halo(rows, 0, max_lag, size=size).drop("_home")
+    last = F.floor((F.col("n") - 1) / F.lit(size))
+    context = spread.durable(ends).withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    keys = [*by, "_bucket"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
+    sums = (
+        blocks.groupBy(*keys)
+        .cogroup(context.groupBy(*keys))
+        .applyInArrow(
+            _lagged_sums(by, len(features), max_lag, size),
+            f"{types}, tau int, dot array<double>, aa array<double>, bb array<double>",
+        )
+    )
+    width = len(features)
+    names = F.array(*[F.lit(f) for f in features])
+    cells = sums.select(*by, "tau", "aa", "bb", F.posexplode("dot").alias("_at", "dot")).select(
         *by,
         "tau",
-        corrected(F.col("r"), F.col("x"), F.col("tail")).alias("a"),
-        corrected(F.col("other")["r"], F.col("other")["x"], F.col("head")).alias("b"),
+        "dot",
+        F.floor(F.col("_at") / width).cast("int").alias("i"),
+        (F.col("_at") % width).alias("j"),
+        "aa",
+        "bb",
+    )
+    rho = (
+        cells.where("i <> j")
+        .groupBy(*by, "tau", "i", "j")
+        .agg(
+            F.sum("dot").alias("dot"),
+            F.sum(F.get("aa", F.col("i"))).alias("aa"),
+            F.sum(F.get("bb", F.col("j"))).alias("bb"),
+        )
     )
-    rho = _pair_sums(pairs, [*by, "tau"], features)
     varied = (F.col("aa") > 0) & (F.col("bb") > 0)
     strength = F.when(varied, F.abs(F.col("dot")) / F.sqrt(F.col("aa") * F.col("bb"))).otherwise(0.0)
     if decay:
         strength = strength * F.exp(-F.col("tau") / F.lit(float(decay)))
-    both = rho.where("feature_i <> feature_j").select(*by, "feature_i", "feature_j", strength.alias("_s"))
-    mirror = both.select(*by, F.col("feature_j").alias("feature_i"), F.col("feature_i").alias("feature_j"), "_s")
-    return both.unionByName(mirror).groupBy(*by, "feature_i", "feature_j").agg(F.max("_s").alias("sim"))
+    ways = [
+        F.struct(F.get(names, F.col(i)).alias("feature_i"), F.get(names, F.col(j)).alias("feature_j"), strength.alias("_s"))
+        for i, j in (("i", "j"), ("j", "i"))
+    ]
+    both = rho.select(*by, F.inline(F.array(*ways)))
+    return both.groupBy(*by, "feature_i", "feature_j").agg(F.max("_s").alias("sim"))
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of a list column (or of one list of lists) as a matrix."""
+    flat = column.combine_chunks()
+    while pa.types.is_list(flat.type):
+        flat = flat.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lagged_sums(by: Sequence[str], width: int, max_lag: int, size: int):
+    """Per block of one series: products of centred ranks at t and t + tau, summed for every lag."""
+
+    def sums(key: tuple, block: pa.Table, ends: pa.Table) -> pa.Table:
+        taus, dots, aas, bbs = [], [], [], []
+        if len(block) and len(ends):
+            t = block["t"].to_numpy()
+            order = np.argsort(t)
+            t, x, r = t[order], _matrix(block["x"], width)[order], _matrix(block["r"], width)[order]
+            n = ends["n"][0].as_py()
+            head, tail = _matrix(ends["head"], width), _matrix(ends["tail"], width)
+            own = int((t // size == key[-1].as_py()).sum())
+            ahead, behind = np.zeros_like(r), np.zeros_like(r)
+            for tau in range(min(max_lag, n // 2) + 1):
+                if tau:
+                    ahead += (tail[tau - 1] < x) + 0.5 * (tail[tau - 1] == x)
+                    behind += (head[tau - 1] < x) + 0.5 * (head[tau - 1] == x)
+                m = min(own, len(t) - tau)
+                if m <= 0:
+                    break
+                middle = (n - tau + 1) / 2
+                a = (r - ahead - middle)[:m]
+                b = (r - behind - middle)[tau : tau + m]
+                taus.append(tau)
+                dots.append((a.T @ b).ravel())
+                aas.append((a * a).sum(axis=0))
+                bbs.append((b * b).sum(axis=0))
+        lists = pa.list_(pa.float64())
+        columns = {c: pa.array([k.as_py()] * len(taus), k.type) for c, k in zip(by, key)}
+        columns |= {"tau": pa.array(taus, pa.int32())}
+        columns |= {c: pa.array(v, lists) for c, v in (("dot", dots), ("aa", aas), ("bb", bbs))}
+        return pa.table(columns)
+
+    return sums
 
 
 def _average_linkage(dist: np.ndarray, cut: float) -> np.ndarray:
