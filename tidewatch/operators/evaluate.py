@@ -214,24 +214,60 @@ def type_metrics(
     limit: int | None = None,
     bound_by: DataFrame | None = None,
 ) -> DataFrame:
-    """F1, average precision and separation per anomaly type against the normal rows.
+    """(by, type, f1, n_pos, avg_precision, score_sep) of each anomaly type against the normal rows.
 
     ``scored`` has score, pred, y and ``kind`` (null on normal rows). A positive row counts for
-    its own type only; a normal row counts for every type.
+    its own type only; the normal rows count for every type and are read once, not once per type.
     """
-    by = list(by)
-    everyone = F.array(*[F.lit(k) for k in types])
-    rows = scored.withColumn("_type", F.explode(F.when(F.col("y") == 0, everyone).otherwise(F.array(kind))))
-    rows = rows.drop(kind).withColumnRenamed("_type", "type")
-    keys = [*by, "type"]
-    flat = f1(rows, keys)
-    ranks = ranking_metrics(rows, keys, limit=limit, bound_by=bound_by)
-    seps = score_separation(rows, keys)
-    return (
-        flat.select(*keys, "f1")
-        .join(ranks.select(*keys, "n_pos", "avg_precision"), keys)
-        .join(seps, keys)
+    by, types = list(by), list(types)
+    normal = F.col("y") == 0
+    of = [(F.col("y") == 1) & (F.col(kind) == k) for k in types]
+    flagged = F.col("pred") == 1
+    flat = scored.groupBy(*by).agg(
+        F.count_if(normal & flagged).alias("_fp"),
+        F.avg(F.when(normal, F.col("score"))).alias("_mean"),
+        *[F.count_if(m).alias(f"_n{i}") for i, m in enumerate(of)],
+        *[F.count_if(m & flagged).alias(f"_tp{i}") for i, m in enumerate(of)],
+        *[F.avg(F.when(m, F.col("score"))).alias(f"_mean{i}") for i, m in enumerate(of)],
+    )
+    cells = [
+        F.struct(
+            F.lit(k).alias("type"),
+            F.col(f"_tp{i}").alias("tp"),
+            F.col("_fp").alias("fp"),
+            (F.col(f"_n{i}") - F.col(f"_tp{i}")).alias("fn"),
+            F.col(f"_n{i}").alias("n_pos"),
+            (F.col(f"_mean{i}") - F.col("_mean")).alias("score_sep"),
+        )
+        for i, k in enumerate(types)
+    ]
+    rates = precision_recall_f1(flat.select(*by, F.inline(F.array(*cells))))
+
+    counts = scored.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
+        F.count_if(normal).alias("_neg"), *[F.count_if(m).alias(f"_pos{i}") for i, m in enumerate(of)]
     )
+    totals = {"_fp": F.col("_neg"), **{f"_tp{i}": F.col(f"_pos{i}") for i in range(len(types))}}
+    run = spread.running_totals(counts, by, [F.desc("score")], totals, limit, bound_by)
+
+    def gain(i: int) -> Column:
+        pos, tp = F.col(f"_pos{i}"), F.col(f"_tp{i}")
+        return F.sum(F.when(pos > 0, pos * tp / (tp + F.col("_fp"))).otherwise(0.0))
+
+    sums = run.groupBy(*by).agg(
+        F.sum("_neg").alias("_n_neg"),
+        *[F.sum(f"_pos{i}").alias(f"_n{i}") for i in range(len(types))],
+        *[gain(i).alias(f"_ap{i}") for i in range(len(types))],
+    )
+    both = [(F.col("_n_neg") > 0) & (F.col(f"_n{i}") > 0) for i in range(len(types))]
+    cells = [
+        F.struct(
+            F.lit(k).alias("type"),
+            F.when(both[i], F.col(f"_ap{i}") / F.col(f"_n{i}")).alias("avg_precision"),
+        )
+        for i, k in enumerate(types)
+    ]
+    ranked = sums.select(*by, F.inline(F.array(*cells)))
+    return rates.join(ranked, [*by, "type"]).select(*by, "type", "f1", "n_pos", "avg_precision", "score_sep")
 
 
 def global_mse(df: DataFrame, by: Sequence[str], x: Column, xhat: Column) -> DataFrame:

@@ -235,6 +235,6 @@ def interpret_nodes(
     series over all node and time cells. The nodes of one step are few and ranked together.
     """
     cells = windows.lattice(step_scores, [*by, "node"], "score", delay, length)
-    cells = cells.withColumn("score", F.round("score", 6))
+    cells = spread.durable(cells.withColumn("score", F.round("score", 6)))
     cut = fit_threshold(cells, by, percentile, limit=limit)
     return rank_nodes(flag(cells, cut, by), [*by, "p"])

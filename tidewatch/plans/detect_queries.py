@@ -478,9 +478,7 @@ def _(spark, folder):
     scored = scored.withColumns(
         {"y": positive.cast("int"), "type": F.when(positive, F.col("event_type"))}
     ).select("score", "pred", "y", "type")
-    out = evaluate.type_metrics(
-        scored, [], TYPES, bound_by=tables.series_sizes(spark, folder).withColumn("type", F.lit("any"))
-    )
+    out = evaluate.type_metrics(scored, [], TYPES, bound_by=tables.series_sizes(spark, folder))
     return rounded(rounded(out, ["f1", "avg_precision"]), ["score_sep"], 4)
 
 
