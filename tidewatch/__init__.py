@@ -1 +1,8 @@
 """Finding and evaluating anomalies in many multivariate time series with Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job; executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions import draws
 from tidewatch.operators import panel, spread
 
 
@@ -248,7 +249,7 @@ def split_random(
     Each held-out part gets the rows up to ceil(n * cumulative share); the rest is train.
     """
     by = list(by)
-    drawn = df.withColumn("_draw", F.xxhash64(*by, key, F.lit(seed)))
+    drawn = df.withColumn("_draw", draws.hash_bits(*[F.col(c) for c in by], F.col(key), F.lit(seed)))
     ordered = spread.row_index(drawn, by, ["_draw", key], "_pos", limit, df.select(*by))
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
     part, upto = None, 0.0

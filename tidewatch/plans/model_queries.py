@@ -272,7 +272,7 @@ def _(spark, folder):
     labels = df.select("series_id", "t", (F.col("error") > 30).cast("int").alias("y"))
     known = windows.align_end(wins, labels, BY, SHORT)
     return select.top_features(
-        select.forest_importance(known, KINDS, trees=20).withColumn("series_id", F.lit(0)), BY, 3
+        select.forest_importance(known, KINDS).withColumn("series_id", F.lit(0)), BY, 3
     )
 
 

@@ -321,15 +321,16 @@ def _(spark, folder):
     sql(
         "e1",
         """hf AS (SELECT series_id, t, 2.0::DOUBLE + 3 * y AS two, x FROM e1),
-        st AS (SELECT series_id, min(two) AS lo, max(two) AS hi FROM hf WHERE t < 10 GROUP BY 1)
+        st AS (SELECT series_id, min(two) AS lo, max(two) AS hi FROM hf JOIN (SELECT series_id, count(*) AS n FROM hf GROUP BY 1) USING (series_id)
+        WHERE t < n - greatest(1, CAST(round_even(n * CAST(0.3 AS DOUBLE), 0) AS BIGINT)) GROUP BY 1)
         SELECT series_id, t, round(CASE WHEN hi > lo THEN (two - lo) / (hi - lo) ELSE two END, 6) AS two
         FROM hf JOIN st USING (series_id)""",
     ),
 )
 def _(spark, folder):
     df = tables.event_panel(spark, folder).select("series_id", "t", (F.lit(2.0) + 3 * F.col("y")).alias("two"))
-    train = prepare.fit_range(df.where("t < 10"), BY, ["two"])
-    return rounded(prepare.scale_binary(df, train, BY, ["two"]), ["two"])
+    train = prepare.split_contiguous(df, BY, 0.3).where("split = 'train'")
+    return rounded(prepare.scale_binary(df, prepare.fit_range(train, BY, ["two"]), BY, ["two"]), ["two"])
 
 
 @query(
@@ -399,7 +400,19 @@ def _(spark, folder):
     return prepare.split_contiguous(tail, BY, 0.2, "head").withColumnRenamed("split", "head_split")
 
 
-@query("win_split_random")
+SPLIT_DRAW = "CAST('0x' || substr(md5(concat_ws(':', series_id, t, 42)), 1, 8) AS BIGINT)"
+
+
+@query(
+    "win_split_random",
+    sql(
+        "e1",
+        f"""dr AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY {SPLIT_DRAW}, t) - 1 AS pos,
+        count(*) OVER (PARTITION BY series_id) AS n FROM e1)
+        SELECT series_id, t, CASE WHEN pos < ceil(round(n * CAST(0.15 AS DOUBLE), 9)) THEN 'test'
+        WHEN pos < ceil(round(n * CAST(0.3 AS DOUBLE), 9)) THEN 'val' ELSE 'train' END AS split FROM dr""",
+    ),
+)
 def _(spark, folder):
     df = tables.event_panel(spark, folder).select("series_id", "t")
     return prepare.split_random(df, BY, "t", {"test": 0.15, "val": 0.15})
