@@ -44,25 +44,25 @@ def test_npy(spark, tmp_path):
 def test_channel_labels(spark, tmp_path):
     write(
         tmp_path,
-        "labeled_anomalies.csv",
-        'chan_id,spacecraft,anomaly_sequences,class,num_values\nP-1,SMAP,"[[2149, 2349], [4536, 4844]]","[point]",8505\n'
-        'M-1,MSL,"[[1, 3]]",[x],10\nP-1,SMAP,"[[7, 8]]",[x],8505\nA-1,SMAP,[],[x],5\n',
+        "channels.csv",
+        'chan_id,spacecraft,anomaly_sequences,class,num_values\nP-1,SMAP,"[[20, 40], [60, 75]]","[point]",900\n'
+        'M-1,MSL,"[[1, 3]]",[x],10\nP-1,SMAP,"[[7, 8]]",[x],900\nA-1,SMAP,[],[x],5\n',
     )
-    table = readers.channel_table(spark, str(tmp_path / "labeled_anomalies.csv"))
+    table = readers.channel_table(spark, str(tmp_path / "channels.csv"))
     assert [r[0] for r in readers.channels(table).collect()] == ["P-1", "M-1", "A-1"]
     assert [r[0] for r in readers.channels(table, "SMAP").collect()] == ["P-1", "A-1"]
     spans = readers.intervals(table, "P-1").orderBy("seg_id").collect()
-    assert [(r["start_t"], r["end_t"], r["n"]) for r in spans] == [(2149, 2349, 8505), (4536, 4844, 8505)]
+    assert [(r["start_t"], r["end_t"], r["n"]) for r in spans] == [(20, 40, 900), (60, 75, 900)]
     assert readers.intervals(table).count() == 3
     with pytest.raises(ValueError):
         readers.intervals(table, "X-9")
 
 
 def test_interpretation_labels(spark, tmp_path):
-    write(tmp_path, "machine-1-1.txt", "15849-16368:1,9,10\n16963-17517:1\n")
+    write(tmp_path, "machine-1-1.txt", "120-180:1,9,10\n300-340:1\n")
     out = readers.interpretation_labels(spark, str(tmp_path)).orderBy("start_t").collect()
     assert out[0]["series_id"] == "machine-1-1" and out[0]["dims"] == [1, 9, 10]
-    assert (out[1]["start_t"], out[1]["end_t"]) == (16963, 17517)
+    assert (out[1]["start_t"], out[1]["end_t"]) == (300, 340)
 
 
 PLANT = """ Timestamp, FIT101, LIT101 ,Normal/Attack
@@ -86,8 +86,8 @@ def test_plant_csv(spark, tmp_path):
 
 
 def test_multiheader(spark, tmp_path):
-    write(tmp_path, "mbd.csv", "date,host1,host1,host2,label\ndate,cpu,mem,cpu,label\nd,1,2,3,0\nd,4,,6,1\n")
-    out = readers.multiheader(spark, str(tmp_path / "mbd.csv")).orderBy("t", "node", "metric").collect()
+    write(tmp_path, "cluster.csv", "date,host1,host1,host2,label\ndate,cpu,mem,cpu,label\nd,1,2,3,0\nd,4,,6,1\n")
+    out = readers.multiheader(spark, str(tmp_path / "cluster.csv")).orderBy("t", "node", "metric").collect()
     assert [(r["t"], r["node"], r["metric"], r["x"]) for r in out] == [
         (0, "host1", "cpu", 1.0), (0, "host1", "mem", 2.0), (0, "host2", "cpu", 3.0),
         (1, "host1", "cpu", 4.0), (1, "host1", "mem", None), (1, "host2", "cpu", 6.0),
