@@ -11,9 +11,10 @@ Three tools:
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ _largest: dict[tuple, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; a temporary one only where none is configured."""
+    """The folder every executor sees; a temporary one only where the driver is the executor."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if folder:
@@ -42,14 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
     return sc.getCheckpointDir()
 
 
+# Paths stored inside open ``job`` blocks, innermost last.
+_open_jobs: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``durable`` stored inside the block; results must be written within it."""
+    _open_jobs.append([])
+    try:
+        yield
+    finally:
+        for path in _open_jobs.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table or file, on whatever file system it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: computed once, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tidewatch/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open_jobs:
+        _open_jobs[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
