@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import media
+from tidewatch.llm import decontaminate, media
 
-QUERIES = {"op10_mpeg_audio": media.op10_mpeg_audio}
+QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op10_mpeg_audio": media.op10_mpeg_audio,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_decontaminate": decontaminate.OP5_SQL}
