@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, media
+from tidewatch.llm import bpe, decontaminate, media
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op10_mpeg_audio": media.op10_mpeg_audio,
 }
