@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, decontaminate, media
+from tidewatch.llm import bpe, decontaminate, language, media, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_language": language.op6_language,
     "op10_mpeg_audio": media.op10_mpeg_audio,
 }
 
-ORACLES = {"op5_decontaminate": decontaminate.OP5_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL}

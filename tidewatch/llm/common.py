@@ -79,15 +79,6 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
         return {k: f[k] for k in f.files}
 
 
-def remainder(doc_id: str | Column, parts: int) -> Column:
+def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; a null id counts as the empty text."""
-    text = F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string")
-    return F.pmod(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), F.lit(parts))
-
-
-def lower_ascii(text: str | Column) -> Column:
-    """A-Z in lower case, all else as it is; null is the empty text."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.translate(
-        F.coalesce(col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    )
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
