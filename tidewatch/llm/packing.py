@@ -8,7 +8,7 @@ log(length) steps, whatever the number of rows. Documents are packed in blocks o
 and no ids are shuffled.
 
 A block is a file (``.npz``) of the shared folder, named and committed as ``shards`` says:
-``ids`` (rows x length; the rest of a row is ``PAD``), ``lengths`` (ids used per row), ``row_ends`` (segments up to
+``ids`` (rows x length; the first unused id fills a row up), ``lengths`` (ids used per row), ``row_ends`` (segments up to
 each row), ``cu_seqlens`` (cumulative segment lengths within each row, from 0), ``resets`` (the
 column where each segment starts, so where positions start anew at 0), ``doc`` and ``piece`` of each segment, and
 ``doc_ids`` (JSON). Ids are 16-bit if the vocabulary allows, else 32-bit.
@@ -19,6 +19,7 @@ are documents like any other. An empty table gives no file and no row. Other col
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import io
 import json
@@ -30,11 +31,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, common, shards
+from tidewatch.llm import common, shards
 
 LENGTH = 2048
 BLOCK_TOKENS = 4_000_000
-PAD = 0
+
+
+class ByteBpe:
+    """A byte-level BPE from a file of ranks; the first id behind the vocabulary fills rows up."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pad = max(ranks.values()) + 1
+        self.kind = "<u2" if self.pad < 1 << 16 else "<u4"
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_ordinary(text), self.kind)
+
+
+def default_tokenizer() -> tuple[str, str]:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
 class Capacities:
@@ -87,12 +109,12 @@ def best_fit_decreasing(sizes: Sequence[int], length: int) -> list[tuple[int, in
     return places
 
 
-def pack_block(docs: list[tuple[object, np.ndarray]], length: int, kind: str) -> dict[str, np.ndarray]:
+def pack_block(docs: list[tuple[object, np.ndarray]], length: int, kind: str, pad: int) -> dict[str, np.ndarray]:
     """The arrays of one block of (id, ids)."""
     pieces = [(d, k, ids[k : k + length]) for d, (_, ids) in enumerate(docs) for k in range(0, len(ids), length)]
     places = best_fit_decreasing([len(p[2]) for p in pieces], length)
     rows = 1 + max((r for r, _ in places), default=-1)
-    ids = np.full((rows, length), PAD, kind)
+    ids = np.full((rows, length), pad, kind)
     order = sorted(range(len(pieces)), key=places.__getitem__)
     lengths, ends, cumulative = np.zeros(rows, "<i4"), np.zeros(rows, "<i8"), []
     for at, i in enumerate(order):
@@ -111,30 +133,30 @@ def pack_block(docs: list[tuple[object, np.ndarray]], length: int, kind: str) ->
 
 
 def write(
-    df: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH,
+    df: DataFrame, path: str, tokenizer: tuple[str, str], id_column: str = "doc_id", text: str = "text", length: int = LENGTH,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """Encode the texts and write packed shards below ``path``; returns the manifest."""
-    lexicon = bpe.build_lexicon(df, tokenizer, text)
+    """Encode the texts and write packed shards below ``path``; returns the manifest.
+
+    ``tokenizer`` is a file of ranks and the pattern that cuts texts into words.
+    """
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = bpe.Tables(tokenizer)
-        encoder = bpe.Encoder(tables, bpe.Lexicon.open(lexicon))
-        kind = "<u2" if len(tables.tokens) <= 1 << 16 else "<u4"
+        encoder = ByteBpe(*tokenizer)
         writer = shards.Writer(path, TaskContext.get().partitionId(), ".npz")
         docs, held = [], 0
 
         def flush():
             out = io.BytesIO()
-            np.savez(out, **pack_block(docs, length, kind))
+            np.savez(out, **pack_block(docs, length, encoder.kind, encoder.pad))
             writer.write(out.getvalue(), len(docs))
             writer.close()
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encoder.encode(value.as_py() or ""), "<u4").astype(kind)
+                ids = encoder.ids(value.as_py() or "")
                 docs.append((name, ids))
                 held += len(ids) + 16
                 if held >= block_tokens:
@@ -190,5 +212,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = common.scratch(spark, "packed")
-    write(common.table(spark, folder, "documents"), path, bpe.default_path())
+    write(common.table(spark, folder, "documents"), path, default_tokenizer())
     return read(spark, path).withColumn("doc_id", F.col("doc_id").try_cast("long"))
