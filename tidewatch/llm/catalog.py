@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, decontaminate, language, media, packing, suffixes, warc
+from tidewatch.llm import bpe, classes, decontaminate, language, media, packing, similar, suffixes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_repeats": suffixes.op2_repeats,
+    "op3_brown": classes.op3_brown,
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language": language.op6_language,
+    "op8_similar": similar.op8_similar,
     "op9_packing": packing.op9_packing,
     "op10_mpeg_audio": media.op10_mpeg_audio,
 }
