@@ -1,11 +1,72 @@
-"""A corpus made ready for training: five stages over documents."""
+"""A corpus made ready for training: five stages over documents, each on all that the one before kept.
+
+1. language: texts without a letter, and those far from every language profile, go.
+2. near duplicates: one document of each group of linked shingle sets stays, that with the smallest id.
+3. repeats: every 200-byte string that also starts elsewhere is cut out, in whole characters.
+4. benchmark: documents that hold a benchmark window go.
+5. tokens: ids and digests of the ids and of the decoded text.
+
+Null texts go in the first stage. Where a table has extra columns they are carried along; only text
+and n_chars change, in the third stage. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.llm import bpe, common, decontaminate, language, similar, suffixes
+
+# Least similarity to the nearest language profile. Clean texts of the given tables, of a few words
+# too, are above 0.4.
+LEAST_SCORE = 0.2
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    profiles = language.learn(language.split(docs).where("not held_out"))
+    answered = language.identify(docs.select("*", F.struct("*").alias("_doc")).select("_doc", "text"), profiles)
+    kept = answered.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("_doc.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return similar.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # Inner names keep the operator's columns and those of the table apart.
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.toDF(*names.values())
+    cut = suffixes.cut_repeats(inner, names["doc_id"], names["text"], characters=True)
+    text = F.col("kept").cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.select(*[(new[c] if c in new else F.col(n)).alias(c) for c, n in names.items()])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs, bpe.default_path())
+
+
+STAGES = [
+    ("language", by_language),
+    ("near_duplicates", one_of_each_group),
+    ("repeats", without_repeats),
+    ("benchmark", without_benchmark),
+    ("tokens", tokens),
+]
 
-STAGES: list = []
+# Components, repeats and merges are beyond SQL; tests/llm/test_pipeline.py has a plain version.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = common.stored(docs)
+    return docs
