@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import bpe, classes, decontaminate, language, media, packing, similar, suffixes, warc
+from tidewatch.llm import blocks, bpe, classes, decontaminate, language, media, packing, similar, suffixes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language": language.op6_language,
+    "op7_blocks": blocks.op7_blocks,
     "op8_similar": similar.op8_similar,
     "op9_packing": packing.op9_packing,
     "op10_mpeg_audio": media.op10_mpeg_audio,
