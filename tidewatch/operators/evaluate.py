@@ -165,7 +165,7 @@ def threshold_sweep(
         scored if baseline is None else baseline, by, score, [p / 100 for p in points], limit, bound_by
     )
     cuts = spread.lookup_join(scored.select(*by, score, y), q, by)
-    above = [(F.col(score) > F.round(F.col("q")[i], 9)) for i in range(len(points))]
+    above = [(F.col(score) > F.col("q")[i]) for i in range(len(points))]
     wide = cuts.groupBy(*by).agg(
         F.first("q").alias("q"),
         F.sum(F.col(y)).alias("_pos"),

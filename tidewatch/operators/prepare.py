@@ -176,8 +176,9 @@ def binary_groups(flags: DataFrame, feature_groups: DataFrame, by: Sequence[str]
 
 
 def _apply(df: DataFrame, stats: DataFrame, by, features, formula) -> DataFrame:
+    """Scaled features; null in a series that has no statistics."""
     rest = [c for c in df.columns if c not in features]
-    return spread.lookup_join(df, stats, by).select(*rest, *[formula(f).alias(f) for f in features])
+    return spread.lookup_join(df, stats, by, "left").select(*rest, *[formula(f).alias(f) for f in features])
 
 
 def scale_standard(

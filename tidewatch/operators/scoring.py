@@ -109,9 +109,7 @@ def trim(
     """Rows whose value lies within the two quantiles of its group, both included."""
     q = spread.percentiles(df, by, value, quantiles, limit, bound_by)
     near = spread.lookup_join(df, q, by)
-    return near.where(
-        (F.col(value) >= F.round(F.col("q")[0], 9)) & (F.col(value) <= F.round(F.col("q")[1], 9))
-    ).select(*df.columns)
+    return near.where((F.col(value) >= F.col("q")[0]) & (F.col(value) <= F.col("q")[1])).select(*df.columns)
 
 
 def fit_ecdf(
@@ -192,9 +190,14 @@ def fit_threshold(
 
 
 def flag(scored: DataFrame, thresholds: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
-    """Add threshold and pred = score strictly above it."""
-    out = spread.lookup_join(scored, thresholds, by)
-    return out.withColumn("pred", (F.col(score) > F.round("threshold", 9)).cast("int"))
+    """Add threshold and pred = score strictly above it; both are null for a series without a threshold."""
+    out = spread.lookup_join(scored, thresholds, by, "left")
+    return out.withColumn("pred", (F.col(score) > F.col("threshold")).cast("int"))
+
+
+def unfitted(flagged: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Series without a threshold and their rows: (by, n)."""
+    return flagged.where(F.col("threshold").isNull()).groupBy(*by).agg(F.count("*").alias("n"))
 
 
 # ---- node scores ----------------------------------------------------------------------

@@ -417,7 +417,7 @@ def assign_groups(
     by = list(by)
     cut = spread.percentiles(importance, by, "importance", [percentile / 100])
     judged = spread.lookup_join(importance.select(*by, "cluster", "importance"), cut, by).withColumn(
-        "_high", F.col("importance") >= F.round(F.col("q")[0], 9)
+        "_high", F.col("importance") >= F.col("q")[0]
     )
     order = Window.partitionBy(*by, "_high").orderBy(F.desc("importance"), "cluster")
     whole = Window.partitionBy(*by)

@@ -24,16 +24,12 @@ from pyspark.sql.window import Window
 BUCKET = 65_536
 # Rows of one group that one task may order.
 GROUP_LIMIT = 4_000_000
-# Rows that may be broadcast.
+# Rows, and bytes of their Parquet files, that may be broadcast.
 LOOKUP_LIMIT = 500_000
+LOOKUP_BYTES = 64 << 20
 # Copies of the small side when it is too large to broadcast.
 SALTS = 32
 
-# Largest group per frame and keys already counted. It picks the route only: both give the
-# same rows, so that an outdated count costs time at worst.
-_largest: dict[tuple, int] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees; a temporary one only where the driver is the executor."""
     sc = spark.sparkContext
@@ -79,16 +75,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def group_sizes(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group, and of all."""
+    if not by:
+        n = df.count()
+        return n, n
+    r = df.groupBy(*by).count().agg(F.max("count").alias("top"), F.sum("count").alias("n")).first()
+    return r.top or 0, r.n or 0
+
+
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
     """Whether some group of ``by`` has more rows than one task should order."""
-    limit = GROUP_LIMIT if limit is None else limit
-    asked = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(by))
-    if asked not in _largest:
-        if by:
-            _largest[asked] = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        else:
-            _largest[asked] = df.count()
-    return _largest[asked] > limit
+    return group_sizes(df, by)[0] > (GROUP_LIMIT if limit is None else limit)
 
 
 def running_totals(
@@ -105,14 +103,17 @@ def running_totals(
     group sizes are then counted there.
     """
     by = list(by)
-    if not has_hot_group(df if bound_by is None else bound_by, by, limit):
+    largest, rows = group_sizes(df if bound_by is None else bound_by, by)
+    if largest <= (GROUP_LIMIT if limit is None else limit):
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(frame).alias(n) for n, c in totals.items()])
 
     addends = {f"_add_{n}": c for n, c in totals.items()}
+    # No part has more rows than a task may order.
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = durable(
         df.withColumns(addends)
-        .repartitionByRange(*[F.col(c) for c in by], *order)
+        .repartitionByRange(max(usual, -(-rows // GROUP_LIMIT)), *[F.col(c) for c in by], *order)
         .withColumn("_part", F.spark_partition_id())
     )
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -225,25 +226,49 @@ def bucket_running(
     )
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files a stored table is read from."""
+    spark, total = df.sparkSession, 0
+    for file in df.inputFiles():
+        at = spark._jvm.org.apache.hadoop.fs.Path(file)
+        total += at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+    return total
+
+
+def join_null_safe(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the columns of ``on`` come from ``df``."""
+    keys = {c: f"_on_{c}" for c in on}
+    renamed = small.withColumnsRenamed(keys)
+    same = F.lit(True)
+    for c, k in keys.items():
+        same = same & df[c].eqNullSafe(renamed[k])
+    return df.join(renamed, same, how).drop(*keys.values())
+
+
+def salt_of(df: DataFrame, salts: int = SALTS) -> Column:
+    """A number below ``salts`` from all columns of a row that can be hashed (maps cannot)."""
+    plain = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+
+
 def lookup_join(
     df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", limit: int | None = None
 ) -> DataFrame:
-    """Join rows with fitted per-series values: broadcast after counting, else salted.
+    """Join rows with fitted per-series values: broadcast if they are few and small, else salted.
 
     The fitted side is stored once, so that counting it does not compute it twice. ``how`` is
-    inner, left, left_semi or left_anti.
+    inner, left, left_semi or left_anti; null keys meet null keys.
     """
     limit = LOOKUP_LIMIT if limit is None else limit
     on = list(on)
     if not on:
         df, small, on = df.withColumn("_one", F.lit(1)), small.withColumn("_one", F.lit(1)), ["_one"]
     small = durable(small)
-    if small.count() <= limit:
-        out = df.join(F.broadcast(small), on, how)
+    if small.count() <= limit and stored_bytes(small) <= LOOKUP_BYTES:
+        out = join_null_safe(df, F.broadcast(small), on, how)
     else:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
         copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+        out = join_null_safe(df.withColumn("_salt", salt_of(df)), copies, [*on, "_salt"], how).drop("_salt")
     return out.drop("_one")
 
 
@@ -273,6 +298,12 @@ def percentiles(
     picked = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *picks)
     parts = []
     for i, p in enumerate(points):
-        at = (F.col("_all") - 1) * F.lit(p)
-        parts.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at)))
-    return picked.select(*by, F.array(*parts).alias("q"))
+        at, lo, hi = (F.col("_all") - 1) * F.lit(p), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        # The other route's order of operations, so that both give the same number.
+        between = (F.ceil(at) - at) * lo + (at - F.floor(at)) * hi
+        parts.append(F.when(lo == hi, lo).otherwise(between).cast("double"))
+    found = picked.select(*by, F.array(*parts).alias("q"))
+    if not by:
+        return found
+    # A group whose values are all null has a row, without percentiles.
+    return join_null_safe(df.select(*by).distinct(), found, by, "left")

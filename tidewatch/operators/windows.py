@@ -236,4 +236,4 @@ def average_rank(
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
     upto = spread.running_totals(counts, by, [F.col(value)], {"_upto": F.col("_n")}, limit)
     ranked = upto.withColumn(name, F.col("_upto") - (F.col("_n") - 1) / 2).drop("_n", "_upto")
-    return df.join(ranked, [*by, value])
+    return spread.lookup_join(df, ranked, [*by, value])

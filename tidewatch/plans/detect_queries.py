@@ -140,7 +140,7 @@ def _(spark, folder):
 
 @query(
     "agg_trim_quantile",
-    sql("gl ec", "SELECT series_id, w, grp, loss FROM gl JOIN eq USING (series_id, grp) WHERE split = 'train' AND loss >= round(lo, 9) AND loss <= round(hi, 9)"),
+    sql("gl ec", "SELECT series_id, w, grp, loss FROM gl JOIN eq USING (series_id, grp) WHERE split = 'train' AND loss >= lo AND loss <= hi"),
 )
 def _(spark, folder):
     train = tables.group_window_losses(spark, folder).where("split = 'train'").drop("split")
@@ -235,7 +235,7 @@ def _(spark, folder):
 
 
 NODE_TH = """nt AS (SELECT series_id, quantile_cont(x, 0.95) AS threshold FROM nl WHERE metric = 'qty' GROUP BY 1),
-np AS (SELECT series_id, t, max(CAST(x > round(threshold, 9) AS INTEGER)) AS pred FROM nl JOIN nt USING (series_id)
+np AS (SELECT series_id, t, max(CAST(x > threshold AS INTEGER)) AS pred FROM nl JOIN nt USING (series_id)
   WHERE metric = 'qty' GROUP BY 1, 2),
 ny AS (SELECT series_id, t, CAST(sum(x) > 30 AS INTEGER) AS y FROM nl WHERE metric = 'disc' GROUP BY 1, 2)"""
 
@@ -485,9 +485,9 @@ def _(spark, folder):
 POINTS = list(range(85, 100))
 SWEEP = f"""qs AS (SELECT series_id, p AS pct, list_extract(quantile_cont(score, {[p / 100 for p in POINTS]}), p - 84) AS threshold
   FROM tr, range(85, 100) r(p) GROUP BY series_id, p),
-cf AS (SELECT series_id, pct, qs.threshold, count(*) FILTER (score > round(qs.threshold, 9)) AS n_detected,
-  count(*) FILTER (score > round(qs.threshold, 9) AND y = 1) AS tp, count(*) FILTER (score > round(qs.threshold, 9) AND y = 0) AS fp,
-  count(*) FILTER (score <= round(qs.threshold, 9) AND y = 1) AS fn FROM tr JOIN qs USING (series_id) GROUP BY 1, 2, 3),
+cf AS (SELECT series_id, pct, qs.threshold, count(*) FILTER (score > qs.threshold) AS n_detected,
+  count(*) FILTER (score > qs.threshold AND y = 1) AS tp, count(*) FILTER (score > qs.threshold AND y = 0) AS fp,
+  count(*) FILTER (score <= qs.threshold AND y = 1) AS fn FROM tr JOIN qs USING (series_id) GROUP BY 1, 2, 3),
 pr AS (SELECT *, {PRF_OF} FROM cf), ff AS (SELECT *, {F1_OF} FROM pr)"""
 
 
@@ -619,7 +619,7 @@ def _(spark, folder):
     sql(
         "e1",
         STEP_ERRORS + """, lq AS (SELECT series_id, quantile_cont(score, 0.95) AS threshold FROM lt GROUP BY 1)
-        SELECT series_id, node, p, t, score, round(threshold, 9) AS threshold, CAST(score > round(threshold, 9) AS INTEGER) AS pred,
+        SELECT series_id, node, p, t, score, round(threshold, 9) AS threshold, CAST(score > threshold AS INTEGER) AS pred,
         CAST(row_number() OVER (PARTITION BY series_id, p ORDER BY score DESC, node) AS INTEGER) AS rank FROM lt JOIN lq USING (series_id)""",
     ),
 )

@@ -96,7 +96,7 @@ def _(spark, folder):
 
 
 GROUPS = f"""cq AS (SELECT series_id, quantile_cont(importance, 0.5) AS cut FROM cj GROUP BY 1),
-ck AS (SELECT cj.*, importance >= round(cut, 9) AS high FROM cj JOIN cq USING (series_id)),
+ck AS (SELECT cj.*, importance >= cut AS high FROM cj JOIN cq USING (series_id)),
 cn AS (SELECT series_id, cluster, high, CASE WHEN high THEN row_number() OVER (PARTITION BY series_id, high ORDER BY importance DESC, cluster) - 1
   ELSE count(*) FILTER (high) OVER (PARTITION BY series_id) END AS grp FROM ck),
 gr AS (SELECT series_id, feature, CAST(grp AS INTEGER) AS grp, CASE WHEN high THEN 'important' ELSE 'catch_all' END AS kind
@@ -340,7 +340,7 @@ def _(spark, folder):
         "e1 s1",
         "tr2 AS (SELECT s1.*, e1.y FROM s1 JOIN e1 ON e1.series_id = s1.series_id AND e1.t = s1.t_end),\nth2 AS ("
         + " UNION ALL ".join(
-            f"SELECT {i} AS trial, series_id, round(quantile_cont(score, {p / 100}), 9) AS cut FROM s1 GROUP BY 2"
+            f"SELECT {i} AS trial, series_id, quantile_cont(score, {p / 100}) AS cut FROM s1 GROUP BY 2"
             for i, p in enumerate((85, 90, 95))
         )
         + """), cf AS (SELECT trial, count(*) FILTER (score > cut AND y = 1) AS tp, count(*) FILTER (score > cut AND y = 0) AS fp,

@@ -167,7 +167,7 @@ SQL |= {
     "s1": """s1 AS (SELECT series_id, t - 29 AS w, t AS t_end, round(var_pop(x) OVER (PARTITION BY series_id ORDER BY t
   ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS score FROM e1 QUALIFY t >= 29)""",
     "fl": """th AS (SELECT series_id, quantile_cont(score, 0.95) AS threshold FROM s1 GROUP BY 1),
-fl AS (SELECT s1.*, threshold, CAST(score > round(threshold, 9) AS INTEGER) AS pred FROM s1 JOIN th USING (series_id))""",
+fl AS (SELECT s1.*, threshold, CAST(score > threshold AS INTEGER) AS pred FROM s1 JOIN th USING (series_id))""",
     "tr": "tr AS (SELECT fl.*, e1.y FROM fl JOIN e1 ON e1.series_id = fl.series_id AND e1.t = fl.t_end)",
     "gl": """g0 AS (SELECT series_id, t - 29 AS w, round(var_pop(x) OVER fr, 6) AS l0, round(var_pop(k) OVER fr, 6) AS l1 FROM e1
   WINDOW fr AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) QUALIFY t >= 29),
@@ -177,7 +177,7 @@ gl AS (SELECT series_id, w, grp, loss, CASE WHEN w < n - greatest(1, CAST(round_
     "ec": """eq AS (SELECT series_id, grp, quantile_cont(loss, 0.005) AS lo, quantile_cont(loss, 0.995) AS hi FROM gl
   WHERE split = 'train' GROUP BY 1, 2),
 ec AS (SELECT series_id, grp, loss, count(*) AS n FROM gl JOIN eq USING (series_id, grp)
-  WHERE split = 'train' AND loss >= round(lo, 9) AND loss <= round(hi, 9) GROUP BY 1, 2, 3)""",
+  WHERE split = 'train' AND loss >= lo AND loss <= hi GROUP BY 1, 2, 3)""",
 }
 NEEDS |= {
     "s1": ["e1"],

@@ -89,6 +89,6 @@ def score(
 
 
 def flag(scored: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
-    """Stream of scores with pred, from a fitted static threshold table."""
-    out = scored.where(F.col("score").isNotNull()).join(thresholds, key)
-    return out.withColumn("pred", (F.col("score") > F.round("threshold", 9)).cast("int"))
+    """Stream of scores with pred, from a fitted static threshold table; null for a key without one."""
+    out = scored.where(F.col("score").isNotNull()).join(thresholds, key, "left")
+    return out.withColumn("pred", (F.col("score") > F.col("threshold")).cast("int"))
