@@ -142,3 +142,42 @@ def test_window_flags_repeat(spark):
         assert sorted(map(tuple, tables.window_flags(spark, folder).collect())) == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_part_files_in_order_of_their_numbers(spark, tmp_path):
+    folder = tmp_path / "m" / "machine-1"
+    folder.mkdir(parents=True)
+    for i, part in enumerate((9, 10000, 99999, 100000, 100001)):
+        (folder / f"part-{part}.txt").write_text(f"{i}\n")
+    got = readers.matrix(spark, str(tmp_path / "m"), folders=True, features=["x"]).orderBy("t").collect()
+    assert [(r.t, r.x) for r in got] == [(i, float(i)) for i in range(5)]
+
+
+def test_header_stands_in_the_first_file_by_name(spark, tmp_path):
+    folder = tmp_path / "cluster"
+    folder.mkdir()
+    (folder / "part-2.csv").write_text("date,a,b,label\ndate,cpu,mem,label\n2024,1,2,0\n")
+    (folder / "part-9.csv").write_text("".join(f"2024,{i},0,0\n" for i in range(2, 40)))
+    (folder / "part-10.csv").write_text("".join(f"2024,{i},0,0\n" for i in range(40, 4000)))
+    got = readers.multiheader(spark, str(folder))
+    assert {(r.node, r.metric) for r in got.select("node", "metric").distinct().collect()} == {("a", "cpu"), ("b", "mem")}
+    before = sorted(map(str, got.collect()))
+    rows = got.where("node = 'a'").orderBy("t").collect()
+    assert [r.t for r in rows] == list(range(3999)) and [r.x for r in rows] == [float(i + 1) for i in range(3999)]
+    (folder / "part-2.csv").write_text("2024,1,2,0\n")
+    given = readers.multiheader(spark, str(folder), header=(["date", "a", "b", "label"], ["date", "cpu", "mem", "label"]))
+    assert sorted(map(str, given.collect())) == before
+
+
+def test_channels_with_their_labels(spark, tmp_path):
+    import numpy as np
+
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    np.save(folder / "P-1.npy", np.arange(10.0).reshape(5, 2))
+    np.save(folder / "Q-2.npy", np.zeros((3, 2)))
+    labels = tmp_path / "labels.csv"
+    labels.write_text('chan_id,spacecraft,anomaly_sequences,class,num_values\nP-1,SMAP,"[[1, 2], [4, 9]]",x,5\nZ-9,MSL,"[[0, 1]]",x,2\n')
+    got = readers.labelled_channels(spark, str(folder), str(labels)).orderBy("series_id", "t").collect()
+    assert [(r.series_id, r.y) for r in got] == [("P-1", 0), ("P-1", 1), ("P-1", 1), ("P-1", 0), ("P-1", 1)] + [("Q-2", 0)] * 3
+    assert got[1]["values"] == [2.0, 3.0]

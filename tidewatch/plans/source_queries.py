@@ -51,24 +51,22 @@ def _(spark, folder):
 
 @query(
     "src_npy",
-    """SELECT CAST(vec_id // 64 AS VARCHAR) AS series_id, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS t,
-    round(CAST(embedding[1] AS DOUBLE), 6) AS first_value, round(CAST(embedding[64] AS DOUBLE), 6) AS last_value FROM embeddings""",
+    """SELECT CAST(vec_id // 64 AS VARCHAR) AS series_id, dense_rank() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS t,
+    CAST(i AS INTEGER) AS place, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(64) r(i)
+    """,
 )
 def _(spark, folder):
+    path = sinks.scratch(spark, "arrays")
+
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
         held = io.BytesIO()
         np.save(held, np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()))
         return pd.DataFrame({"path": [f"{key[0]}.npy"], "content": [held.getvalue()]})
 
     blocks = table(spark, folder, "embeddings").select("vec_id", "embedding", F.floor(F.col("vec_id") / 64).alias("b"))
-    files = blocks.groupBy("b").applyInPandas(pack, "path string, content binary")
-    rows = readers.npy_rows(files)
-    return rows.select(
-        "series_id",
-        "t",
-        F.round(F.col("values")[0], 6).alias("first_value"),
-        F.round(F.col("values")[WIDTH - 1], 6).alias("last_value"),
-    )
+    blocks.groupBy("b").applyInPandas(pack, "path string, content binary").write.parquet(path)
+    rows = readers.npy_rows(spark.read.parquet(path))
+    return rows.select("series_id", "t", F.posexplode("values").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 # ---- labels ---------------------------------------------------------------------------
@@ -120,7 +118,7 @@ def _(spark, folder):
 
 @query(
     "src_dim_intervals",
-    """SELECT p_partkey AS series_id, p_partkey * 3 AS start_t, p_partkey * 3 + p_size AS end_t, d AS dim
+    """SELECT 'machine-' || p_size AS series_id, p_partkey * 3 AS start_t, p_partkey * 3 + p_size AS end_t, d AS dim
     FROM part, LATERAL (SELECT unnest([p_size, p_size + 2, 7]) AS d)""",
 )
 def _(spark, folder):
@@ -133,8 +131,9 @@ def _(spark, folder):
         F.lit(":"),
         F.concat_ws(",", size, size + 2, F.lit(7)),
     )
-    table(spark, folder, "part").select(F.col("p_partkey").alias("series_id"), line.alias("value")).write.parquet(path)
-    spans = readers.dim_intervals(spark.read.parquet(path))
+    rows = table(spark, folder, "part").select(F.concat(F.lit("machine-"), size).alias("machine"), line.alias("value"))
+    rows.repartition("machine").write.partitionBy("machine").text(path)
+    spans = readers.interpretation_labels(spark, path, folders=True)
     return spans.select("series_id", "start_t", "end_t", F.explode("dims").alias("dim"))
 
 

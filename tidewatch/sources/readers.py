@@ -31,17 +31,28 @@ def with_place(scan: DataFrame) -> DataFrame:
     )
 
 
+def natural(path: Column) -> Column:
+    """A path with its numbers padded, so that text order is the order of the numbers."""
+    parts = F.regexp_extract_all(F.concat(path, F.lit(" ")), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 40, "0")).otherwise(p)), "")
+
+
+def place_order() -> list[Column]:
+    return [natural(F.col("_file")), F.col("_file"), F.col("_start")]
+
+
 def file_order(placed: DataFrame, by: Sequence[str], name: str = "t") -> DataFrame:
     """Dense row number in (file, position) order within each group of ``by``.
 
-    A split is read by one task, front to back, so that lines are numbered split by split and
-    the sizes of the earlier splits are added. No file has to fit into one task. Every group
-    must consist of whole splits.
+    Files are in order of the numbers in their names (part-99999 before part-100000), then of
+    the names. A split is read by one task, front to back, so that lines are numbered split by split
+    and the sizes of the earlier splits are added. No file has to fit into one task. Every
+    group must consist of whole splits.
     """
     by = list(by)
     split = [*by, *FILE]
     counts = placed.groupBy(*split).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(*FILE).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy(*place_order()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*split, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*split).orderBy("_line")
     numbered = placed.join(offsets, split)
@@ -181,10 +192,24 @@ def dim_intervals(lines: DataFrame, series: str = "series_id", text: str = "valu
     return spans
 
 
-def interpretation_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Interval files with contributing dimensions, one per machine."""
+def interpretation_labels(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """Interval files with contributing dimensions, one file (or with ``folders`` one folder) per machine."""
     scan = spark.read.option("recursiveFileLookup", "true").text(path)
-    return dim_intervals(scan.select("value", entity_name(F.col("_metadata.file_path")).alias("series_id")))
+    name = entity_name(F.col("_metadata.file_path"), folders)
+    return dim_intervals(scan.select("value", name.alias("series_id")))
+
+
+def labelled_channels(spark: SparkSession, path: str, labels: str) -> DataFrame:
+    """Array files with their interval labels in one load: (series_id, t, values, y).
+
+    Intervals are clipped to the length of the series that was read; a channel without intervals is 0
+    throughout, and intervals of a channel without a file are left out.
+    """
+    rows = npy(spark, path)
+    spans = intervals(channel_table(spark, labels)).select("series_id", "start_t", "end_t")
+    inside = F.explode(F.sequence("start_t", "end_t")).alias("t")
+    hits = spans.where("end_t >= start_t").select("series_id", inside).distinct().withColumn("y", F.lit(1))
+    return rows.join(hits, ["series_id", "t"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
 
 # ---- plant and cluster tables ---------------------------------------------------------
@@ -217,10 +242,11 @@ def plant_csv(
         F.try_to_timestamp(F.trim(F.col(f"`{timestamp}`")), F.lit(time_format)).alias("_ts"),
         prepare.attack_flag(F.col(f"`{label}`")).alias("y"),
         *[prepare.coerce_numeric(F.trim(F.col(f"`{c}`"))).alias(c) for c in features],
+        natural(F.col("_file")).alias("_name"),
         *FILE,
         "_line",
     )
-    ordered = spread.row_index(rows, [], ["_ts", *FILE, "_line"]).drop("_ts", *FILE, "_line")
+    ordered = spread.row_index(rows, [], ["_ts", "_name", *FILE, "_line"]).drop("_ts", "_name", *FILE, "_line")
     if on_bad == "raise":
         return prepare.assert_no_nan(ordered, features)
     if on_bad != "impute":
@@ -229,16 +255,41 @@ def plant_csv(
     return prepare.interpolate(one, ["_all"], features).drop("_all")
 
 
-def multiheader(spark: SparkSession, path: str, series_id: str = "all", drop: Sequence[str] = ("date", "label")) -> DataFrame:
+def head_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first lines of the first file in file order."""
+    scan = spark.read.option("recursiveFileLookup", "true").text(path)
+    files = scan.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    first = files.orderBy(natural(F.col("_file")), "_file").first()
+    if first is None:
+        return []
+    placed = with_place(spark.read.text(first["_file"]))
+    return [r.value for r in placed.orderBy("_start", "_line").limit(n).collect()]
+
+
+def multiheader(
+    spark: SparkSession,
+    path: str,
+    series_id: str = "all",
+    drop: Sequence[str] = ("date", "label"),
+    header: tuple[Sequence[str], Sequence[str]] | None = None,
+) -> DataFrame:
     """CSV with two header lines (host, metric): (series_id, t, node, metric, x).
 
+    The header stands in the first file by name, or is given as ``header`` for files without one.
     Columns whose host or metric name is in ``drop`` are left out.
     """
-    first, second = (r[0].split(",") for r in spark.read.text(path).limit(2).collect())
+    if header is None:
+        lines = head_lines(spark, path, 2)
+        if len(lines) < 2:
+            raise ValueError(f"{path} has no two header lines")
+        first, second = (line.split(",") for line in lines)
+    else:
+        first, second = header
+    skip = 0 if header else 2
     names = [f"c{i}" for i in range(len(first))]
     scan = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path)
     placed = with_place(scan).withColumn("series_id", F.lit(series_id))
-    rows = file_order(placed, ["series_id"]).where("t >= 2").withColumn("t", F.col("t") - 2)
+    rows = file_order(placed, ["series_id"]).where(f"t >= {skip}").withColumn("t", F.col("t") - skip)
     cells = [
         F.struct(F.lit(h.strip()).alias("node"), F.lit(m.strip()).alias("metric"), F.col(n).try_cast("double").alias("x"))
         for n, h, m in zip(names, first, second)
