@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
 from tidewatch.operators import evaluate, prepare, scoring, spread, windows
-from tidewatch.plans import tables
+from tidewatch.plans import detectors, tables
 from tidewatch.plans.registry import query
 from tidewatch.plans.tables import BY, LENGTH, SHORT, WIDTH, sql, table
 
@@ -197,6 +197,70 @@ def _(spark, folder):
     )
 
 
+CALIBRATED = """ab AS (SELECT g.series_id, g.w, g.grp, g.split, CAST(coalesce(sum(e.n) FILTER (e.loss <= g.loss), 0) AS BIGINT) AS below,
+  CAST(sum(e.n) AS BIGINT) AS n_base FROM gl g JOIN ec e USING (series_id, grp) GROUP BY g.series_id, g.w, g.grp, g.split, g.loss),
+sc AS (SELECT series_id, w, w + 29 AS t_end, any_value(split) AS split,
+  round({how}(-ln(2 * least(below / n_base, 1 - below / n_base) + CAST(1e-12 AS DOUBLE))), 6) AS score FROM ab GROUP BY 1, 2)"""
+
+
+def calibrated(spark, folder, combine="mean"):
+    detector = detectors.CalibratedDetector(BY, {0: ["x"], 1: ["k"]}, LENGTH, 90.0, combine, digits=6)
+    steps = tables.event_panel(spark, folder)
+    return detector.fit(steps), steps
+
+
+@query(
+    "detect_calibrated",
+    sql(
+        "gl ec",
+        CALIBRATED.format(how="avg") + """, th AS (SELECT series_id, quantile_cont(score, 0.9) AS threshold FROM sc WHERE split = 'val' GROUP BY 1)
+        SELECT series_id, w, t_end, score, round(threshold, 9) AS threshold, CAST(score > threshold AS INTEGER) AS pred FROM sc JOIN th USING (series_id)""",
+    ),
+)
+def _(spark, folder):
+    fitted, steps = calibrated(spark, folder)
+    return rounded(fitted.transform(steps), ["threshold"], 9)
+
+
+@query(
+    "detect_calibrated_report",
+    sql(
+        "gl ec",
+        CALIBRATED.format(how="max") + f""", th AS (SELECT series_id, quantile_cont(score, 0.9) AS threshold FROM sc WHERE split = 'val' GROUP BY 1),
+        ty AS (SELECT CAST(sc.score > threshold AS INTEGER) AS pred, e1.y FROM sc JOIN th USING (series_id)
+          JOIN e1 ON e1.series_id = sc.series_id AND e1.t = sc.t_end),
+        cf AS (SELECT count(*) FILTER (pred = 1 AND y = 1) AS tp, count(*) FILTER (pred = 1 AND y = 0) AS fp,
+          count(*) FILTER (pred = 0 AND y = 1) AS fn, count(*) FILTER (pred = 0 AND y = 0) AS tn FROM ty),
+        pr AS (SELECT *, {PRF_OF} FROM cf), ff AS (SELECT *, {F1_OF} FROM pr)
+        SELECT tp, fp, fn, tn, {PRF} FROM ff""",
+    ),
+)
+def _(spark, folder):
+    fitted, steps = calibrated(spark, folder, "max")
+    out = fitted.report(steps, steps.select("series_id", "t", "y"))
+    return rounded(out, ["precision", "recall", "f1"]).select("tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+
+@query(
+    "detect_calibrated_sweep",
+    sql(
+        "gl ec",
+        CALIBRATED.format(how="avg") + f""", qs AS (SELECT series_id, p AS pct, list_extract(quantile_cont(score, [0.8, 0.9, 0.95]), CASE p WHEN 80 THEN 1 WHEN 90 THEN 2 ELSE 3 END) AS threshold
+          FROM (SELECT * FROM sc WHERE split = 'val'), (SELECT unnest([80, 90, 95]) AS p) GROUP BY series_id, p),
+        ty AS (SELECT sc.series_id, sc.score, e1.y FROM sc JOIN e1 ON e1.series_id = sc.series_id AND e1.t = sc.t_end),
+        cf AS (SELECT series_id, pct, qs.threshold, count(*) FILTER (score > qs.threshold) AS n_detected,
+          count(*) FILTER (score > qs.threshold AND y = 1) AS tp, count(*) FILTER (score > qs.threshold AND y = 0) AS fp,
+          count(*) FILTER (score <= qs.threshold AND y = 1) AS fn FROM ty JOIN qs USING (series_id) GROUP BY 1, 2, 3),
+        pr AS (SELECT *, {PRF_OF} FROM cf), ff AS (SELECT *, {F1_OF} FROM pr)
+        SELECT series_id, CAST(pct AS INTEGER) AS pct, round(threshold, 9) AS threshold, n_detected, tp, fp, fn, {PRF} FROM ff""",
+    ),
+)
+def _(spark, folder):
+    fitted, steps = calibrated(spark, folder)
+    out = fitted.sweep(steps, steps.select("series_id", "t", "y"), [80, 90, 95])
+    return rounded(rounded(out, ["threshold"], 9), ["precision", "recall", "f1"])
+
+
 @query("fit_threshold", sql("e1 s1 fl", "SELECT series_id, round(threshold, 9) AS threshold FROM th"))
 def _(spark, folder):
     cut = scoring.fit_threshold(

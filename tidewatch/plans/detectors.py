@@ -72,6 +72,84 @@ class PcaDetector(Detector):
         return lambda df: reconstruct.pca_errors(wins(df), model, [*self.by, "w", "t_end"])
 
 
+@dataclass(frozen=True)
+class CalibratedDetector:
+    """Tail scores of group losses against training losses, and a cut from held-out scores.
+
+    ``fit`` splits the panel's windows along time: the first part gives each group's trimmed
+    distribution of losses, the last ``holdout`` of them is scored on that scale and gives the cut.
+    ``combine`` (mean or max) joins the groups. ``losses`` maps a panel to (by, w, grp, loss); by
+    default windows are reconstructed by their mean.
+    """
+
+    by: Sequence[str]
+    groups: Mapping[int, Sequence[str]]
+    length: int
+    percentile: float = 95.0
+    combine: str = "mean"
+    quantiles: tuple[float, float] | None = (0.005, 0.995)
+    holdout: float = 0.3
+    digits: int | None = None
+    losses: Callable[[DataFrame], DataFrame] | None = None
+
+    def group_losses(self, panel: DataFrame) -> DataFrame:
+        if self.losses is not None:
+            out = self.losses(panel)
+        else:
+            out = scoring.window_mean_group_errors(panel, self.by, self.groups, self.length)
+        return out if self.digits is None else out.withColumn("loss", F.round("loss", self.digits))
+
+    def fit(self, panel: DataFrame) -> "FittedCalibrated":
+        keys = [*self.by, "grp"]
+        split = spread.durable(prepare.split_contiguous(self.group_losses(panel), self.by, self.holdout, t="w"))
+        ecdf = spread.durable(scoring.fit_ecdf(split.where("split = 'train'"), keys, quantiles=self.quantiles))
+        held = spread.durable(self.scores(split.where("split = 'val'"), ecdf))
+        cuts = spread.durable(scoring.fit_threshold(held, self.by, self.percentile))
+        return FittedCalibrated(self, ecdf, held, cuts)
+
+    def scores(self, losses: DataFrame, ecdf: DataFrame) -> DataFrame:
+        out = scoring.ecdf_scores(losses, ecdf, self.by, ["w"], combine=self.combine)
+        return out if self.digits is None else out.withColumn("score", F.round("score", self.digits))
+
+
+@dataclass(frozen=True)
+class FittedCalibrated:
+    """What a calibrated detector has learned, as tables: losses' distribution, held-out scores, cuts."""
+
+    detector: CalibratedDetector
+    ecdf: DataFrame
+    held_out: DataFrame
+    thresholds: DataFrame
+
+    def score(self, panel: DataFrame) -> DataFrame:
+        return self.detector.scores(self.detector.group_losses(panel), self.ecdf)
+
+    def transform(self, panel: DataFrame, fallback: bool = False) -> DataFrame:
+        """(by, w, t_end, score, threshold, pred); with ``fallback`` a series without a cut takes
+        the percentile of the scores at hand."""
+        by = list(self.detector.by)
+        scored, cuts = self.score(panel), self.thresholds
+        if fallback:
+            scored = spread.durable(scored)
+            own = scoring.fit_threshold(scored, by, self.detector.percentile)
+            own = own.withColumnRenamed("threshold", "_own")
+            both = spread.join_null_safe(own, cuts, by, "left")
+            cuts = both.select(*by, F.coalesce("threshold", "_own").alias("threshold"))
+        flags = scoring.flag(scored, cuts, by)
+        return flags.select(*by, "w", (F.col("w") + self.detector.length - 1).alias("t_end"), "score", "threshold", "pred")
+
+    def report(self, panel: DataFrame, labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        """Counts, precision, recall and F1 of the flags of a panel, per ``keys`` (some of ``by``)."""
+        by = self.detector.by
+        return evaluate.f1(windows.align_end(self.transform(panel), labels, by, self.detector.length), list(keys))
+
+    def sweep(self, panel: DataFrame, labels: DataFrame, points: Sequence[float]) -> DataFrame:
+        """F1 of the panel's scores at cuts from percentiles of the held-out scores."""
+        by = self.detector.by
+        scored = windows.align_end(self.transform(panel), labels, by, self.detector.length)
+        return evaluate.threshold_sweep(scored, by, points, baseline=self.held_out)
+
+
 def corrupted_mse(
     df: DataFrame, by: Sequence[str], x: str, corrupt: Callable[[Column], Column]
 ) -> DataFrame:
