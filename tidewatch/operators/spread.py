@@ -14,7 +14,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +50,23 @@ _open_jobs: list[list[str]] = []
 
 
 @contextlib.contextmanager
-def job(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that ``durable`` stored inside the block; results must be written within it."""
-    _open_jobs.append([])
+def job(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that ``durable`` stored inside the block, but for those stored by the yielded function."""
+    paths: list[str] = []
+    _open_jobs.append(paths)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = durable(df)
+        path = paths.pop()
+        if len(_open_jobs) > 1:
+            _open_jobs[-2].append(path)
+        return out
+
     try:
-        yield
+        yield keep
     finally:
-        for path in _open_jobs.pop():
+        _open_jobs.pop()
+        for path in paths:
             remove(spark, path)
 
 
