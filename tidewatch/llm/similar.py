@@ -14,7 +14,7 @@ c(n, m) = ceil(9 (n + m) / 19) and at most (n + m) / 19 elements in one set only
 
 Equal sets are one node. Lists are scanned from one member: it is paired with all others, links are
 verified on the full texts, and what is connected already is not compared again. As long as a list
-holds members of two components, further members take their turn, four times as many each round, until
+holds members of two components, further members take their turn, ``TURN`` times as many each round, until
 every pair of the list is connected or was verified. So no link between different sets is
 lost, a list of near copies costs its length, and no list is held in one task.
 
@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import common
 from tidewatch.llm.suffixes import Hasher, mixed
+from tidewatch.operators import spread
 
 WORDS = 3
 VERIFY = 100
+TURN = 8
 # Text whose sets are made at once.
 CHUNK = 4 << 20
 
@@ -237,13 +239,13 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """num, comp: the smallest num that is reachable. Least labels, with jumps along labels."""
     both = common.stored(edges.union(edges.select("b", "a")).distinct())
-    labels = common.stored(nodes.select("num", F.col("num").alias("comp")))
+    labels = nodes.select("num", F.col("num").alias("comp"))
     while True:
         near = both.join(labels.withColumnRenamed("num", "a"), "a").groupBy("b").agg(F.min("comp").alias("near"))
         new = labels.join(near.withColumnRenamed("b", "num"), "num", "left")
         new = new.select("num", "comp", F.least("comp", F.coalesce("near", "comp")).alias("next"))
-        new = common.stored(new)
-        jump = new.select(F.col("num").alias("next"), F.col("next").alias("far"))
+        # The label of the node that gives the new label is at most that label.
+        jump = labels.select(F.col("num").alias("next"), F.col("comp").alias("far"))
         after = common.stored(new.join(jump, "next").select("num", "comp", "far"))
         changed = after.where("far != comp").limit(1).count()
         labels = after.select("num", F.col("far").alias("comp"))
@@ -251,12 +253,31 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: what is connected already counts as one node."""
+    a = comps.select(F.col("num").alias("a"), F.col("comp").alias("x"))
+    b = comps.select(F.col("num").alias("b"), F.col("comp").alias("y"))
+    edges = links.join(a, "a").join(b, "b").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = common.stored(edges.distinct())
+    ends = edges.select(F.col("a").alias("num")).union(edges.select("b")).distinct()
+    over = components(edges, ends).select(F.col("num").alias("comp"), F.col("comp").alias("new"))
+    return common.stored(comps.join(over, "comp", "left").select("num", F.coalesce("new", "comp").alias("comp")))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row, in place of the text: n_shingles, component_id, and t1, t2 (hashes of its text)."""
     ids = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = common.stored(set_ids(ids, "text"))
-    full = rows.where("n > 0")
-    sets = full.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min(F.struct("t1", "t2")).alias("t"))
+    with spread.job(df.sparkSession) as keep, common.tidy(df.sparkSession):
+        rows = keep(set_ids(ids, "text"))
+        named = keep(component_ids(ids, rows))
+    out = rows.join(named, ["s1", "s2"], "left")
+    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), alone.alias("component_id"), "t1", "t2")
+
+
+def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """s1, s2, component_id of every set, from texts (id, text) and their sets (``set_ids``)."""
+    sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min(F.struct("t1", "t2")).alias("t"))
     sets = common.stored(sets.select("s1", "s2", "id", "t.*", F.monotonically_increasing_id().alias("num")))
 
     # Lists of at least two different sets, then their members; lists of one are most and go first.
@@ -278,7 +299,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     links = common.stored(linked(best.select("a", F.col("num").alias("b")), texts))
     comps = components(links, nodes)
 
-    done, turn = 0, 1
+    done, turn = 0, TURN
     while True:
         # Lists that still hold two components; the next of their members meet all later ones.
         state = members.join(comps, "num")
@@ -287,17 +308,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         state = common.stored(state.join(open_lists, "key"))
         if not state.limit(1).count():
             break
-        pairs = turns(state, done, turn)
-        links = common.stored(links.union(linked(pairs, texts)))
-        comps = components(links, nodes)
-        done, turn = done + turn, 4 * turn
+        comps = merged(comps, common.stored(linked(turns(state, done, turn), texts)))
+        done, turn = done + turn, TURN * turn
 
     smallest = sets.join(comps, "num").groupBy("comp").agg(F.min("id").alias("component_id"))
     named = sets.join(comps, "num", "left").join(smallest, "comp", "left")
-    named = named.select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(named, ["s1", "s2"], "left")
-    alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), alone.alias("component_id"), "t1", "t2")
+    return named.select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def turns(state: DataFrame, done: int, turn: int) -> DataFrame:
