@@ -88,12 +88,36 @@ def test_long_lists_of_unlike_sets(spark, monkeypatch):
             words[at] = f"x{r.randrange(6)}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = s.near_duplicates(df).drop("t1", "t2")
     want = brute(rows)
-    assert sorted(map(tuple, got.collect()), key=repr) == want
+    for block in (1500, 7):
+        monkeypatch.setattr(s, "BLOCK", block)
+        got = s.near_duplicates(df).drop("t1", "t2")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
     assert len({w[2] for w in want}) > 3
 
 
+def test_bound_never_rules_a_link_out():
+    r, hasher = random.Random(6), Hasher()
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for i in range(40):
+        words = list(base[: r.choice([60, 200, 400])])
+        for at in r.sample(range(len(words)), r.randint(0, len(words) // 20)):
+            words[at] = f"x{r.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = s.Sets(hasher, [t.encode() for t in texts])
+    slot = sets.doc * s.BUCKETS + (s.mixed(sets.value) % s.U(s.BUCKETS)).astype(int)
+    counts = s.np.bincount(slot, minlength=40 * s.BUCKETS).reshape(40, -1)
+    i, j = s.close_pairs(sets.size, s.np.arange(40), s.np.minimum(counts, 3).astype(s.np.uint8), s.np.full(40, 2))
+    found, true = set(zip(i.tolist(), j.tolist(), strict=True)), set()
+    for a in range(40):
+        for b in range(a + 1, 40):
+            x, y = shingles(texts[a]), shingles(texts[b])
+            if 100 * len(x & y) >= 90 * len(x | y):
+                true.add((a, b))
+    assert true and true <= found
+
+
 def test_listings_are_complete():
     """Any two linked sets share a list."""
     hasher, r = Hasher(), random.Random(9)

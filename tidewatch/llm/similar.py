@@ -12,11 +12,14 @@ c(n, m) = ceil(9 (n + m) / 19) and at most (n + m) / 19 elements in one set only
 * The boundary is the last size at which listing subsets costs less than listing parts, where a part of two or fewer
   shingles costs ``VERIFY`` listings for the false candidates it brings.
 
-Equal sets are one node. Lists are scanned from one member: it is paired with all others, links are
-verified on the full texts, and what is connected already is not compared again. As long as a list
-holds members of two components, further members take their turn, ``TURN`` times as many each round, until
-every pair of the list is connected or was verified. So no link between different sets is
-lost, a list of near copies costs its length, and no list is held in one task.
+Equal sets are one node. Lists are scanned twice. First each set is verified, on the full texts, against
+the head that it shares most lists with, and links make components. Then every list that still holds
+two components is scanned whole: members carry the counts of their shingles in ``BUCKETS`` hash
+buckets, and the sum of the differences of two sets' counts is at most the number of shingles that one
+of them lacks. Where that bound allows a link between components, the pair is verified on the texts.
+So every pair of a list is connected, ruled out exactly, or verified: no link between different sets
+is lost, and pairs are only passed on if they may link. Lists of over ``BLOCK`` members are cut into
+blocks, and pairs of blocks go to different tasks.
 
 Words are lower-case A-Z, cut at white space; a set holds the distinct three-word shingles, or the
 whole sequence where there are fewer words. Null or wordless texts have an empty set, link with
@@ -42,7 +45,8 @@ from tidewatch.operators import spread
 
 WORDS = 3
 VERIFY = 100
-TURN = 8
+BUCKETS = 256
+BLOCK = 1500
 # Text whose sets are made at once.
 CHUNK = 4 << 20
 
@@ -299,32 +303,109 @@ def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     links = common.stored(linked(best.select("a", F.col("num").alias("b")), texts))
     comps = components(links, nodes)
 
-    done, turn = 0, TURN
-    while True:
-        # Lists that still hold two components; the next of their members meet all later ones.
-        state = members.join(comps, "num")
-        open_lists = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        open_lists = open_lists.where(f"lo != hi and size > {done + 1}").select("key")
-        state = common.stored(state.join(open_lists, "key"))
-        if not state.limit(1).count():
-            break
-        comps = merged(comps, common.stored(linked(turns(state, done, turn), texts)))
-        done, turn = done + turn, TURN * turn
+    state = members.join(comps, "num")
+    lists = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    state = common.stored(state.join(lists.where("lo != hi").select("key", "size"), "key"))
+    pairs = common.stored(possible(state, sketches(texts)).distinct())
+    comps = merged(comps, common.stored(linked(pairs, texts)))
 
     smallest = sets.join(comps, "num").groupBy("comp").agg(F.min("id").alias("component_id"))
     named = sets.join(comps, "num", "left").join(smallest, "comp", "left")
     return named.select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def turns(state: DataFrame, done: int, turn: int) -> DataFrame:
-    """Pairs of each list's members number done + 1 to done + turn with the later ones of other components."""
-    from pyspark.sql.window import Window
+def sketches(texts: DataFrame) -> DataFrame:
+    """num, n, sketch: the counts of a set's shingles per hash bucket, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for at, raw in chunks(batch, 1):
+                sets = Sets(hasher, raw)
+                slot = sets.doc * BUCKETS + (mixed(sets.value) % U(BUCKETS)).astype(np.int64)
+                counts = np.bincount(slot, minlength=len(raw) * BUCKETS).reshape(-1, BUCKETS)
+                # Counts are cut at 255: that makes the bound smaller, never wrong.
+                rows = [c.tobytes() for c in np.minimum(counts, 255).astype(np.uint8)]
+                arrays = [batch.column(0).slice(at, len(raw)), pa.array(sets.size.astype(np.int64)), pa.array(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["num", "n", "sketch"])
+
+    return texts.select("num", "raw").mapInArrow(run, "num long, n long, sketch binary")
+
 
-    ranked = state.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("num")))
-    hubs = ranked.where(F.col("rank").between(done + 1, done + turn))
-    hubs = hubs.select("key", F.col("num").alias("a"), F.col("comp").alias("comp_a"), F.col("rank").alias("rank_a"))
-    pairs = hubs.join(ranked, "key").where("rank > rank_a and comp != comp_a")
-    return pairs.select("a", F.col("num").alias("b")).distinct()
+def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components that the bound allows to link.
+
+    ``side`` is 0 or 1 where two blocks meet, and 2 throughout where a block meets itself.
+    """
+    first, second = [], []
+    left = np.flatnonzero(side != 1)
+    right = np.flatnonzero(side != 0)
+    other = sketch[right].astype(np.int16)
+    for at in range(0, len(left), 16):
+        i = left[at : at + 16]
+        total = n[i][:, None] + n[right]
+        ok = (comp[i][:, None] != comp[right]) & (10 * np.minimum(n[i][:, None], n[right]) >= 9 * np.maximum(n[i][:, None], n[right]))
+        if side[0] == 2:
+            ok &= i[:, None] < right
+        if not ok.any():
+            continue
+        apart = np.abs(sketch[i].astype(np.int16)[:, None, :] - other).sum(axis=2, dtype=np.int64)
+        a, b = np.nonzero(ok & (apart <= total // 19))
+        first.append(i[a])
+        second.append(right[b])
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def possible(state: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that a list holds and the bound does not rule out."""
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("num"), blocks).cast("int")
+    dealt = state.select("key", "num", "comp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = dealt.select(
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "num", "comp",
+        F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side"),
+    ).join(sketched, "num")
+    # Rows of a list meet in one task; the lists of a task come one after the other.
+    parts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "lo", "hi", "num", "comp", "side", "n", "sketch")
+    dealt = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def scan(num: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> pa.RecordBatch:
+        counts = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BUCKETS)
+        i, j = close_pairs(n, comp, counts, side)
+        a, b = np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            num, comp, side, n = (table.column(c).to_numpy() for c in ("num", "comp", "side", "n"))
+            return scan(num, comp, side, n, table.column("sketch").to_pylist())
+
+        last = None
+        for batch in batches:
+            ids = [np.asarray(batch.column(c)) for c in range(3)]
+            change = np.zeros(batch.num_rows, bool)
+            for c in ids:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                key = tuple(int(c[a]) for c in ids)
+                if held and key != last:
+                    yield flush()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            yield flush()
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
