@@ -64,6 +64,12 @@ def place(
     )
 
 
+def unplaced(lengths: DataFrame, by: Sequence[str], types: Sequence[str], shortest: int = 45, gap: int = 6) -> DataFrame:
+    """(by, n_unplaced): segments that ``place`` leaves out because a series is too short for them."""
+    short = F.floor(F.col("n") / len(types)) - gap < shortest
+    return lengths.select(*by, F.when(short, len(types)).otherwise(0).alias("n_unplaced"))
+
+
 def ramp_weight(i: Column, length: Column, ramp: Column) -> Column:
     """Weight of the fault at position i of its segment: a cosine rise and fall over ``ramp`` steps."""
     r = F.greatest(F.lit(1), F.least(ramp, F.floor((length - 1) / 2)))

@@ -58,7 +58,8 @@ class WindowPca:
 
     @staticmethod
     def from_rows(df: DataFrame) -> "WindowPca":
-        rows = df.orderBy("position").limit(MAX_WIDTH).collect()
+        """The stored model whole: one row per value of a window."""
+        rows = df.orderBy("position").collect()
         return WindowPca(np.array([r["mean"] for r in rows]), np.array([r["loadings"] for r in rows]))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
@@ -118,22 +121,28 @@ def _(spark, folder):
     "scalar_array",
     """SELECT vec_id, round(list_avg(CAST(embedding AS DOUBLE[])), 6) AS a_mean,
     round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS a_sum, round(CAST(list_max(embedding) AS DOUBLE), 6) AS a_max,
-    round(CAST(list_reverse(embedding)[1] AS DOUBLE), 6) AS a_reverse, round(list_sum(CAST(embedding[3:7] AS DOUBLE[])), 6) AS a_slice,
-    round(CAST(embedding[63] AS DOUBLE), 6) AS a_roll, CAST(len(embedding) * 2 AS INTEGER) AS a_concat, 3 AS a_repeat FROM embeddings""",
+    round(list_sum(list_transform(list_reverse(e), lambda x, i: x * i)), 4) AS a_reverse,
+    round(list_sum(list_transform(e[3:7], lambda x, i: x * i)), 4) AS a_slice, round(list_sum(list_transform(list_concat(e[63:64], e[1:62]), lambda x, i: x * i)), 4) AS a_roll,
+    round(list_sum(list_transform(list_concat(e, e), lambda x, i: x * i)), 4) AS a_concat, round(list_sum(list_transform([e[1], e[1], e[1]], lambda x, i: x * i)), 4) AS a_repeat FROM (SELECT vec_id, embedding, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""",
 )
 def _(spark, folder):
     v = F.transform("embedding", lambda x: x.cast("double"))
     rolled = F.concat(F.slice(v, -2, 2), F.slice(v, 1, WIDTH - 2))
+
+    def whole(values):
+        """Every value of an array in one number: each counts as often as its place."""
+        return F.round(losses.total(F.transform(values, lambda x, i: x * (i + 1))), 4)
+
     return table(spark, folder, "embeddings").select(
         "vec_id",
         F.round(losses.mean(v), 6).alias("a_mean"),
         F.round(losses.total(v), 6).alias("a_sum"),
         F.round(F.array_max(v), 6).alias("a_max"),
-        F.round(F.get(F.reverse(v), F.lit(0)), 6).alias("a_reverse"),
-        F.round(losses.total(F.slice(v, 3, 5)), 6).alias("a_slice"),
-        F.round(F.get(rolled, F.lit(0)), 6).alias("a_roll"),
-        F.size(F.concat(v, v)).alias("a_concat"),
-        F.size(F.array_repeat(F.lit(0.0), 3)).alias("a_repeat"),
+        whole(F.reverse(v)).alias("a_reverse"),
+        whole(F.slice(v, 3, 5)).alias("a_slice"),
+        whole(rolled).alias("a_roll"),
+        whole(F.concat(v, v)).alias("a_concat"),
+        whole(F.array_repeat(F.get(v, F.lit(0)), 3)).alias("a_repeat"),
     )
 
 
@@ -468,21 +477,16 @@ def _(spark, folder):
     "flatten_windows",
     sql(
         "d3",
-        f"""SELECT series_id, t - {SHORT - 1} AS w, CAST({SHORT * 5} AS INTEGER) AS width, first_value(click) OVER fr AS first_value,
-        view AS last_value FROM d3
-        WINDOW fr AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN {SHORT - 1} PRECEDING AND CURRENT ROW)
-        QUALIFY t >= {SHORT - 1}""",
+        "lo AS ("
+        + " UNION ALL ".join(f"SELECT series_id, t, {i} AS k, {k} AS x FROM d3" for i, k in enumerate(KINDS))
+        + f""") SELECT lo.series_id, lo.t - j AS w, CAST(j * 5 + k AS INTEGER) AS place, x FROM lo, range({SHORT}) r(j)
+        JOIN (SELECT series_id, max(t) AS top FROM d3 GROUP BY 1) m ON m.series_id = lo.series_id
+        WHERE lo.t - j >= 0 AND lo.t - j + {SHORT - 1} <= m.top""",
     ),
 )
 def _(spark, folder):
     flat = windows.flatten_windows(windows.sliding(tables.full_day_panel(spark, folder), BY, KINDS, SHORT))
-    return flat.select(
-        "series_id",
-        "w",
-        F.size("vec").alias("width"),
-        F.col("vec")[0].alias("first_value"),
-        F.element_at("vec", -1).alias("last_value"),
-    )
+    return flat.select("series_id", "w", F.posexplode("vec").alias("place", "x"))
 
 
 @query(
@@ -551,10 +555,12 @@ def _(spark, folder):
         "d3",
         "lg AS ("
         + " UNION ALL ".join(f"SELECT series_id, t, '{k}' AS f, floor({k}) AS x FROM d3" for k in KINDS)
-        + """) SELECT a.series_id, a.f AS feature_i, b.f AS feature_j, count(*) AS n, sum(a.x * b.x) AS dot
-        FROM lg a JOIN lg b ON b.series_id = a.series_id AND b.t = a.t + 2 AND a.f < b.f GROUP BY 1, 2, 3""",
+        + """) SELECT CAST(lag AS INTEGER) AS lag, a.series_id, a.f AS feature_i, b.f AS feature_j, count(*) AS n, sum(a.x * b.x) AS dot
+        FROM lg a, range(4) r(lag) JOIN lg b ON b.series_id = a.series_id AND b.t = a.t + lag AND a.f < b.f GROUP BY ALL""",
     ),
 )
 def _(spark, folder):
     whole = tables.full_day_panel(spark, folder).withColumns({k: F.floor(k).cast("double") for k in KINDS})
-    return select.lagged_products(whole, BY, KINDS, 2).where("feature_i < feature_j")
+    whole = spread.durable(whole)
+    lags = [select.lagged_products(whole, BY, KINDS, tau).withColumn("lag", F.lit(tau)) for tau in range(4)]
+    return functools.reduce(DataFrame.unionByName, lags).where("feature_i < feature_j")
