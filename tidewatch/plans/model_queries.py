@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import losses
 from tidewatch.operators import compare, evaluate, graph, prepare, reconstruct, scoring, select, spread, windows
 from tidewatch.plans import detectors, tables
+from tidewatch.plans.detect_queries import CALIBRATED, calibrated
 from tidewatch.plans.registry import query
 from tidewatch.plans.tables import BY, KINDS, SHORT, sql, table
 from tidewatch.sources import sinks
@@ -285,6 +286,23 @@ def _(spark, folder):
     return rounded(reconstruct.pca_errors(wins, model, ["series_id", "w"]), ["score"])
 
 
+@query(
+    "sink_calibrated",
+    sql(
+        "gl ec",
+        CALIBRATED.format(how="avg") + """, th AS (SELECT series_id, quantile_cont(score, 0.9) AS threshold FROM sc WHERE split = 'val' GROUP BY 1)
+        SELECT series_id, w, t_end, score, round(threshold, 9) AS threshold, CAST(score > threshold AS INTEGER) AS pred FROM sc JOIN th USING (series_id)""",
+    ),
+)
+def _(spark, folder):
+    fitted, steps = calibrated(spark, folder)
+    path = sinks.scratch(spark, "calibrated")
+    parts = {"ecdf": fitted.ecdf, "held_out": fitted.held_out, "thresholds": fitted.thresholds}
+    sinks.save_fitted(parts, path)
+    again = detectors.FittedCalibrated(fitted.detector, **sinks.load_fitted(spark, path, list(parts)))
+    return rounded(again.transform(steps), ["threshold"], 9)
+
+
 # ---- estimators and grids -------------------------------------------------------------
 
 
