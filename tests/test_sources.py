@@ -181,3 +181,24 @@ def test_channels_with_their_labels(spark, tmp_path):
     got = readers.labelled_channels(spark, str(folder), str(labels)).orderBy("series_id", "t").collect()
     assert [(r.series_id, r.y) for r in got] == [("P-1", 0), ("P-1", 1), ("P-1", 1), ("P-1", 0), ("P-1", 1)] + [("Q-2", 0)] * 3
     assert got[1]["values"] == [2.0, 3.0]
+
+
+def test_stream_score_in_event_time(spark, tmp_path):
+    """Ids run against time."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stamp = lambda i: (pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)).to_pydatetime()
+
+    def arrive(first, n):
+        rows = [(1000 - i, stamp(i), 1, float(i * i)) for i in range(first, first + n)]
+        df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double")
+        df.coalesce(1).write.mode("append").parquet(inbox)
+        stream = online.read_events(spark, inbox)
+        scored = online.score(stream, "user_id", "value", 3, ["ts", "event_id"])
+        online.advance(scored, out)
+        return {r.event_id: r.score for r in online.results(scored, out).collect()}
+
+    arrive(0, 4)
+    got = arrive(4, 3)
+    for i in range(7):
+        want = None if i < 2 else float(np.var([(i - 2.0) ** 2, (i - 1.0) ** 2, float(i) ** 2]))
+        assert got[1000 - i] == pytest.approx(want) if want is not None else got[1000 - i] is None

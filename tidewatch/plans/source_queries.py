@@ -259,7 +259,7 @@ def _(spark, folder):
     cuts = spread.durable(cuts)
 
     def build(stream):
-        scored = rounded(online.score(stream, "user_id", "value", LENGTH), ["score"])
+        scored = rounded(online.score(stream, "user_id", "value", LENGTH, ["ts", "event_id"]), ["score"])
         return online.flag(scored, cuts, "user_id")
 
     return feed(spark, folder, build).select("user_id", "event_id", "score", "pred")

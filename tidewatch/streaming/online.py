@@ -58,31 +58,38 @@ def alarms(flags: DataFrame, keys: Sequence[str], gap: str, late: str = "1 hour"
 
 
 def score(
-    events: DataFrame, key: str, value: str, length: int, order: str = "event_id", state_rows: int | None = None
+    events: DataFrame,
+    key: str,
+    value: str,
+    length: int,
+    order: str | Sequence[str] = "event_id",
+    state_rows: int | None = None,
 ) -> DataFrame:
     """Score each new row by the error of its trailing window against the window mean.
 
     Per key the last ``length - 1`` values are kept as state, so a row is scored with rows of
     earlier batches. Rows must reach the stream in order between batches; inside a batch
-    they are put in order here, so one batch's rows of a key should fit into a task (bound the
-    batch with ``files_per_batch``). Output: (key, order, score), null while the window is not full.
+    they are put in ``order`` here (event time first, then what breaks its ties), so one batch's rows of a
+    key should fit into a task (bound the batch with ``files_per_batch``). The state of a key stays as
+    long as the query. Output: (key, order, score), null while the window is not full.
     """
     kept = length - 1 if state_rows is None else state_rows
+    places = [order] if isinstance(order, str) else list(order)
     kinds = dict(events.dtypes)
-    out = f"{key} {kinds[key]}, {order} {kinds[order]}, score double"
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in (key, *places)), "score double"])
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tail = np.array(state.get[0] if state.exists else [], dtype=float)
-        fresh = pd.concat(list(batches)).sort_values(order)
+        fresh = pd.concat(list(batches)).sort_values(places)
         seen = np.concatenate([tail, fresh[value].to_numpy(dtype=float)])
         scores = np.full(len(fresh), np.nan)
         if len(seen) >= length:
             wins = np.lib.stride_tricks.sliding_window_view(seen, length)
             scores[len(fresh) - len(wins) :] = wins.var(axis=1)
         state.update(([float(v) for v in seen[len(seen) - min(kept, len(seen)) :]],))
-        yield pd.DataFrame({key: k[0], order: fresh[order].to_numpy(), "score": scores})
+        yield pd.DataFrame({key: k[0], **{c: fresh[c].to_numpy() for c in places}, "score": scores})
 
-    scored = events.select(key, order, value).groupBy(key).applyInPandasWithState(
+    scored = events.select(key, *places, value).groupBy(key).applyInPandasWithState(
         step, out, "tail array<double>", "append", "NoTimeout"
     )
     return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
