@@ -108,7 +108,7 @@ def test_bound_never_rules_a_link_out():
     sets = s.Sets(hasher, [t.encode() for t in texts])
     slot = sets.doc * s.BUCKETS + (s.mixed(sets.value) % s.U(s.BUCKETS)).astype(int)
     counts = s.np.bincount(slot, minlength=40 * s.BUCKETS).reshape(40, -1)
-    i, j = s.close_pairs(sets.size, s.np.arange(40), s.np.minimum(counts, 3).astype(s.np.uint8), s.np.full(40, 2))
+    i, j, apart = s.close_pairs(sets.size, s.np.arange(40), s.np.minimum(counts, 3).astype(s.np.uint8), s.np.full(40, 2))
     found, true = set(zip(i.tolist(), j.tolist(), strict=True)), set()
     for a in range(40):
         for b in range(a + 1, 40):
@@ -116,6 +116,16 @@ def test_bound_never_rules_a_link_out():
             if 100 * len(x & y) >= 90 * len(x | y):
                 true.add((a, b))
     assert true and true <= found
+    # A forest connects what the pairs connect, with fewer of them.
+    x, y = s.forest(i, j, apart, s.np.arange(40))
+
+    def groups(pairs):
+        label = list(range(40))
+        for a, b in pairs:
+            label = [label[a] if v == label[b] else v for v in label]
+        return [label.index(v) for v in label]
+
+    assert len(x) < 40 and groups(zip(x.tolist(), y.tolist())) == groups(found)
 
 
 def test_listings_are_complete():

@@ -12,13 +12,14 @@ c(n, m) = ceil(9 (n + m) / 19) and at most (n + m) / 19 elements in one set only
 * The boundary is the last size at which listing subsets costs less than listing parts, where a part of two or fewer
   shingles costs ``VERIFY`` listings for the false candidates it brings.
 
-Equal sets are one node. Lists are scanned twice. First each set is verified, on the full texts, against
+Equal sets are one node. Lists are scanned three times. First each set is verified, on the full texts, against
 the head that it shares most lists with, and links make components. Then every list that still holds
-two components is scanned whole: members carry the counts of their shingles in ``BUCKETS`` hash
+two components is scanned whole, twice: members carry the counts of their shingles in ``BUCKETS`` hash
 buckets, and the sum of the differences of two sets' counts is at most the number of shingles that one
-of them lacks. Where that bound allows a link between components, the pair is verified on the texts.
-So every pair of a list is connected, ruled out exactly, or verified: no link between different sets
-is lost, and pairs are only passed on if they may link. Lists of over ``BLOCK`` members are cut into
+of them lacks. The first of these scans passes on a forest per list, the closest pairs
+that would connect its components; they are verified on the texts and mostly link. The second passes on every pair that the
+bound still allows between components. So every pair of a list is connected, ruled out exactly, or verified: no link between
+different sets is lost, and links inside what is connected already are not passed on. Lists of over ``BLOCK`` members are cut into
 blocks, and pairs of blocks go to different tasks.
 
 Words are lower-case A-Z, cut at white space; a set holds the distinct three-word shingles, or the
@@ -303,11 +304,14 @@ def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     links = common.stored(linked(best.select("a", F.col("num").alias("b")), texts))
     comps = components(links, nodes)
 
-    state = members.join(comps, "num")
-    lists = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    state = common.stored(state.join(lists.where("lo != hi").select("key", "size"), "key"))
-    pairs = common.stored(possible(state, sketches(texts)).distinct())
-    comps = merged(comps, common.stored(linked(pairs, texts)))
+    sketched = common.stored(sketches(texts))
+    for whole in (False, True):
+        state = members.join(comps, "num")
+        lists = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+        members = common.stored(state.join(lists.where("lo != hi").select("key", "size"), "key"))
+        pairs = common.stored(possible(members, sketched, whole).distinct())
+        comps = merged(comps, common.stored(linked(pairs, texts)))
+        members = members.select("key", "num")
 
     smallest = sets.join(comps, "num").groupBy("comp").agg(F.min("id").alias("component_id"))
     named = sets.join(comps, "num", "left").join(smallest, "comp", "left")
@@ -332,12 +336,12 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("num", "raw").mapInArrow(run, "num long, n long, sketch binary")
 
 
-def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different components that the bound allows to link.
+def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of members of different components that the bound allows to link, and the bound.
 
     ``side`` is 0 or 1 where two blocks meet, and 2 throughout where a block meets itself.
     """
-    first, second = [], []
+    first, second, bound = [], [], []
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     other = sketch[right].astype(np.int16)
@@ -353,13 +357,49 @@ def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.nd
         a, b = np.nonzero(ok & (apart <= total // 19))
         first.append(i[a])
         second.append(right[b])
+        bound.append(apart[a, b])
     if not first:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(first), np.concatenate(second)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return np.concatenate(first), np.concatenate(second), np.concatenate(bound)
 
 
-def possible(state: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that a list holds and the bound does not rule out."""
+def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that connect the components they join, the closest first (Boruvka)."""
+    order = np.lexsort((j, i, apart))
+    i, j = i[order], j[order]
+    label, kept_i, kept_j = np.unique(comp, return_inverse=True)[1], [], []
+    while True:
+        on = label[i] != label[j]
+        i, j = i[on], j[on]
+        if not len(i):
+            break
+        best = np.full(label.max() + 1, len(i))
+        at = np.arange(len(i))
+        np.minimum.at(best, label[i], at)
+        np.minimum.at(best, label[j], at)
+        chosen = np.unique(best[best < len(i)])
+        kept_i.append(i[chosen])
+        kept_j.append(j[chosen])
+        parent = list(range(len(best)))
+
+        def root(x: int, parent: list[int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in zip(label[i[chosen]].tolist(), label[j[chosen]].tolist(), strict=True):
+            parent[root(x)] = root(y)
+        label = np.array([root(x) for x in range(len(best))])[label]
+    if not kept_i:
+        return i, j
+    return np.concatenate(kept_i), np.concatenate(kept_j)
+
+
+def possible(state: DataFrame, sketched: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of different components that a list holds and the bound does not rule out.
+
+    Unless ``whole``, only as many for a list as would connect its components.
+    """
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("num"), blocks).cast("int")
     dealt = state.select("key", "num", "comp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -374,7 +414,9 @@ def possible(state: DataFrame, sketched: DataFrame) -> DataFrame:
 
     def scan(num: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> pa.RecordBatch:
         counts = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BUCKETS)
-        i, j = close_pairs(n, comp, counts, side)
+        i, j, apart = close_pairs(n, comp, counts, side)
+        if not whole:
+            i, j = forest(i, j, apart, comp)
         a, b = np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
