@@ -321,7 +321,11 @@ def fit(pages: DataFrame, url: str = "url", page: str = "html", most: int = TRAI
     """The network, fitted on ``most`` pages."""
     asked = pages.where(F.col(page).isNotNull()).select(F.col(page).alias("p"), F.xxhash64(url, page).alias("k"))
     with common.tidy(pages.sparkSession):
-        rows = [r.p for r in asked.orderBy("k", "p").limit(most).collect()]
+        # The cut among the hashes first, so that no more pages than asked for travel; equal pages count once.
+        last = asked.select("k").distinct().orderBy("k").limit(most).agg(F.max("k")).first()[0]
+        chosen = asked.where(F.col("k") <= F.lit(last)).groupBy("k").agg(F.first("p").alias("p"))
+        rows = [r.p for r in chosen.collect()] if last is not None else []
+        rows.sort()
     features, r, sequences = Features(), np.random.default_rng(SEED), []
     for row in dict.fromkeys(rows):
         blocks = parse(row)
