@@ -280,7 +280,7 @@ class Encoder(dict):
 
 
 def frequent_words(df: DataFrame, text: str, path: str, most: int) -> list[str]:
-    """The ``most`` most frequent words (ties by the word): at most that many reach the driver."""
+    """The most frequent words, ``most`` at most: no more reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, seen = Tables(path), Counter()
@@ -295,12 +295,11 @@ def frequent_words(df: DataFrame, text: str, path: str, most: int) -> list[str]:
     def emit(seen: Counter) -> pa.RecordBatch:
         rows = [(w, n) for w, n in seen.items() if n >= MIN_IN_TASK and len(w) <= LONGEST and w.isprintable()]
         words = pa.array([w for w, _ in rows], pa.string())
-        return pa.RecordBatch.from_arrays([words, pa.array([n for _, n in rows], pa.int64())], ["w", "n"])
+        return pa.RecordBatch.from_arrays([words, pa.array([n for _, n in rows], pa.int64())], ["w", "c"])
 
-    counts = df.select(F.col(text).alias("t")).mapInArrow(count, "w string, n long")
-    top = counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    with common.tidy(df.sparkSession):
-        return [r.w for r in top.collect()]
+    counts = df.select(F.col(text).alias("t")).mapInArrow(count, "w string, c long")
+    totals = common.stored(counts.groupBy("w").agg(F.sum("c").alias("c")))
+    return [w for w, _ in common.most_frequent(totals, most)]
 
 
 def build_lexicon(df: DataFrame, path: str, text: str = "text", most: int = LEXICON_WORDS) -> str:

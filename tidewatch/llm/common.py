@@ -82,3 +82,23 @@ def load_arrays(uri: str) -> dict[str, np.ndarray]:
 def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of an id as text, modulo parts; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+def most_frequent(counts: DataFrame, most: int) -> list[tuple]:
+    """(w, c) by falling count, then by word: at most ``most``, all words of a count or none.
+
+    The least count comes from the numbers of words per count, so that no task sorts the words.
+    """
+    with tidy(counts.sparkSession):
+        sizes = counts.groupBy("c").count().orderBy(F.desc("c")).limit(most).collect()
+        least, total = None, 0
+        for r in sizes:
+            total += r["count"]
+            if total > most:
+                break
+            least = r["c"]
+        if least is None:
+            return []
+        rows = counts.where(F.col("c") >= least).collect()
+    pairs = [(bytes(r.w) if isinstance(r.w, bytearray) else r.w, r.c) for r in rows]
+    return sorted(pairs, key=lambda p: (-p[1], p[0]))
