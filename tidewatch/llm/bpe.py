@@ -37,7 +37,7 @@ from tidewatch.llm import common
 LEXICON_WORDS = 65_536
 MIN_IN_TASK = 4
 # Words a worker remembers before it starts anew.
-MEMO = 250_000
+MEMO = 100_000
 # Longer words are not put in the lexicon.
 LONGEST = 64
 
@@ -330,7 +330,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Tables(path), Lexicon.open(lexicon))
         for batch in batches:
-            raw = [encoder.encode(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
+            raw = [encoder.encode(x.as_py() or "") for x in batch.column(at_text)]
             sizes = [len(r) // 4 for r in raw]
             arrays = [pa.array(sizes, pa.int64())]
             if ids:
@@ -344,7 +344,7 @@ def encode(
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, *arrays], [*inner, *added])
 
-    asked = df.select(*[F.col(c).alias(n) for n, c in zip(inner, kept, strict=True)], F.col(text).alias("_text"))
+    asked, at_text = df.select(*[F.col(c).alias(n) for n, c in zip(inner, kept, strict=True)]), kept.index(text)
     return asked.mapInArrow(run, schema).toDF(*kept, *added)
 
 

@@ -230,8 +230,8 @@ def covered(ranges: list[tuple[int, int]]) -> int:
 MARKS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _marked(columns: list[str], paths: list[str]):
-    """Arrow function: all columns but the last, which is the text, and the marks of the text."""
+def _marked(columns: list[str], paths: list[str], text: int):
+    """Arrow function: the first columns, and the marks of the text in column ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = Searcher(paths)
@@ -240,7 +240,7 @@ def _marked(columns: list[str], paths: list[str]):
             while at < batch.num_rows:
                 part, size = [], 0
                 while at + len(part) < batch.num_rows and (not part or size < CHUNK):
-                    part.append(batch.column(batch.num_columns - 1)[at + len(part)].as_py())
+                    part.append(batch.column(text)[at + len(part)].as_py())
                     size += len(part[-1] or "")
                 rows = searcher.marks(part)
                 hit = [covered(r[1]) for r in rows]
@@ -252,7 +252,7 @@ def _marked(columns: list[str], paths: list[str]):
                     pa.array([hashlib.sha256(x).hexdigest() for x in names], pa.string()),
                     pa.array([h > 0 for h in hit], pa.bool_()),
                 ]
-                kept = [batch.column(i).slice(at, len(part)) for i in range(batch.num_columns - 1)]
+                kept = [batch.column(i).slice(at, len(part)) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(
                     [*kept, *arrays],
                     [*columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
@@ -274,7 +274,7 @@ def mark(
     paths = save_windows(benchmark, item, "text", size)
     kind = documents.schema[id_column].dataType.simpleString()
     asked = documents.select(F.col(id_column).alias("_id"), F.col(text).alias("_text"))
-    return asked.mapInArrow(_marked([id_column], paths), f"`{id_column}` {kind}, {MARKS}")
+    return asked.mapInArrow(_marked([id_column], paths, 1), f"`{id_column}` {kind}, {MARKS}")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -284,8 +284,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", size:
     kinds = ", ".join(
         f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, documents.schema.fields, strict=True)
     )
-    asked = documents.toDF(*inner).withColumn("_text", F.col(inner[documents.columns.index(text)]))
-    marked = asked.mapInArrow(_marked(inner, paths), f"{kinds}, {MARKS}")
+    place = documents.columns.index(text)
+    marked = documents.toDF(*inner).mapInArrow(_marked(inner, paths, place), f"{kinds}, {MARKS}")
     return marked.where("not contaminated").select(*inner).toDF(*documents.columns)
 
 

@@ -28,7 +28,7 @@ from tidewatch.llm import common
 
 PROFILE = 400
 # Grams counted in a task before they are merged.
-MERGE = 4_000_000
+MERGE = 500_000
 UNKNOWN = "und"
 
 
@@ -155,12 +155,12 @@ def identify(df: DataFrame, profiles: DataFrame, text: str = "text", size: int =
         for batch in batches:
             for at in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(at, 512)
-                names, scores = known.answer(part.column(part.num_columns - 1).to_pylist())
+                names, scores = known.answer(part.column(at_text).to_pylist())
                 answers = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, *answers], [*inner, "lang_pred", "score"])
 
-    asked = df.select(*[F.col(c).alias(n) for n, c in zip(inner, kept, strict=True)], F.col(text).alias("_text"))
+    asked, at_text = df.select(*[F.col(c).alias(n) for n, c in zip(inner, kept, strict=True)]), kept.index(text)
     schema = ", ".join([*fields, "lang_pred string, score double"])
     return asked.mapInArrow(run, schema).toDF(*kept, "lang_pred", "score")
 
