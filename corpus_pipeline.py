@@ -24,9 +24,11 @@ LEAST_SCORE = 0.2
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language.learn(language.split(docs).where("not held_out"))
-    answered = language.identify(docs.select("*", F.struct("*").alias("_doc")).select("_doc", "text"), profiles)
+    # Inner names keep the answers and the columns of the table apart.
+    names = [f"_d{i}" for i in range(len(docs.columns))]
+    answered = language.identify(docs.toDF(*names), profiles, names[docs.columns.index("text")])
     kept = answered.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select("_doc.*")
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
