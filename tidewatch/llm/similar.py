@@ -49,7 +49,7 @@ VERIFY = 100
 BUCKETS = 256
 BLOCK = 1500
 # Text whose sets are made at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 U = np.uint64

@@ -41,7 +41,7 @@ LENGTH = 200
 PREFIX = 64
 BATCHES = 4
 # Text hashed at once; positions in it take 22 bits.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 # Contexts a task adds up before it passes them on.
 HELD = 500_000
 # Contexts of one run that a task compares, strings it holds before it compares them.
