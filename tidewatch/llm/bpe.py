@@ -37,7 +37,7 @@ from tidewatch.llm import common
 LEXICON_WORDS = 65_536
 MIN_IN_TASK = 4
 # Words a worker remembers before it starts anew.
-MEMO = 100_000
+MEMO = 250_000
 # Longer words are not put in the lexicon.
 LONGEST = 64
 
