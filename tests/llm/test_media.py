@@ -22,6 +22,25 @@ def test_any_bytes_round_trip_with_false_syncs():
     assert media.parse(media.write(payload)).payload == payload
 
 
+@pytest.mark.parametrize("size", [64, 128, 1408, 1472, 2880])
+def test_payload_that_looks_like_an_old_tag(size):
+    for at in range(max(0, size - 1417), size - 2):
+        payload = bytearray(b"." * size)
+        payload[at : at + 3] = b"TAG"
+        got = media.parse(media.write(bytes(payload)))
+        assert got.payload == payload and not got.skipped and "id3v1" not in got.tags, at
+        got = media.parse(media.write(bytes(payload)) + b"TAG" + b"title".ljust(125, b"\0"))
+        assert got.payload == payload and not got.skipped and got.tags["id3v1"] == "title", at
+    assert media.described(b"x" * 29 + b"TAG" + b"x" * 60)[1] == 128
+
+
+def test_old_tag_behind_a_cut_frame():
+    whole, tag = media.write(bytes(64) * 200), b"TAG" + b"title".ljust(125, b"\0")
+    for cut in (1, 60, 127):
+        got = media.parse(whole[:-cut] + tag)
+        assert len(got.offsets) == len(media.parse(whole).offsets) - 1 and got.tags["id3v1"] == "title", cut
+
+
 def test_damage_is_skipped_and_counted():
     whole = media.write(bytes(64) * 200)
     good = media.parse(whole)

@@ -166,10 +166,12 @@ def parse(data: bytes) -> Stream:
     """Frames, tags, tables and checks of a stream; damage is skipped and counted."""
     out, at, first, last, parts = Stream(), 0, True, None, []
     end = len(data)
-    if data[-128:-125] == b"TAG":
-        out.tags["id3v1"] = data[-125:-95].decode("latin-1").rstrip("\0 ")
-        end -= 128
+    # Where an ID3v1 tag may be: payload can have the same bytes, so a sure frame over that place comes first.
+    old = end - 128 if data[-128:-125] == b"TAG" else end
     while at < end:
+        if at == old:
+            out.tags["id3v1"] = data[-125:-95].decode("latin-1").rstrip("\0 ")
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at, tags = _id3(data, at)
             out.tags |= tags
@@ -179,13 +181,13 @@ def parse(data: bytes) -> Stream:
             then = at + h.length
             # A frame counts if it is whole and another frame, a tag or the end comes behind it.
             after = header(data[then : then + 4])
-            sure = then == end or data[then : then + 3] == b"ID3" or (after is not None and after.follows(h))
-            if then > end or not (sure or last is not None and h.follows(last)):
+            sure = then in (old, end) or data[then : then + 3] == b"ID3" or (after is not None and after.follows(h))
+            if then > end or not (sure or last is not None and h.follows(last) and not at < old < then):
                 h = None
         if h is None:
             nearest = data.find(b"\xff", at + 1, end)
             tag = data.find(b"ID3", at + 1, end if nearest < 0 else nearest)
-            then = min((x for x in (nearest, tag) if x >= 0), default=end)
+            then = min((x for x in (nearest, tag, old) if x > at), default=end)
             out.skipped += then - at
             out.resyncs += last is not None or not out.resyncs
             at, last = then, None
