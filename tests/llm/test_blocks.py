@@ -30,6 +30,23 @@ def test_parser():
     assert len(b.parse("<div>" * 3000 + "x")) == 1
 
 
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        *((f"<{n}-icon name='x'></{n}-icon>", "one two three") for n in ("svg", "style", "template", "object", "script", "math")),
+        ("<svg width='1'/>", "one two three"), ("<math />", "one two three"), ("<svg>", "one two three"),
+        ("<template>", "one two three"), ("<svg><title>no</title></svg>", "one two three"), ("<style>no</style>", "one two three"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "one x=2 two three"),
+        ("<object data='d'>instead</object>", "one instead two three"),
+        ("<noscript>instead<style>no</style></noscript>", "one instead two three"),
+        ("<script>no", "one"), ("<style >no", "one"), ("<template><p>no</p></template>", "one two three"),
+    ],
+)
+def test_only_dropped_elements_are_dropped(inner, want):
+    blocks = b.parse(f"<article><p>one {inner} two</p><p>three</p></article>")
+    assert " ".join(x.text for x in blocks) == want and all(x.path[0] == "article" for x in blocks)
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(0)
     net = b.Lstm(5, 3)

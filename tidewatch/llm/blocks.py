@@ -1,8 +1,8 @@
 """Main text of web pages: a recurrent network labels every block, seeing the whole page.
 
 The parser cuts a page into leaf blocks: runs of text between block-level tags or line breaks, each with
-the path of open elements (names, and the words of their class, id and role). Scripts, styles,
-comments and markup never become text. A block's input are hashed counts of its path, of its
+the path of open elements (names, and the words of their class, id and role). Scripts, styles, drawings, frames,
+templates, comments and markup never become text; formulas and fallback texts (object, noscript) do. A block's input are hashed counts of its path, of its
 words, and a few measures (length, share of link text, place in the page). A bidirectional LSTM in numpy reads the
 sequence, so each label depends on all blocks of the page.
 
@@ -43,12 +43,16 @@ SEED = 7
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav object ol "
+    "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript object ol "
     "optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-RAW = ("script", "style", "noscript", "svg", "math", "iframe", "object", "template")
+# Dropped up to their end tag: the first also up to the page's end without one, the others only where they have one.
+RAW = ("script", "style")
+CLOSED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("svg", "iframe", "template")}
+# Elements that "/>" closes.
+FOREIGN = ("svg", "math")
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -102,7 +106,8 @@ def parse(page: str) -> list[Block]:
                 return
 
     at = 0
-    for m in TAG.finditer(page):
+    open_ended = set()
+    while (m := TAG.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["raw"] or "").lower()
@@ -110,8 +115,15 @@ def parse(page: str) -> list[Block]:
             continue
         if name in BLOCK or name == "br":
             flush()
-        if m["raw"] is not None:
+        if m["raw"] is not None or name in FOREIGN and not m["end"] and m["rest"].endswith("/"):
             continue
+        if name in CLOSED and not m["end"] and name not in open_ended:
+            end = CLOSED[name].search(page, at)
+            if end is not None:
+                at = end.end()
+                continue
+            # Nor has any later one an end.
+            open_ended.add(name)
         if m["end"]:
             close(name)
         elif name not in VOID:
