@@ -156,3 +156,42 @@ def test_keep_one_and_empty(spark):
     assert len([k for k in kept if shingles(k.text)]) == len({w[2] for w in want if w[1]})
     assert len([k for k in kept if not shingles(k.text)]) == len([w for w in want if not w[1]])
     assert s.near_duplicates(df.limit(0)).count() == 0
+
+
+def plain_groups(rows, words, percent):
+    """Smallest id of each row's group, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = SPLIT.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * len(a | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (name, _), x in zip(rows, label, strict=True):
+        least[x] = min(least.get(x, name), name)
+    return {name: least[x] for (name, _), x in zip(rows, label, strict=True)}
+
+
+@pytest.mark.parametrize(("words", "percent", "seed"), [(5, 80, 5)])
+def test_other_width_and_threshold(spark, words, percent, seed):
+    rows = [(k, t) for k, (_, t) in enumerate(cases(seed)) if t and t.strip()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = s.near_duplicates(df, shingle=words, percent=percent).collect()
+    want = plain_groups(rows, words, percent)
+    assert {r.doc_id: r.component_id for r in got} == want != plain_groups(rows, 3, 90)
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    # One word replaced in the middle of 50: 41 of 51 shingles of five words, 45 of 51 of three.
+    base = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:25], "x", *base[26:]])), (3, " ".join(base[:25] + ["x"] + base[26:40] + ["y"] + base[41:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()}
+    assert kept == set(plain_groups(rows, 5, 80).values()) == {1} != set(plain_groups(rows, 3, 90).values())

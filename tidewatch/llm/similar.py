@@ -1,7 +1,8 @@
 """Similarity join of shingle sets by a size-aware light-heavy split, and its components.
 
-Two sets link when 100 * intersection >= 90 * union. With sizes n <= m that means an overlap of at least
-c(n, m) = ceil(9 (n + m) / 19) and at most (n + m) / 19 elements in one set only.
+Two sets link when 100 * intersection >= t * union, t = ``PERCENT`` unless said otherwise. With sizes n <= m that
+means an overlap of at least c(n, m) = ceil(t (n + m) / (100 + t)) and at most (100 - t) (n + m) / (100 + t) elements
+in one set only.
 
 * Light sets list all their subsets of each size c that a partner of fitting size asks for: two of
   them link exactly when they share a subset of their c.
@@ -22,8 +23,8 @@ bound still allows between components. So every pair of a list is connected, rul
 different sets is lost, and links inside what is connected already are not passed on. Lists of over ``BLOCK`` members are cut into
 blocks, and pairs of blocks go to different tasks.
 
-Words are lower-case A-Z, cut at white space; a set holds the distinct three-word shingles, or the
-whole sequence where there are fewer words. Null or wordless texts have an empty set, link with
+Words are lower-case A-Z, cut at white space; a set holds the distinct shingles of ``WORDS`` words
+unless said otherwise, or the whole sequence where there are fewer words. Null or wordless texts have an empty set, link with
 nothing and are their own component. A null id counts as no id: its component has the smallest other
 id, or null. Repeated rows are copies. Other columns are carried by ``near_duplicates``.
 """
@@ -44,7 +45,8 @@ from tidewatch.llm import common
 from tidewatch.llm.suffixes import Hasher, mixed
 from tidewatch.operators import spread
 
-WORDS = 3
+# What links unless said otherwise: shingles of so many words, and so many hundredths of the union.
+WORDS, PERCENT = 3, 90
 VERIFY = 100
 BUCKETS = 256
 BLOCK = 1500
@@ -55,49 +57,54 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b f
 U = np.uint64
 
 
-def overlap(n: int, m: int) -> int:
+def overlap(n: int, m: int, percent: int = PERCENT) -> int:
     """The least intersection of linked sets of n and m elements."""
-    return -(-9 * (n + m) // 19)
+    return -(-percent * (n + m) // (100 + percent))
 
 
-def subset_sizes(n: int) -> list[int]:
+def apart(total, percent: int = PERCENT):
+    """The most elements in one set only, of linked sets with ``total`` elements together."""
+    return (100 - percent) * total // (100 + percent)
+
+
+def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     """Subset sizes that a set of n elements lists: one for each size of a partner."""
-    return sorted({overlap(n, m) for m in range(-(-9 * n // 10), 10 * n // 9 + 1)})
+    return sorted({overlap(n, m, percent) for m in range(-(-percent * n // 100), 100 * n // percent + 1)})
 
 
 @lru_cache
-def grades(top: int) -> list[int]:
+def grades(top: int, percent: int = PERCENT) -> list[int]:
     """Largest sizes of the grades, up to ``top``: a partner's size is at most one grade on."""
-    out = [9]
+    out = [-(-percent // (100 - percent))]
     while out[-1] < top:
-        out.append(10 * out[-1] // 9)
-    return out + [10 * out[-1] // 9]
+        out.append(100 * out[-1] // percent)
+    return out + [100 * out[-1] // percent]
 
 
-def parts_of(limit: int) -> int:
+def parts_of(limit: int, percent: int = PERCENT) -> int:
     """Parts for pairs whose larger set has at most ``limit`` elements."""
-    return 2 * limit // 19 + 1
+    return apart(2 * limit, percent) + 1
 
 
 @lru_cache
-def boundary() -> int:
+def boundary(percent: int = PERCENT) -> int:
     """The largest size of a light set."""
 
     def heavy(n: int) -> float:
-        ladder, cost = grades(2 * n), 0.0
+        ladder, cost = grades(2 * n, percent), 0.0
         grade = next(i for i, u in enumerate(ladder) if n <= u)
-        for p in (parts_of(ladder[grade]), parts_of(ladder[grade + 1])):
+        for p in (parts_of(ladder[grade], percent), parts_of(ladder[grade + 1], percent)):
             few = sum(math.comb(n, k) * (1 / p) ** k * (1 - 1 / p) ** (n - k) for k in range(min(3, n + 1)))
             cost += p * (1 + VERIFY * few)
         return cost
 
-    return max(n for n in range(1, 64) if sum(math.comb(n, c) for c in subset_sizes(n)) <= heavy(n))
+    return max(n for n in range(1, 64) if sum(math.comb(n, c) for c in subset_sizes(n, percent)) <= heavy(n))
 
 
 class Sets:
     """The shingle sets of a chunk of texts: for each distinct shingle its document and hash."""
 
-    def __init__(self, hasher: Hasher, texts: list[bytes]):
+    def __init__(self, hasher: Hasher, texts: list[bytes], shingle: int = WORDS):
         raw = b" ".join(t.translate(FOLD) for t in texts) + b" "
         data = np.frombuffer(raw, np.uint8)
         space = np.concatenate([[True], data == 32])
@@ -109,8 +116,8 @@ class Sets:
         words = np.bincount(doc, minlength=len(texts))
         k = np.arange(len(doc)) - np.repeat(np.cumsum(words) - words, words)
         value, odd = word.copy(), U(0xD6E8FEB86659FD93)
-        width = np.minimum(words, WORDS)[doc]
-        for i in range(1, WORDS):
+        width = np.minimum(words, shingle)[doc]
+        for i in range(1, shingle):
             on = np.flatnonzero(width > i)
             on = on[on + i < len(word)]
             value[on] = mixed(value[on] * odd + word[on + i])
@@ -128,19 +135,19 @@ class Sets:
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         return self.s1.view(np.int64), (self.s2 >> U(32)).astype(np.uint32).view(np.int32)
 
-    def listings(self) -> tuple[np.ndarray, np.ndarray]:
+    def listings(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
         """(document, key) of every list that the sets stand in."""
-        light, docs, keys = boundary(), [], []
+        light, docs, keys = boundary(percent), [], []
         # A light set that may have heavy partners is listed in both ways.
-        heavy = 10 * self.size // 9 > light
+        heavy = 100 * self.size // percent > light
         if heavy.any():
-            ladder = np.array(grades(int(self.size.max())))
+            ladder = np.array(grades(int(self.size.max()), percent))
             grade = np.searchsorted(ladder, self.size)
             on = heavy[self.doc]
             value, doc = self.value[on], self.doc[on]
             for step in (0, 1):
                 g = grade + step
-                parts = np.where(heavy, 2 * ladder[np.minimum(g, len(ladder) - 1)] // 19 + 1, 0)
+                parts = np.where(heavy, parts_of(ladder[np.minimum(g, len(ladder) - 1)], percent), 0)
                 base = np.cumsum(parts) - parts
                 turned = mixed(value + g[doc].astype(U) * U(0x94D049BB133111EB))
                 slot = base[doc] + (turned % parts[doc].astype(U)).astype(np.int64)
@@ -154,7 +161,7 @@ class Sets:
         for d in np.flatnonzero((self.size > 0) & (self.size <= light)).tolist():
             mine = mixed(self.value[start[d] : start[d] + self.size[d]])
             total = mine.sum(dtype=U)
-            for c in subset_sizes(len(mine)):
+            for c in subset_sizes(len(mine), percent):
                 left_out = list(itertools.combinations(range(len(mine)), len(mine) - c))
                 out = np.array(left_out, np.int64).reshape(len(left_out), -1)
                 sums = np.full(len(out), total) - mine[out].sum(axis=1, dtype=U)
@@ -181,14 +188,14 @@ def as_bytes(text: str):
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
-def set_ids(df: DataFrame, text: str) -> DataFrame:
+def set_ids(df: DataFrame, text: str, shingle: int) -> DataFrame:
     """Per row: id, t1, t2 (hashes of its text), n, s1, s2 (hashes of its set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for at, texts in chunks(batch, 3):
-                sets = Sets(hasher, texts)
+                sets = Sets(hasher, texts, shingle)
                 s1, s2 = sets.ids()
                 kept = [batch.column(i).slice(at, len(texts)) for i in range(3)]
                 arrays = [*kept, pa.array(sets.size.astype(np.int64)), pa.array(s1), pa.array(s2)]
@@ -199,15 +206,15 @@ def set_ids(df: DataFrame, text: str) -> DataFrame:
     return asked.mapInArrow(run, f"id {kind}, t1 long, t2 int, n long, s1 long, s2 int")
 
 
-def listings(df: DataFrame, text: str) -> DataFrame:
+def listings(df: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
     """Every list that a set stands in: key, s1, s2; equal sets of a stretch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for _, texts in chunks(batch, 0):
-                sets = Sets(hasher, list(dict.fromkeys(texts)))
-                doc, key = sets.listings()
+                sets = Sets(hasher, list(dict.fromkeys(texts)), shingle)
+                doc, key = sets.listings(percent)
                 s1, s2 = sets.ids()
                 for a in range(0, len(doc), 200_000):
                     d, k = doc[a : a + 200_000], key[a : a + 200_000]
@@ -217,7 +224,7 @@ def listings(df: DataFrame, text: str) -> DataFrame:
     return df.select(as_bytes(text).alias("raw")).mapInArrow(run, "key long, s1 long, s2 int")
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets link; ``texts`` has num, raw."""
     right = texts.select(F.col("num").alias("b"), F.col("raw").alias("raw_b"))
     left = texts.select(F.col("num").alias("a"), F.col("raw").alias("raw_a"))
@@ -229,13 +236,13 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for i, a in enumerate(batch.column(0).to_pylist()):
                 if a != last:
-                    last, mine = a, Sets(hasher, [batch.column(2)[i].as_py()]).value
-                other = Sets(hasher, [batch.column(3)[i].as_py()]).value
+                    last, mine = a, Sets(hasher, [batch.column(2)[i].as_py()], shingle).value
+                other = Sets(hasher, [batch.column(3)[i].as_py()], shingle).value
                 small, large = sorted((len(mine), len(other)))
                 common_ = 0
-                if 10 * small >= 9 * large:
+                if 100 * small >= percent * large:
                     common_ = len(np.intersect1d(mine, other, assume_unique=True))
-                keep.append(100 * common_ >= 90 * (small + large - common_))
+                keep.append(100 * common_ >= percent * (small + large - common_))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -269,24 +276,26 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return common.stored(comps.join(over, "comp", "left").select("num", F.coalesce("new", "comp").alias("comp")))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
     """Per row, in place of the text: n_shingles, component_id, and t1, t2 (hashes of its text)."""
     ids = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     with spread.job(df.sparkSession) as keep, common.tidy(df.sparkSession):
-        rows = keep(set_ids(ids, "text"))
-        named = keep(component_ids(ids, rows))
+        rows = keep(set_ids(ids, "text", shingle))
+        named = keep(component_ids(ids, rows, shingle, percent))
     out = rows.join(named, ["s1", "s2"], "left")
     alone = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), alone.alias("component_id"), "t1", "t2")
 
 
-def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
+def component_ids(ids: DataFrame, rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """s1, s2, component_id of every set, from texts (id, text) and their sets (``set_ids``)."""
     sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min(F.struct("t1", "t2")).alias("t"))
     sets = common.stored(sets.select("s1", "s2", "id", "t.*", F.monotonically_increasing_id().alias("num")))
 
     # Lists of at least two different sets, then their members; lists of one are most and go first.
-    lists = listings(ids, "text")
+    lists = listings(ids, "text", shingle, percent)
     one = F.struct("s1", "s2")
     long = lists.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("key")
     long = common.stored(long)
@@ -301,16 +310,16 @@ def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     heads = members.groupBy("key").agg(F.min("num").alias("head"))
     shared = members.join(heads, "key").where("num != head").groupBy("num", "head").count()
     best = shared.groupBy("num").agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a"))
-    links = common.stored(linked(best.select("a", F.col("num").alias("b")), texts))
+    links = common.stored(linked(best.select("a", F.col("num").alias("b")), texts, shingle, percent))
     comps = components(links, nodes)
 
-    sketched = common.stored(sketches(texts))
+    sketched = common.stored(sketches(texts, shingle))
     for whole in (False, True):
         state = members.join(comps, "num")
         lists = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
         members = common.stored(state.join(lists.where("lo != hi").select("key", "size"), "key"))
-        pairs = common.stored(possible(members, sketched, whole).distinct())
-        comps = merged(comps, common.stored(linked(pairs, texts)))
+        pairs = common.stored(possible(members, sketched, whole, percent).distinct())
+        comps = merged(comps, common.stored(linked(pairs, texts, shingle, percent)))
         members = members.select("key", "num")
 
     smallest = sets.join(comps, "num").groupBy("comp").agg(F.min("id").alias("component_id"))
@@ -318,14 +327,14 @@ def component_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     return named.select("s1", "s2", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def sketches(texts: DataFrame) -> DataFrame:
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
     """num, n, sketch: the counts of a set's shingles per hash bucket, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             for at, raw in chunks(batch, 1):
-                sets = Sets(hasher, raw)
+                sets = Sets(hasher, raw, shingle)
                 slot = sets.doc * BUCKETS + (mixed(sets.value) % U(BUCKETS)).astype(np.int64)
                 counts = np.bincount(slot, minlength=len(raw) * BUCKETS).reshape(-1, BUCKETS)
                 # Counts are cut at 255: that makes the bound smaller, never wrong.
@@ -336,7 +345,9 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("num", "raw").mapInArrow(run, "num long, n long, sketch binary")
 
 
-def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
+def close_pairs(
+    n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int = PERCENT
+) -> tuple[np.ndarray, ...]:
     """Pairs of members of different components that the bound allows to link, and the bound.
 
     ``side`` is 0 or 1 where two blocks meet, and 2 throughout where a block meets itself.
@@ -348,16 +359,17 @@ def close_pairs(n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, side: np.nd
     for at in range(0, len(left), 16):
         i = left[at : at + 16]
         total = n[i][:, None] + n[right]
-        ok = (comp[i][:, None] != comp[right]) & (10 * np.minimum(n[i][:, None], n[right]) >= 9 * np.maximum(n[i][:, None], n[right]))
+        ok = comp[i][:, None] != comp[right]
+        ok &= 100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right])
         if side[0] == 2:
             ok &= i[:, None] < right
         if not ok.any():
             continue
-        apart = np.abs(sketch[i].astype(np.int16)[:, None, :] - other).sum(axis=2, dtype=np.int64)
-        a, b = np.nonzero(ok & (apart <= total // 19))
+        differ = np.abs(sketch[i].astype(np.int16)[:, None, :] - other).sum(axis=2, dtype=np.int64)
+        a, b = np.nonzero(ok & (differ <= apart(total, percent)))
         first.append(i[a])
         second.append(right[b])
-        bound.append(apart[a, b])
+        bound.append(differ[a, b])
     if not first:
         return tuple(np.zeros(0, np.int64) for _ in range(3))
     return np.concatenate(first), np.concatenate(second), np.concatenate(bound)
@@ -395,7 +407,7 @@ def forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, comp: np.ndarray) ->
     return np.concatenate(kept_i), np.concatenate(kept_j)
 
 
-def possible(state: DataFrame, sketched: DataFrame, whole: bool) -> DataFrame:
+def possible(state: DataFrame, sketched: DataFrame, whole: bool, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that a list holds and the bound does not rule out.
 
     Unless ``whole``, only as many for a list as would connect its components.
@@ -414,9 +426,9 @@ def possible(state: DataFrame, sketched: DataFrame, whole: bool) -> DataFrame:
 
     def scan(num: np.ndarray, comp: np.ndarray, side: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> pa.RecordBatch:
         counts = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BUCKETS)
-        i, j, apart = close_pairs(n, comp, counts, side)
+        i, j, differ = close_pairs(n, comp, counts, side, percent)
         if not whole:
-            i, j = forest(i, j, apart, comp)
+            i, j = forest(i, j, differ, comp)
         a, b = np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -450,12 +462,14 @@ def possible(state: DataFrame, sketched: DataFrame, whole: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
     """One row of each component, that with the smallest id, with all columns; wordless texts stay.
 
     Rows of a component that have its id but different texts are told apart by the texts' hashes.
     """
-    found = near_duplicates(df, doc_id, text)
+    found = near_duplicates(df, doc_id, text, shingle, percent)
     first = F.min(F.struct(F.col(doc_id).isNull(), doc_id, "t1", "t2")).alias("first")
     groups = found.where("n_shingles > 0").select(doc_id, "component_id", "t1", "t2")
     chosen = groups.groupBy("component_id").agg(first)
@@ -475,4 +489,4 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def op8_similar(spark: SparkSession, folder: str) -> DataFrame:
     documents = common.table(spark, folder, "documents").select("doc_id", "text")
-    return near_duplicates(documents).drop("t1", "t2")
+    return near_duplicates(documents, shingle=WORDS, percent=PERCENT).drop("t1", "t2")
