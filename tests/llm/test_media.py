@@ -64,6 +64,12 @@ def test_other_layers_and_old_tags():
     assert (len(got.offsets), got.samples, got.rate) == (4, 4 * 576, 22050)
 
 
+def test_protected_frames_of_other_layers_count_as_unchecked():
+    two = bytes((0xFF, 0xFC, 0x14, 0xC4)).ljust(96, b"\0")
+    got = media.parse(two * 5)
+    assert (len(got.offsets), got.checked, got.unchecked, got.bad_crc) == (5, 0, 5, 0)
+
+
 def test_rows(spark):
     rows = [(1, "Grüße", "x"), (None, None, "y"), (3, "", "z"), (3, "", "z"), (5, "a" * 200_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_bytes string")

@@ -4,7 +4,7 @@ A stream is an ID3v2.4 tag (it holds the payload's length), a frame with the var
 and Layer III frames of silence whose ancillary data, behind an empty side information, is the
 payload; the last frame takes the smallest bitrate that holds the rest. The parser
 takes any MPEG-1/2/2.5 stream of layers I to III: it skips tags, finds frames again after damage,
-checks the CRC of protected frames and gives exact sample counts and frame offsets. Free-format
+checks the CRC of protected Layer III frames (those of layers I and II are counted as unchecked) and gives exact sample counts and frame offsets. Free-format
 frames (bitrate 0) have no length of their own and are skipped like damage.
 
 Rows are independent: one narrow Arrow pass, no shuffle. Null text is the empty text (a payload of 64
@@ -108,6 +108,7 @@ class Stream:
     rate: int = 0
     kbps: set = field(default_factory=set)
     checked: int = 0
+    unchecked: int = 0
     bad_crc: int = 0
     skipped: int = 0
     resyncs: int = 0
@@ -194,8 +195,10 @@ def parse(data: bytes) -> Stream:
             continue
         body = data[at:then]
         if h.crc:
-            out.checked += 1
-            if h.layer == 3:
+            if h.layer != 3:
+                out.unchecked += 1
+            else:
+                out.checked += 1
                 out.bad_crc += crc16(body[2:4] + body[6 : 6 + h.side]) != int.from_bytes(body[4:6], "big")
         table = _table(body, h) if first and h.layer == 3 else {}
         if table:
