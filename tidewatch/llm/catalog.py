@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import blocks, bpe, classes, decontaminate, language, media, packing, similar, suffixes, warc
+from tidewatch.llm import blocks, bpe, classes, decontaminate, language, media, packing, similar, suffixes, tiers, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_similar": similar.op8_similar,
     "op9_packing": packing.op9_packing,
     "op10_mpeg_audio": media.op10_mpeg_audio,
+    "op13_tiers": tiers.op13_tiers,
 }
 
 ORACLES = {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
