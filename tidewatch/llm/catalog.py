@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import blocks, bpe, classes, decontaminate, language, media, packing, similar, suffixes, tiers, warc
+from tidewatch.llm import (
+    blocks, bpe, classes, decontaminate, language, lexical, media, packing, similar, suffixes, tiers, warc,
+)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,7 +17,8 @@ QUERIES = {
     "op8_similar": similar.op8_similar,
     "op9_packing": packing.op9_packing,
     "op10_mpeg_audio": media.op10_mpeg_audio,
+    "op12_ranked": lexical.op12_ranked,
     "op13_tiers": tiers.op13_tiers,
 }
 
-ORACLES = {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op12_ranked": lexical.OP12_SQL}
