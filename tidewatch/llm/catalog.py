@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm import (
-    blocks, bpe, classes, decontaminate, language, lexical, media, packing, similar, suffixes, tiers, warc,
+    blocks, bpe, classes, decontaminate, language, lexical, media, packing, prefixes, similar, suffixes, tiers, warc,
 )
 
 QUERIES = {
@@ -17,8 +17,14 @@ QUERIES = {
     "op8_similar": similar.op8_similar,
     "op9_packing": packing.op9_packing,
     "op10_mpeg_audio": media.op10_mpeg_audio,
+    "op11_peel": prefixes.op11_peel,
     "op12_ranked": lexical.op12_ranked,
     "op13_tiers": tiers.op13_tiers,
 }
 
-ORACLES = {"op1_warc": warc.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op12_ranked": lexical.OP12_SQL}
+ORACLES = {
+    "op1_warc": warc.OP1_SQL,
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op11_peel": prefixes.OP11_SQL,
+    "op12_ranked": lexical.OP12_SQL,
+}
