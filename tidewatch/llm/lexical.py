@@ -38,6 +38,8 @@ from tidewatch.llm import common
 TOP = 50
 # (item, term) pairs of a block.
 BLOCK_TERMS = 200_000
+# Documents that a task scores where there are tasks for all cores.
+TASK_DOCUMENTS = 500_000
 # Bytes of text scanned at once, and scores held at once.
 CHUNK, CELLS = 2 << 20, 2_000_000
 # Largest whole number up to which doubles are exact.
@@ -265,7 +267,9 @@ def search(
             continue
         df = holders(scanned, block.size)
         weights = np.floor(1000 * np.log((2 * total + 2) / (2 * df + 1))).astype(np.int64)
-        found.append(common.stored(scored(scanned, path, weights, total, length, top)))
+        # Each task passes on its own best documents, so there are no more tasks than are of use.
+        tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, total // TASK_DOCUMENTS)
+        found.append(common.stored(scored(scanned.coalesce(tasks), path, weights, total, length, top)))
     if not found:
         kind = texts.schema["doc"].dataType.simpleString()
         found = [texts.sparkSession.createDataFrame([], f"item long, score long, doc {kind}")]
