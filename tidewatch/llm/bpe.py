@@ -9,7 +9,8 @@ ways give the same ids: which words are in the lexicon changes the time, never t
 same reason a task reports only words that it saw ``MIN_IN_TASK`` times.
 
 Normalising and cutting into words is done by two patterns for texts below U+0250, where they agree
-with the tokenizer's own components; any other text goes through those components themselves.
+with the tokenizer's own components; any other text goes through those components themselves. A worker
+remembers the ids and the decoded text of words, so that a text's are joined from those of its words.
 
 Texts are encoded whole in one narrow pass. Null and empty texts have no ids; repeated rows give
 repeated rows; a null id stays null; only the named columns are read, and results are added under
@@ -70,7 +71,9 @@ class Tables:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        #: Rank of a pair of ids, and the id that the pair of each rank becomes.
+        self.rank = {self.ids[a] << 32 | self.ids[b]: i for i, (a, b) in enumerate(pairs)}
+        self.joined = [self.ids[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
@@ -78,6 +81,9 @@ class Tables:
         space = r"\t\n\x0b\x0c\r \x85\xa0"
         self.words = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", space))
         self.chars = byte_chars()
+        #: Ids of single bytes inside a word and at its end.
+        self.bytes = [self.ids[c] for c in self.chars]
+        self.ends = [self.ids[c + self.end] for c in self.chars]
         self.tokens = [""] * (max(self.ids.values()) + 1)
         for t, i in self.ids.items():
             self.tokens[i] = t
@@ -96,47 +102,49 @@ class Tables:
         found = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))
         return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in found]
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, word: bytes) -> list[int]:
         """Ids of one word: pairs merge in order of rank, the leftmost first."""
-        chars = self.chars
-        parts = [chars[b] for b in word.encode("utf-8", "surrogateescape")]
-        parts[-1] += self.end
-        n = len(parts)
-        if n > 48:
-            return self._merge_long(parts)
-        ranks = self.ranks
-        while n > 1:
-            best, at = None, -1
-            for i in range(n - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        ids = [self.bytes[b] for b in word]
+        ids[-1] = self.ends[word[-1]]
+        if len(ids) > 48:
+            return self._merge_long(ids)
+        rank, joined = self.rank.get, self.joined
+        none = len(joined)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            n -= 1
-        return [self.ids[p] for p in parts]
-
-    def _merge_long(self, parts: list[str]) -> list[int]:
+            at = ranks.index(best)
+            ids[at] = joined[best]
+            del ids[at + 1], ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank(ids[at] << 32 | ids[at + 1], none)
+            if at:
+                ranks[at - 1] = rank(ids[at - 1] << 32 | ids[at], none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap, in time that does not grow with the square of the word."""
-        n, ranks = len(parts), self.ranks
+        n, rank, joined = len(ids), self.rank, self.joined
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in ranks]
+        heap = [(rank[k], i, k) for i, k in enumerate(a << 32 | b for a, b in zip(ids, ids[1:], strict=False)) if k in rank]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, k = heapq.heappop(heap)
             j = after[i]
-            if parts[i] != a or j >= n or parts[j] != b:
+            # A pair that has changed since is not merged.
+            if j >= n or ids[i] < 0 or ids[i] << 32 | ids[j] != k:
                 continue
-            parts[i], parts[j] = a + b, ""
+            ids[i], ids[j] = joined[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (p := (parts[i], parts[after[i]])) in ranks:
-                    heapq.heappush(heap, (ranks[p], i, *p))
-            if before[i] >= 0 and (p := (parts[before[i]], parts[i])) in ranks:
-                heapq.heappush(heap, (ranks[p], before[i], *p))
-        return [self.ids[p] for p in parts if p]
+                if (k := ids[i] << 32 | ids[after[i]]) in rank:
+                    heapq.heappush(heap, (rank[k], i, k))
+            if before[i] >= 0 and (k := ids[before[i]] << 32 | ids[i]) in rank:
+                heapq.heappush(heap, (rank[k], before[i], k))
+        return [i for i in ids if i >= 0]
 
 
 def build_automaton(words: Iterable[bytes]) -> dict[str, np.ndarray]:
@@ -249,34 +257,41 @@ class Lexicon:
 
 
 class Encoder(dict):
-    """Word -> ids as bytes, filled on demand from the lexicon or by merging."""
+    """Word -> its ids as bytes and their tokens, filled on demand from the lexicon or by merging."""
 
     def __init__(self, tables: Tables, lexicon: Lexicon | None):
         super().__init__()
         self.tables, self.lexicon = tables, lexicon
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.lexicon.find(word.encode("utf-8", "surrogateescape")) if self.lexicon else None
-        if got is None:
-            got = np.array(self.tables.merge(word), "<u4").tobytes()
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        raw = word.encode("utf-8", "surrogateescape")
+        ids = self.lexicon.find(raw) if self.lexicon else None
+        if ids is None:
+            numbers = self.tables.merge(raw)
+            ids = struct.pack(f"<{len(numbers)}I", *numbers)
+        else:
+            numbers = memoryview(ids).cast("I")
+        names = self.tables.tokens
+        got = ids, " ".join([names[i] for i in numbers]).encode("utf-8", "surrogatepass")
         if len(self) >= MEMO:
             self.clear()
         self[word] = got
         return got
 
-    def encode(self, text: str) -> bytes:
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a text and its decoded text."""
         t = self.tables
         parts = t.cut.split(text) if t.cut is not None and "<|" in text else [text]
-        out = []
+        found = []
         for i, part in enumerate(parts):
             if i % 2:
-                out.append(t.special[part].to_bytes(4, "little"))
+                found.append((t.special[part].to_bytes(4, "little"), part.encode()))
             elif part:
-                out += [self[w] for w in t.pieces(part)]
-        return b"".join(out)
+                found += [self[w] for w in t.pieces(part)]
+        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join([self.tables.tokens[i] for i in memoryview(ids).cast("I")])
+    def encode(self, text: str) -> bytes:
+        return self.both(text)[0]
 
 
 def frequent_words(df: DataFrame, text: str, path: str, most: int) -> list[str]:
@@ -306,7 +321,7 @@ def build_lexicon(df: DataFrame, path: str, text: str = "text", most: int = LEXI
     """Compile the frequent words of ``df`` into a file of the shared folder; returns its path."""
     tables = Tables(path)
     words = sorted(w.encode() for w in frequent_words(df, text, path, most))
-    ids = [tables.merge(w.decode()) for w in words]
+    ids = [tables.merge(w) for w in words]
     arrays = build_automaton(words)
     arrays["ends"] = np.cumsum([len(x) for x in ids], dtype=np.int64) if ids else np.zeros(0)
     arrays["ids"] = np.array([i for x in ids for i in x], np.int64)
@@ -330,7 +345,12 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Tables(path), Lexicon.open(lexicon))
         for batch in batches:
-            raw = [encoder.encode(x.as_py() or "") for x in batch.column(at_text)]
+            raw, names = [], []
+            for x in batch.column(at_text):
+                mine, decoded = encoder.both(x.as_py() or "")
+                raw.append(mine)
+                if digests:
+                    names.append(hashlib.sha256(decoded).hexdigest())
             sizes = [len(r) // 4 for r in raw]
             arrays = [pa.array(sizes, pa.int64())]
             if ids:
@@ -339,8 +359,7 @@ def encode(
                 arrays.append(pa.ListArray.from_arrays(ends, flat))
             if digests:
                 arrays.append(pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()))
-                texts = (encoder.decode(r).encode("utf-8", "surrogatepass") for r in raw)
-                arrays.append(pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()))
+                arrays.append(pa.array(names, pa.string()))
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, *arrays], [*inner, *added])
 
