@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def plain(docs, bench):
     """ids and texts that stay, stage by stage, of documents that all have a language."""
-    groups = {i: g for i, _, g in test_similar.brute(docs)}
+    groups = {i: g for i, _, g in test_similar.brute(docs, p.SHINGLE, p.PERCENT)}
     two = [(i, t) for i, t in docs if groups[i] == i or not test_similar.shingles(t)]
     raws = [(i, t.encode()) for i, t in two]
     seen, length = {}, suffixes.LENGTH

@@ -9,15 +9,15 @@ from tidewatch.llm.suffixes import Hasher
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, words=3):
     w = SPLIT.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not w:
         return frozenset()
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)))
+    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1)))
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, words=3, percent=90):
+    sets = [shingles(t, words) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -28,7 +28,7 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if both and 100 * both >= 90 * len(a | sets[j]):
+            if both and 100 * both >= percent * len(a | sets[j]):
                 parent[root(i)] = root(j)
     least = {}
     for i, (name, _) in enumerate(rows):
@@ -128,24 +128,58 @@ def test_bound_never_rules_a_link_out():
     assert len(x) < 40 and groups(zip(x.tolist(), y.tolist())) == groups(found)
 
 
-def test_listings_are_complete():
-    """Any two linked sets share a list."""
-    hasher, r = Hasher(), random.Random(9)
-    assert 9 <= s.boundary() < 40
+def listed(texts, words, percent, held=None):
+    """The lists of each text; ``held`` gives a shingle's count in place of that in the texts."""
+    stretch = s.Stretch(Hasher(), [t.encode() for t in texts], words, percent, 8)
+    assert len(stretch.size) == len(texts)
+    _, back, many = s.np.unique(stretch.sorted, return_inverse=True, return_counts=True)
+    out = [set() for _ in texts]
+    counts = s.level(many)[back] if held is None else held(stretch.sorted, many[back])
+    for doc, key in (stretch.prefixes(counts, percent), stretch.subsets(percent)):
+        for d, k in zip(doc.tolist(), key.tolist(), strict=True):
+            out[d].add(k)
+    return out
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_listings_are_complete(words, percent):
+    """Any two linked sets share a list, whatever the order of the shingles."""
+    r = random.Random(9)
+
+    def any_order(keys, many):
+        # Never 1 where two texts hold a shingle, else at will, and alike for equal shingles.
+        return s.np.where(many == 1, 1, 2 + (s.mixed(keys) % s.U(90)).astype(int)).astype(s.np.uint8)
+
+    seen = 0
     for n in [*range(1, 45), 80, 150]:
         base = [f"a{i}" for i in range(n + 2)]
-        for _ in range(6):
+        texts = {" ".join(base): None}
+        for _ in range(8):
             other = list(base)
-            for _ in range(r.randint(0, 2)):
-                other[r.randrange(len(other))] = "z"
+            for _ in range(r.randint(0, max(2, n // 20))):
+                other[r.randrange(len(other))] = r.choice("zyx")
             if r.random() < 0.5:
                 other += ["q"] * r.randint(1, 2)
-            a, b = shingles(" ".join(base)), shingles(" ".join(other))
-            sets = s.Sets(hasher, [" ".join(base).encode(), " ".join(other).encode()])
-            assert sets.size.tolist() == [len(a), len(b)]
-            doc, key = sets.listings()
-            if 100 * len(a & b) >= 90 * len(a | b):
-                assert set(key[doc == 0].tolist()) & set(key[doc == 1].tolist()), n
+            texts[" ".join(other)] = None
+        texts = list(texts)
+        sets = [shingles(t, words) for t in texts]
+        for held in (None, any_order):
+            lists = listed(texts, words, percent, held)
+            for i, a in enumerate(sets):
+                for j in range(i):
+                    if a != sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                        seen += 1
+                        assert lists[i] & lists[j], n
+    assert seen > 100
+
+
+def test_unlike_texts_stand_in_few_lists():
+    """A passage that all texts share, and words of their own: few lists whatever their number."""
+    r, passage = random.Random(7), " ".join(f"p{i}" for i in range(60))
+    for many in (50, 200):
+        texts = [" ".join([passage] + [f"w{r.randrange(10**6)}" for _ in range(60)]) for _ in range(many)]
+        assert sum(map(len, listed(texts, 5, 80))) == 0
+    assert s.level(s.np.arange(1, 10**6)).tolist() == sorted(s.level(s.np.arange(1, 10**6)).tolist())
 
 
 def test_keep_one_and_empty(spark):
@@ -156,6 +190,8 @@ def test_keep_one_and_empty(spark):
     assert len([k for k in kept if shingles(k.text)]) == len({w[2] for w in want if w[1]})
     assert len([k for k in kept if not shingles(k.text)]) == len([w for w in want if not w[1]])
     assert s.near_duplicates(df.limit(0)).count() == 0
+    blank = df.limit(3).selectExpr("doc_id", "cast(null as string) text")
+    assert s.near_duplicates(blank).where("n_shingles = 0").count() == 3
 
 
 def plain_groups(rows, words, percent):

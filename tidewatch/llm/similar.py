@@ -6,12 +6,17 @@ in one set only.
 
 * Light sets list all their subsets of each size c that a partner of fitting size asks for: two of
   them link exactly when they share a subset of their c.
-* Heavy sets go into inverted lists. Lists of single shingles would be as long as a passage is
-  frequent, so a set is dealt by hash into one part more than elements may differ, and a list
-  belongs to the whole content of a part: one part at least is equal (pigeonhole). Sizes are graded so that partners
-  are in the same grade or in neighbouring ones, and a set is listed under both.
-* The boundary is the last size at which listing subsets costs less than listing parts, where a part of two or fewer
-  shingles costs ``VERIFY`` listings for the false candidates it brings.
+* Heavy sets go into inverted lists of single shingles, but only of those that a link can't do without. Shingles are
+  ordered by how many texts hold them, the rarest first, then by hash. Linked sets share one of the first
+  n - ceil(t n / 100) + 1 of each (``prefix``), so a set stands in the lists of these only; and a shingle that no other text holds
+  has no list. A passage that many texts share stands last in the order: it is listed for those sets only that consist of such passages.
+* The boundary is the last size at which listing subsets costs no more than counting the shingles and listing the prefix.
+
+How many texts hold a shingle is counted without a row for each: a stretch of texts (``SPAN``) sends one sorted array of 32-bit
+hashes to each range of hashes, the range counts them, and the counts come back as one byte per hash, in a file
+of the shared folder for each stretch. (Hashes of a range that collide count together, which changes the order for all sets alike
+and can only keep more lists.) Texts are first written as a table, so that the stretches are the same both times; a hash sum
+is compared to be sure.
 
 Equal sets are one node. Lists are scanned three times. First each set is verified, on the full texts, against
 the head that it shares most lists with, and links make components. Then every list that still holds
@@ -33,6 +38,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,11 +53,12 @@ from tidewatch.operators import spread
 
 # What links unless said otherwise: shingles of so many words, and so many hundredths of the union.
 WORDS, PERCENT = 3, 90
-VERIFY = 100
 BUCKETS = 256
 BLOCK = 1500
 # Text whose sets are made at once.
 CHUNK = 1 << 20
+# Text whose shingles are counted together, and ranges of hashes for each task that counts.
+SPAN, RANGES = 16 << 20, 4
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 U = np.uint64
@@ -72,33 +79,18 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     return sorted({overlap(n, m, percent) for m in range(-(-percent * n // 100), 100 * n // percent + 1)})
 
 
-@lru_cache
-def grades(top: int, percent: int = PERCENT) -> list[int]:
-    """Largest sizes of the grades, up to ``top``: a partner's size is at most one grade on."""
-    out = [-(-percent // (100 - percent))]
-    while out[-1] < top:
-        out.append(100 * out[-1] // percent)
-    return out + [100 * out[-1] // percent]
-
-
-def parts_of(limit: int, percent: int = PERCENT) -> int:
-    """Parts for pairs whose larger set has at most ``limit`` elements."""
-    return apart(2 * limit, percent) + 1
+def prefix(n, percent: int = PERCENT):
+    """Shingles of a set of n that its links can't all avoid: a linked set holds ceil(percent n / 100) of the n."""
+    return n + 1 + (-percent * n // 100)
 
 
 @lru_cache
 def boundary(percent: int = PERCENT) -> int:
-    """The largest size of a light set."""
-
-    def heavy(n: int) -> float:
-        ladder, cost = grades(2 * n, percent), 0.0
-        grade = next(i for i, u in enumerate(ladder) if n <= u)
-        for p in (parts_of(ladder[grade], percent), parts_of(ladder[grade + 1], percent)):
-            few = sum(math.comb(n, k) * (1 / p) ** k * (1 - 1 / p) ** (n - k) for k in range(min(3, n + 1)))
-            cost += p * (1 + VERIFY * few)
-        return cost
-
-    return max(n for n in range(1, 64) if sum(math.comb(n, c) for c in subset_sizes(n, percent)) <= heavy(n))
+    """The largest size of a light set: up to it subsets are no more than shingles to count and to list."""
+    n = 1
+    while sum(math.comb(n + 1, c) for c in subset_sizes(n + 1, percent)) <= n + 1 + prefix(n + 1, percent):
+        n += 1
+    return n
 
 
 class Sets:
@@ -135,30 +127,11 @@ class Sets:
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         return self.s1.view(np.int64), (self.s2 >> U(32)).astype(np.uint32).view(np.int32)
 
-    def listings(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key) of every list that the sets stand in."""
-        light, docs, keys = boundary(percent), [], []
-        # A light set that may have heavy partners is listed in both ways.
-        heavy = 100 * self.size // percent > light
-        if heavy.any():
-            ladder = np.array(grades(int(self.size.max()), percent))
-            grade = np.searchsorted(ladder, self.size)
-            on = heavy[self.doc]
-            value, doc = self.value[on], self.doc[on]
-            for step in (0, 1):
-                g = grade + step
-                parts = np.where(heavy, parts_of(ladder[np.minimum(g, len(ladder) - 1)], percent), 0)
-                base = np.cumsum(parts) - parts
-                turned = mixed(value + g[doc].astype(U) * U(0x94D049BB133111EB))
-                slot = base[doc] + (turned % parts[doc].astype(U)).astype(np.int64)
-                sums = np.zeros(int(parts.sum()), U)
-                np.add.at(sums, slot, mixed(turned))
-                owner = np.repeat(np.arange(len(parts)), parts)
-                place = (np.arange(len(sums)) - base[owner]).astype(U)
-                docs.append(owner)
-                keys.append(mixed(sums + mixed(place + (g[owner].astype(U) << U(32)))))
+    def subsets(self, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """(document, key) of the subsets that the light sets list."""
+        docs, keys = [], []
         start = np.cumsum(self.size) - self.size
-        for d in np.flatnonzero((self.size > 0) & (self.size <= light)).tolist():
+        for d in np.flatnonzero((self.size > 0) & (self.size <= boundary(percent))).tolist():
             mine = mixed(self.value[start[d] : start[d] + self.size[d]])
             total = mine.sum(dtype=U)
             for c in subset_sizes(len(mine), percent):
@@ -172,12 +145,70 @@ class Sets:
         return np.concatenate(docs), np.concatenate(keys).view(np.int64)
 
 
-def chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+class Stretch:
+    """The sets of a stretch of texts, equal texts once, and the hashes of those shingles that may be listed."""
+
+    def __init__(self, hasher: Hasher, texts: list[bytes], shingle: int, percent: int, ranges: int):
+        unique = list(dict.fromkeys(texts))
+        parts, docs, values, base, at = [], [], [], 0, 0
+        while at < len(unique):
+            upto, size = at, 0
+            while upto < len(unique) and (upto == at or size < CHUNK):
+                size += len(unique[upto])
+                upto += 1
+            sets = Sets(hasher, unique[at:upto], shingle)
+            parts.append((base, sets))
+            # A light set that may have heavy partners is listed in both ways.
+            on = (100 * sets.size // percent > boundary(percent))[sets.doc]
+            docs.append(sets.doc[on] + base)
+            values.append(sets.value[on])
+            base, at = base + upto - at, upto
+        self.parts = parts
+        self.size = np.concatenate([s.size for _, s in parts]) if parts else np.zeros(0, np.int64)
+        self.s1, self.s2 = (np.concatenate(x) for x in zip(*(s.ids() for _, s in parts), strict=True)) if parts else ([], [])
+        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+        self.value = np.concatenate(values) if values else np.zeros(0, U)
+        # The upper half gives the range, the lower half the place in it.
+        of = ((self.value >> U(32)) * U(ranges)) >> U(32)
+        key = (of << U(32)) | (self.value & U(0xFFFFFFFF))
+        self.order = np.argsort(key, kind="stable")
+        self.sorted = key[self.order]
+        self.check = zlib.crc32(self.sorted.tobytes())
+
+    def prefixes(self, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, shingle) of every list of a prefix; ``counts`` belong to the sorted hashes."""
+        held = np.empty(len(counts), np.uint8)
+        held[self.order] = counts
+        alone = held <= 1
+        # The rarest come first: a set with enough shingles of its own stands in no list.
+        left = prefix(self.size, percent) - np.bincount(self.doc[alone], minlength=len(self.size))
+        on = np.flatnonzero(~alone & (left > 0)[self.doc])
+        on = on[np.lexsort((self.value[on], held[on], self.doc[on]))]
+        doc = self.doc[on]
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        place = np.arange(len(doc)) - np.repeat(begin, np.diff(np.append(begin, len(doc))))
+        on = on[place < left[doc]]
+        return self.doc[on], self.value[on].view(np.int64)
+
+    def subsets(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [(base, *sets.subsets(percent)) for base, sets in self.parts]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([d + b for b, d, _ in found]), np.concatenate([k for _, _, k in found])
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte: themselves below 128, then in steps of an eighth; larger counts never give less."""
+    steps = 128 + np.floor(8 * (np.log2(np.maximum(counts, 128)) - 7)).astype(np.int64)
+    return np.minimum(np.where(counts < 128, counts, steps), 255).astype(np.uint8)
+
+
+def chunks(batch: pa.RecordBatch, column: int, most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of stretches of a batch."""
     at = 0
     while at < batch.num_rows:
         texts, size = [], 0
-        while at + len(texts) < batch.num_rows and (not texts or size < CHUNK):
+        while at + len(texts) < batch.num_rows and (not texts or size < most):
             texts.append(batch.column(column)[at + len(texts)].as_py() or b"")
             size += len(texts[-1])
         yield at, texts
@@ -206,22 +237,98 @@ def set_ids(df: DataFrame, text: str, shingle: int) -> DataFrame:
     return asked.mapInArrow(run, f"id {kind}, t1 long, t2 int, n long, s1 long, s2 int")
 
 
-def listings(df: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
-    """Every list that a set stands in: key, s1, s2; equal sets of a stretch once."""
+def _stretches(batches: Iterator[pa.RecordBatch], *how) -> Iterator[tuple[str, Stretch]]:
+    """(name, stretch) of a task's texts: the same each time that the same partition is read."""
+    from pyspark import TaskContext
+
+    hasher, task, number = Hasher(), TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for _, texts in chunks(batch, 0, SPAN):
+            yield f"{task}-{number}", Stretch(hasher, texts, *how)
+            number += 1
+
+
+def count_holders(raws: DataFrame, shingle: int, percent: int) -> tuple[str, int]:
+    """How many texts hold each shingle, in a file for each stretch; the folder and the number of ranges."""
+    spark = raws.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges, folder = max(parts, min(RANGES * parts, 4096)), common.scratch(spark, "holders")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, stretch in _stretches(batches, shingle, percent, ranges):
+            edges = np.searchsorted(stretch.sorted, np.arange(ranges + 1, dtype=U) << U(32))
+            low = stretch.sorted.astype("<u4")
+            on = np.flatnonzero(edges[1:] > edges[:-1])
+            arrays = [
+                pa.array(on, pa.int64()), pa.array([name] * len(on), pa.string()), pa.array([stretch.check] * len(on), pa.int64()),
+                pa.array([low[edges[r] : edges[r + 1]].tobytes() for r in on.tolist()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "name", "sum", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            sent = [np.frombuffer(h[3], "<u4") for h in held]
+            _, back, many = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
+            answers = np.split(level(many)[back], np.cumsum([len(x) for x in sent])[:-1])
+            columns = [[h[0] for h in held], [h[1] for h in held], [h[2] for h in held], [x.tobytes() for x in answers]]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "name", "sum", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
-            for _, texts in chunks(batch, 0):
-                sets = Sets(hasher, list(dict.fromkeys(texts)), shingle)
-                doc, key = sets.listings(percent)
-                s1, s2 = sets.ids()
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield flush()
+                    held = []
+                held.append(row)
+        if held:
+            yield flush()
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, data, names = None, [], []
+
+        def close() -> None:
+            if last is not None:
+                common.put(f"{folder}/{last[0]}", last[1].to_bytes(8, "little") + b"".join(data))
+                names.append(last[0])
+
+        for batch in batches:
+            for _, name, check, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != (name, check):
+                    close()
+                    last, data = (name, check), []
+                data.append(part)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    fields = "part long, name string, sum long, data binary"
+    sent = raws.mapInArrow(send, fields).repartition(parts, "part").sortWithinPartitions("part")
+    back = sent.mapInArrow(count, fields).repartition(parts, "name").sortWithinPartitions("name", "part")
+    common.stored(back.mapInArrow(save, "name string"))
+    return folder, ranges
+
+
+def listings(raws: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Every list that a set stands in: key, s1, s2; equal sets of a stretch once. ``raws`` is a stored table of texts."""
+    folder, ranges = count_holders(raws, shingle, percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, stretch in _stretches(batches, shingle, percent, ranges):
+            counts = np.zeros(0, np.uint8)
+            if len(stretch.sorted):
+                raw = common.get(f"{folder}/{name}")
+                counts = np.frombuffer(raw, np.uint8)[8:]
+                if int.from_bytes(raw[:8], "little") != stretch.check or len(counts) != len(stretch.sorted):
+                    raise RuntimeError("texts changed between two readings")
+            for doc, key in (stretch.prefixes(counts, percent), stretch.subsets(percent)):
                 for a in range(0, len(doc), 200_000):
                     d, k = doc[a : a + 200_000], key[a : a + 200_000]
-                    arrays = [pa.array(k), pa.array(s1[d]), pa.array(s2[d])]
+                    arrays = [pa.array(k), pa.array(stretch.s1[d]), pa.array(stretch.s2[d])]
                     yield pa.RecordBatch.from_arrays(arrays, ["key", "s1", "s2"])
 
-    return df.select(as_bytes(text).alias("raw")).mapInArrow(run, "key long, s1 long, s2 int")
+    return raws.mapInArrow(run, "key long, s1 long, s2 int")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -282,6 +389,7 @@ def near_duplicates(
     """Per row, in place of the text: n_shingles, component_id, and t1, t2 (hashes of its text)."""
     ids = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     with spread.job(df.sparkSession) as keep, common.tidy(df.sparkSession):
+        ids = common.stored(ids)
         rows = keep(set_ids(ids, "text", shingle))
         named = keep(component_ids(ids, rows, shingle, percent))
     out = rows.join(named, ["s1", "s2"], "left")
@@ -294,13 +402,17 @@ def component_ids(ids: DataFrame, rows: DataFrame, shingle: int, percent: int) -
     sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min(F.struct("t1", "t2")).alias("t"))
     sets = common.stored(sets.select("s1", "s2", "id", "t.*", F.monotonically_increasing_id().alias("num")))
 
-    # Lists of at least two different sets, then their members; lists of one are most and go first.
-    lists = listings(ids, "text", shingle, percent)
+    # Lists of at least two different sets, then their members.
+    lists = common.stored(listings(ids.select(as_bytes("text").alias("raw")), shingle, percent).distinct())
     one = F.struct("s1", "s2")
     long = lists.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo != hi").select("key")
-    long = common.stored(long)
-    members = lists.join(long, "key").distinct().join(sets.select("s1", "s2", "num"), ["s1", "s2"])
+    members = lists.join(long, "key").join(sets.select("s1", "s2", "num"), ["s1", "s2"])
     members = common.stored(members.select("key", "num"))
+    # Of lists with equal members, one: copies with small changes share most of their lists.
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), F.col("num"))).alias(c) for i, c in enumerate("xy")]
+    same = members.groupBy("key").agg(F.count("*").alias("many"), *hashes)
+    chosen = same.groupBy("many", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = common.stored(members.join(chosen, "key"))
     nodes = common.stored(members.select("num").distinct())
     some = sets.join(nodes, "num").select("t1", "t2", "num")
     texts = ids.select(F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), as_bytes("text").alias("raw"))
