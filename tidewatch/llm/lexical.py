@@ -138,7 +138,8 @@ def save_blocks(pairs: DataFrame, block_terms: int = BLOCK_TERMS) -> list[str]:
             flush()
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
 
-    dealt = pairs.repartition(parts, "item").sortWithinPartitions("item")
+    # Partitions of whole items are joined, so that there are no more blocks than the pairs fill.
+    dealt = pairs.repartition("item").coalesce(parts).sortWithinPartitions("item")
     return sorted(r.path for r in common.stored(dealt.mapInArrow(save, "path string")).collect())
 
 
