@@ -114,3 +114,8 @@ def test_odd_tables(spark, tables):
 def test_long_numbers():
     # 50 * n * documents passes 64 bits; Python's numbers don't.
     assert 50 + 50 * 2**40 * 2**30 // 2**60 == 50 + 50 * 2**10 and np.iinfo(np.int64).max < 50 * 2**70
+
+
+def test_few_terms_are_one_block(spark):
+    pairs = spark.createDataFrame([(i, b"t%d" % (i % 7)) for i in range(100)], "item long, term binary").repartition(40)
+    assert len(lexical.save_blocks(pairs)) == 1 and 5 <= len(lexical.save_blocks(pairs, 12)) <= 9
