@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
-from tidewatch.operators import windows
+from tidewatch.operators import lagged, windows
 
-# Widest flattened window whose covariance one driver should hold.
+# Widest vector whose covariance one driver should hold; wider ones go through products with it.
 MAX_WIDTH = 4000
 
 
@@ -26,7 +26,11 @@ class WindowPca:
 
     @staticmethod
     def fit(wins: DataFrame, k: int, vec: str = "vec") -> "WindowPca":
-        """Fit on all windows of all series. Means and covariance are tree-aggregated by Spark."""
+        """Fit on given vectors (all windows of a panel: ``fit_panel``, which builds none of them).
+
+        Means and covariance are tree-aggregated by Spark; beyond ``MAX_WIDTH`` values the covariance is not
+        formed, and each of its products is one job over the vectors.
+        """
         from pyspark.ml.feature import PCA
         from pyspark.ml.functions import array_to_vector
         from pyspark.ml.stat import Summarizer
@@ -34,10 +38,17 @@ class WindowPca:
         data = wins.select(array_to_vector(vec).alias("features"))
         mean = data.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
         if len(mean) > MAX_WIDTH:
-            raise ValueError(f"windows of {len(mean)} values are too wide; use one PCA per feature group")
+            return WindowPca(mean, lagged.leading(lagged.row_product(wins, vec, mean), len(mean), k)[1])
         fitted = PCA(k=min(k, len(mean)), inputCol="features", outputCol="z").fit(data)
         return WindowPca(mean, fitted.pc.toArray())
 
+    @staticmethod
+    def fit_panel(
+        df: DataFrame, by: Sequence[str], columns: Sequence[str], length: int, k: int, size: int | None = None
+    ) -> "WindowPca":
+        """Fit on all stride-1 windows of a panel from its lag products: the same model as ``fit``, whatever the width."""
+        return GroupedPca.fit_panel(df, by, {0: columns}, length, k, size).models[0]
+
     def transform(self, wins: DataFrame, vec: str = "vec", out: str = "xhat") -> DataFrame:
         """Add the reconstruction of every window, Arrow batch by Arrow batch."""
         mean, basis = self.mean, self.basis
@@ -74,6 +85,17 @@ class GroupedPca:
         flat = {g: windows.flatten_windows(wins, f"win_{g}", "vec") for g in groups}
         return GroupedPca({g: WindowPca.fit(df, k) for g, df in flat.items()})
 
+    @staticmethod
+    def fit_panel(
+        df: DataFrame, by: Sequence[str], groups: Mapping[int, Sequence[str]], length: int, k: int, size: int | None = None
+    ) -> "GroupedPca":
+        """The models of all groups from one pass over the panel."""
+        models = {}
+        for g, moments in lagged.window_moments(df, by, groups, length, size).items():
+            mean, _, basis = moments.directions(k)
+            models[g] = WindowPca(mean, basis)
+        return GroupedPca(models)
+
     def transform(self, wins: DataFrame) -> DataFrame:
         """Add x_<g> and xhat_<g> for every group."""
         out = wins

@@ -323,11 +323,14 @@ def mask_importance(
 ) -> DataFrame:
     """(by, feature, importance): rise of the reconstruction error when one feature is shuffled in blocks.
 
-    Every batch of windows adds up its own errors; only sums are shuffled. The order of the
-    blocks depends on the window and the seed alone.
+    The model is linear, so a change of a feature's columns moves the reconstruction by (change R) B', R being the basis
+    rows of these columns, and the error rises by 2 (change R) (B' error) + (change R) (B'B) (change R)': k numbers a
+    window instead of a whole reconstruction. Every batch of windows adds up its own sums; only they are
+    shuffled. The order of the blocks depends on the window and the seed alone.
     """
     by, features = list(by), list(features)
     mean, basis, width = model.mean, model.basis, len(features)
+    gram = basis.T @ basis
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -335,31 +338,24 @@ def mask_importance(
                 continue
             x = np.stack(pdf["vec"].to_numpy())
             draws = pdf["_draw"].to_numpy()
-            error = (x - mean) @ basis @ basis.T + mean - x
-            parts = [pdf[by].assign(feature=None, sse=(error**2).sum(axis=1), n=x.shape[1])]
+            z = (x - mean) @ basis
+            # The error of the unchanged window along the basis: 0 where the basis is orthonormal.
+            along = z @ gram - z
             cube = x.reshape(len(x), length, width)
+            parts = []
             for fi, f in enumerate(features):
-                rows = basis[fi::width]
+                rows, track, rise = basis[fi::width], cube[:, :, fi], np.zeros(len(x))
                 for r in range(repeats):
-                    order = block_order(draws, length, fi, r)
-                    track = cube[:, :, fi]
-                    moved = np.take_along_axis(track, order, axis=1) - track
-                    worse = error + moved @ rows @ basis.T
-                    parts.append(pdf[by].assign(feature=f, sse=(worse**2).sum(axis=1), n=x.shape[1]))
+                    moved = (np.take_along_axis(track, block_order(draws, length, fi, r), axis=1) - track) @ rows
+                    rise += 2 * (moved * along).sum(axis=1) + ((moved @ gram) * moved).sum(axis=1)
+                parts.append(pdf[by].assign(feature=f, rise=rise, n=repeats * x.shape[1]))
             out = pd.concat(parts).groupby([*by, "feature"], dropna=False, as_index=False).sum()
-            yield out[[*by, "feature", "sse", "n"]]
+            yield out[[*by, "feature", "rise", "n"]]
 
     schema = wins.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ")
     drawn = wins.select(*by, "vec", F.xxhash64(*by, "w", F.lit(seed)).alias("_draw"))
-    errors = (
-        drawn.mapInPandas(sums, f"{schema}, feature string, sse double, n bigint")
-        .groupBy(*by, "feature")
-        .agg((F.sum("sse") / F.sum("n")).alias("mse"))
-    )
-    clean = errors.where("feature IS NULL").select(*by, F.col("mse").alias("_clean"))
-    return spread.lookup_join(errors.where("feature IS NOT NULL"), clean, by).select(
-        *by, "feature", (F.col("mse") - F.col("_clean")).alias("importance")
-    )
+    rises = drawn.mapInPandas(sums, f"{schema}, feature string, rise double, n bigint")
+    return rises.groupBy(*by, "feature").agg((F.sum("rise") / F.sum("n")).alias("importance"))
 
 
 def forest_importance(

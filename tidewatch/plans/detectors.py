@@ -68,7 +68,8 @@ class PcaDetector(Detector):
             scaled = prepare.scale_standard(df, stats, self.by, self.features)
             return windows.flatten_windows(windows.sliding(scaled, self.by, self.features, self.length))
 
-        model = reconstruct.WindowPca.fit(wins(panel), self.k)
+        scaled = spread.durable(prepare.scale_standard(panel, stats, self.by, self.features))
+        model = reconstruct.WindowPca.fit_panel(scaled, self.by, self.features, self.length, self.k)
         return lambda df: reconstruct.pca_errors(wins(df), model, [*self.by, "w", "t_end"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
@@ -205,29 +206,56 @@ def _(spark, folder):
 # ---- reconstruction -------------------------------------------------------------------
 
 
-def day_windows(spark, folder):
-    """Standardised five-day windows of the day panel, flattened."""
+def scaled_days(spark, folder):
+    """The standardised day panel, written once."""
     df = tables.stored_day_panel(spark, folder)
-    scaled = spread.durable(prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS))
+    return spread.durable(prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS))
+
+
+def flat_windows(scaled):
+    """Five-day windows, flattened."""
     return windows.flatten_windows(windows.sliding(scaled, BY, KINDS, SHORT))
 
 
 @query("recon_pca")
 def _(spark, folder):
-    wins = day_windows(spark, folder)
-    model = reconstruct.WindowPca.fit(wins, 6)
+    scaled = scaled_days(spark, folder)
+    wins, model = flat_windows(scaled), reconstruct.WindowPca.fit_panel(scaled, BY, KINDS, SHORT, 6)
     return rounded(reconstruct.pca_errors(wins, model, ["series_id", "w", "t_end"]), ["score"])
 
 
+def trend_model():
+    """A given model of five-day windows of two features: the level of the first and a trend that both share."""
+    basis = np.zeros((2 * SHORT, 2))
+    basis[0::2, 0] = 1 / np.sqrt(SHORT)
+    basis[:, 1] = np.repeat(np.arange(SHORT) - SHORT // 2, 2) / np.sqrt(20)
+    return reconstruct.WindowPca(np.zeros(2 * SHORT), basis)
+
+
+@query(
+    "recon_basis",
+    sql(
+        "d3",
+        """wl AS (SELECT series_id, t - 4 AS w, t AS t_end, list(click) OVER v AS c, list(error) OVER v AS e FROM d3
+        WINDOW v AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) QUALIFY t >= 4),
+        wz AS (SELECT *, list_avg(c) AS m, list_sum(list_transform(c, lambda x, i: (i - 3) * (x + e[i]))) / 20 AS s FROM wl)
+        SELECT series_id, w, t_end, round(list_sum(list_transform(c, lambda x, i: (x - m - (i - 3) * s) ** 2 + (e[i] - (i - 3) * s) ** 2)) / 10, 4) AS score FROM wz""",
+    ),
+)
+def _(spark, folder):
+    wins = windows.sliding(tables.full_day_panel(spark, folder), BY, ["click", "error"], SHORT)
+    errors = reconstruct.pca_errors(windows.flatten_windows(wins), trend_model(), ["series_id", "w", "t_end"])
+    return rounded(errors, ["score"], 4)
+
+
 TWO = {0: ["click", "error"], 1: ["purchase", "signup", "view"]}
 
 
 @query("recon_grouped")
 def _(spark, folder):
-    df = tables.stored_day_panel(spark, folder)
-    scaled = spread.durable(prepare.scale_standard(df, prepare.fit_moments(df, BY, KINDS), BY, KINDS))
+    scaled = scaled_days(spark, folder)
     wins = windows.sliding_grouped(scaled, BY, TWO, SHORT)
-    fitted = reconstruct.GroupedPca.fit(wins, sorted(TWO), 3)
+    fitted = reconstruct.GroupedPca.fit_panel(scaled, BY, TWO, SHORT, 3)
     return rounded(scoring.group_losses(fitted.transform(wins), ["series_id", "w"], {0: False, 1: False}), ["loss"])
 
 
@@ -259,10 +287,14 @@ def _(spark, folder):
 def _(spark, folder):
     df = tables.stored_day_panel(spark, folder)
     scaled = spread.durable(prepare.scale_robust(df, prepare.median_iqr(df, BY, KINDS), BY, KINDS))
-    wins = windows.flatten_windows(windows.sliding(scaled, BY, KINDS, SHORT))
-    split = prepare.split_contiguous(wins, BY, 0.3, t="w")
-    model = reconstruct.WindowPca.fit(split.where("split = 'train'"), 6)
-    val = split.where("split = 'val'")
+    # Windows are numbered by their first row: the first part of them is learned from, the rest is shuffled.
+    numbers = scaled.select(*BY, (F.col("t") - (SHORT - 1)).alias("w")).where("w >= 0")
+    split = prepare.split_contiguous(numbers, BY, 0.3, t="w")
+    cut = spread.durable(split.where("split = 'val'").groupBy(*BY).agg(F.min("w").alias("cut")))
+    placed = spread.durable(spread.lookup_join(scaled, cut, BY))
+    learned = placed.where(F.col("t") < F.col("cut") + SHORT - 1)
+    model = reconstruct.WindowPca.fit_panel(learned, BY, KINDS, SHORT, 6)
+    val = flat_windows(placed.where(F.col("t") >= F.col("cut")))
     return rounded(select.mask_importance(val, BY, KINDS, SHORT, model), ["importance"])
 
 
@@ -279,9 +311,9 @@ def _(spark, folder):
 
 @query("sink_model")
 def _(spark, folder):
-    wins = day_windows(spark, folder)
-    path = sinks.scratch(spark, "model")
-    sinks.save_fitted({"pca": reconstruct.WindowPca.fit(wins, 4).to_rows(spark)}, path)
+    scaled = scaled_days(spark, folder)
+    wins, path = flat_windows(scaled), sinks.scratch(spark, "model")
+    sinks.save_fitted({"pca": reconstruct.WindowPca.fit_panel(scaled, BY, KINDS, SHORT, 4).to_rows(spark)}, path)
     model = reconstruct.WindowPca.from_rows(sinks.load_fitted(spark, path, ["pca"])["pca"])
     return rounded(reconstruct.pca_errors(wins, model, ["series_id", "w"]), ["score"])
 
