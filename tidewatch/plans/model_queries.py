@@ -229,7 +229,7 @@ def trend_model():
     basis = np.zeros((2 * SHORT, 2))
     basis[0::2, 0] = 1 / np.sqrt(SHORT)
     basis[:, 1] = np.repeat(np.arange(SHORT) - SHORT // 2, 2) / np.sqrt(20)
-    return reconstruct.WindowPca(np.zeros(2 * SHORT), basis)
+    return reconstruct.WindowPca(np.full(2 * SHORT, 1 / 3), basis)
 
 
 @query(
@@ -239,13 +239,13 @@ def trend_model():
         """wl AS (SELECT series_id, t - 4 AS w, t AS t_end, list(click) OVER v AS c, list(error) OVER v AS e FROM d3
         WINDOW v AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) QUALIFY t >= 4),
         wz AS (SELECT *, list_avg(c) AS m, list_sum(list_transform(c, lambda x, i: (i - 3) * (x + e[i]))) / 20 AS s FROM wl)
-        SELECT series_id, w, t_end, round(list_sum(list_transform(c, lambda x, i: (x - m - (i - 3) * s) ** 2 + (e[i] - (i - 3) * s) ** 2)) / 10, 4) AS score FROM wz""",
+        SELECT series_id, w, t_end, round(list_sum(list_transform(c, lambda x, i: (x - m - (i - 3) * s) ** 2 + (e[i] - 1 / 3 - (i - 3) * s) ** 2)) / 10, 6) AS score FROM wz""",
     ),
 )
 def _(spark, folder):
     wins = windows.sliding(tables.full_day_panel(spark, folder), BY, ["click", "error"], SHORT)
     errors = reconstruct.pca_errors(windows.flatten_windows(wins), trend_model(), ["series_id", "w", "t_end"])
-    return rounded(errors, ["score"], 4)
+    return rounded(errors, ["score"])
 
 
 TWO = {0: ["click", "error"], 1: ["purchase", "signup", "view"]}
