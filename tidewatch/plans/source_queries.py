@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -204,13 +205,17 @@ def _(spark, folder):
 # ---- streams --------------------------------------------------------------------------
 
 
-def feed(spark, folder, build):
-    """The events arrive in three slices of time; ``build(stream)`` is run after each arrival."""
+def feed(spark, folder, build, delay=None):
+    """The events arrive in three slices of time; ``build(stream)`` is run after each arrival.
+
+    With ``delay``, a column of minutes, events arrive that much later than they happened.
+    """
     inbox, out = sinks.scratch(spark, "inbox"), sinks.scratch(spark, "stream")
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     cuts = [first + (last - first) * i / 3 for i in (1, 2)]
-    slices = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
+    came = F.col("ts") if delay is None else F.col("ts") + F.make_dt_interval(mins=delay)
+    slices = [came < cuts[0], (came >= cuts[0]) & (came < cuts[1]), came >= cuts[1]]
     for inside in slices:
         events.where(inside).write.mode("append").parquet(inbox)
         stream = build(online.read_events(spark, inbox))
@@ -249,17 +254,20 @@ def _(spark, folder):
     "stream_score",
     sql(
         "e1 s1 fl",
-        "SELECT fl.series_id AS user_id, e1.event_id, fl.score, fl.pred FROM fl JOIN e1 ON e1.series_id = fl.series_id AND e1.t = fl.t_end",
+        """SELECT fl.series_id AS user_id, e1.event_id, fl.score, fl.pred FROM fl JOIN e1 ON e1.series_id = fl.series_id AND e1.t = fl.t_end
+        WHERE epoch_ms(e1.ts) <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""",
     ),
 )
 def _(spark, folder):
+    """Events come up to 50 minutes late, so that rows of a window reach the stream in different batches."""
     cuts = scoring.fit_threshold(
         tables.window_scores(spark, folder), BY, 95.0, bound_by=tables.series_sizes(spark, folder)
     ).withColumnRenamed("series_id", "user_id")
     cuts = spread.durable(cuts)
 
     def build(stream):
-        scored = rounded(online.score(stream, "user_id", "value", LENGTH, ["ts", "event_id"]), ["score"])
+        scored = rounded(online.score_in_order(stream, "user_id", "value", LENGTH, idle=timedelta(days=3650)), ["score"])
         return online.flag(scored, cuts, "user_id")
 
-    return feed(spark, folder, build).select("user_id", "event_id", "score", "pred")
+    late = (F.col("event_id") % 51).cast("int")
+    return feed(spark, folder, build, late).select("user_id", "event_id", "score", "pred")

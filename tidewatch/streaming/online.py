@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -10,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# State that grows with the keys is kept outside the heap; the processor below asks for it.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def read_events(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A folder of parquet files as a stream, ts as a timestamp (watermarks need one).
 
@@ -23,17 +31,32 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 def advance(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Run a stream over what is available now into ``path``; a later call goes on from there."""
-    job = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _store(stream.sparkSession):
+        job = (
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
     job.awaitTermination()
 
 
+@contextlib.contextmanager
+def _store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, unless the session names another store."""
+    if spark.conf.get(STORE, None) not in (None, "", DEFAULT_STORE):
+        yield
+        return
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
 def results(stream: DataFrame, path: str) -> DataFrame:
     """The rows written so far by :func:`advance`."""
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -95,6 +118,102 @@ def score(
     return scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
 
 
+def score_in_order(
+    events: DataFrame,
+    key: str,
+    value: str,
+    length: int,
+    ties: Sequence[str] = ("event_id",),
+    ts: str = "ts",
+    late: str = "1 hour",
+    idle: timedelta = timedelta(days=30),
+) -> DataFrame:
+    """Score each row by the error of its trailing window, in event time across batches.
+
+    Rows wait in the state until the watermark (``late`` behind the newest row) has passed them, and then are scored
+    in the order of ``ts`` and ``ties``, so a row that comes late within the watermark stands in the same windows as in
+    one sorted table; later ones are dropped by the watermark. Per key the state holds the last ``length`` - 1 values and the
+    rows of the last ``late``. Windows begin anew where no row of a key lies for ``idle``, whatever the batches; event-time
+    timers release waiting rows, and remove the values of a key once the watermark is as far past its last row. Rows of a key with a null value are scored as null and stand in no window.
+    Output: (key, ts, ties, score), null while the window is not full; rows newer than the watermark are not out yet.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kept, fields = length - 1, [f for f in events.schema.fields if f.name in ties]
+    fields = sorted(fields, key=lambda f: list(ties).index(f.name))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    row_kind = f"at_us bigint, {kinds}, at_value double"
+    key_kind = events.schema[key].dataType.simpleString()
+    who, names, pause = key, [f.name for f in fields], int(idle.total_seconds() * 1000)
+
+    def runs(rows: list[tuple]) -> Iterator[list[tuple]]:
+        """Rows in order, cut where nothing has come for ``idle``."""
+        begin = 0
+        for i, r in enumerate(rows):
+            if i and r[0] // 1000 - rows[i - 1][0] // 1000 >= pause:
+                yield rows[begin:i]
+                begin = i
+        if rows:
+            yield rows[begin:]
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.tail = handle.getValueState("tail", "v array<double>, last bigint")
+            self.waiting = handle.getListState("waiting", row_kind)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            fresh = pd.concat(list(rows))
+            columns = [fresh[c].tolist() for c in ("at_us", *names, "at_value")]
+            self.waiting.appendList(list(zip(*columns, strict=True)))
+            # The watermark passes a row once it is as late as its millisecond.
+            self.handle.registerTimer(int(fresh["at_us"].min()) // 1000)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            mark = timerValues.getCurrentWatermarkInMs()
+            held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:-1])
+            ready = [r for r in held if r[0] // 1000 <= mark]
+            rest = held[len(ready) :]
+            values, last = self.tail.get() if self.tail.exists() else ([], None)
+            scores: list[np.ndarray] = []
+            for run in runs(ready):
+                if last is not None and run[0][0] // 1000 - last >= pause:
+                    values = []
+                seen = np.array([*values, *(np.nan if r[-1] is None else r[-1] for r in run)], float)
+                out = np.full(len(seen), np.nan)
+                on = np.flatnonzero(~np.isnan(seen))
+                if len(on) >= length:
+                    out[on[length - 1 :]] = np.lib.stride_tricks.sliding_window_view(seen[on], length).var(axis=1)
+                scores.append(out[len(values) :])
+                values, last = seen[on][len(on) - min(kept, len(on)) :].tolist(), run[-1][0] // 1000
+            if last is not None and mark >= last + pause:
+                self.tail.clear()
+            elif ready:
+                self.tail.update((values, last))
+                self.handle.registerTimer(last + pause)
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000)
+            else:
+                self.waiting.clear()
+            if ready:
+                columns = dict(zip(("at_us", *names), zip(*(r[:-1] for r in ready), strict=True), strict=True))
+                yield pd.DataFrame({who: key[0], **columns, "score": np.concatenate(scores)})
+
+        def close(self) -> None:
+            pass
+
+    asked = events.withWatermark(ts, late).where(F.col(ts).isNotNull())
+    asked = asked.select(key, ts, F.unix_micros(ts).alias("at_us"), *names, F.col(value).cast("double").alias("at_value"))
+    scored = asked.groupBy(key).transformWithStateInPandas(
+        InOrder(), f"{key} {key_kind}, at_us bigint, {kinds}, score double", "append", "EventTime"
+    )
+    return scored.select(
+        key, F.timestamp_micros("at_us").alias(ts), *names, F.when(~F.isnan("score"), F.col("score")).alias("score")
+    )
+
+
 def flag(scored: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
     """Stream of scores with pred, from a fitted static threshold table; null for a key without one."""
     out = scored.where(F.col("score").isNotNull()).join(thresholds, key, "left")
