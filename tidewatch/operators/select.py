@@ -223,21 +223,59 @@ def _lagged_sums(by: Sequence[str], width: int, max_lag: int, size: int):
 def _average_linkage(dist: np.ndarray, cut: float) -> np.ndarray:
     """Cluster numbers (from 1, by first member) of average linkage cut at a distance."""
     n = len(dist)
-    d = dist.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    weight = np.ones(n)
-    label = np.arange(n)
-    for _ in range(n - 1):
-        i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-        if not d[i, j] <= cut:
+    return linked_clusters(np.asarray(dist, float)[np.triu_indices(n, 1)], n, cut)
+
+
+def linked_clusters(pairs: np.ndarray, n: int, cut: float) -> np.ndarray:
+    """The same from the distances of the pairs (0, 1), (0, 2) ... in one array, which is used up.
+
+    Chains of nearest neighbours end in two clusters that are each other's nearest; average linkage may merge
+    these at once, in any order, so that all merges take n^2 steps. A cluster whose nearest neighbour is beyond the cut
+    never merges again and is left out.
+    """
+    start = np.array([i * (2 * n - i - 1) // 2 - i - 1 for i in range(n)], np.int64)
+    here, weight, parent = np.ones(n, bool), np.ones(n), list(range(n))
+    ids = np.arange(n)
+
+    def places(i: int) -> np.ndarray:
+        """Where the distances of i to all others stand (its own place is of no use)."""
+        return np.where(ids < i, start + i, start[i] + ids)
+
+    chain: list[int] = []
+    while here.any():
+        if not chain:
+            chain.append(int(np.argmax(here)))
+        i = chain[-1]
+        others = here.copy()
+        others[i] = False
+        if not others.any():
             break
-        merged = (weight[i] * d[i] + weight[j] * d[j]) / (weight[i] + weight[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
+        on = ids[others]
+        row = pairs[places(i)[on]]
+        best = row.min()
+        if not best <= cut:
+            here[i] = False
+            chain.pop()
+            continue
+        # Of equally near clusters the one that the chain came from, else it might not end.
+        j = chain[-2] if len(chain) > 1 and pairs[places(i)[chain[-2]]] == best else int(on[np.argmin(row)])
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
+        i, j = min(i, j), max(i, j)
+        rest = on[(on != i) & (on != j)]
+        mine, other = places(i)[rest], places(j)[rest]
+        pairs[mine] = (weight[i] * pairs[mine] + weight[j] * pairs[other]) / (weight[i] + weight[j])
         weight[i] += weight[j]
-        label[label == j] = i
-    return pd.factorize(label)[0] + 1
+        here[j], parent[j] = False, i
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    return pd.factorize(np.array([root(i) for i in range(n)], np.int64))[0] + 1
 
 
 def cluster_redundant(
@@ -245,27 +283,46 @@ def cluster_redundant(
 ) -> DataFrame:
     """(by, feature, cluster, medoid): features whose similarity joins them above the threshold.
 
-    One task per series gets one features x features matrix, never its rows.
+    Every series has all of the features; see ``cluster_members`` for series with features of their own.
     """
     by, features = list(by), list(features)
     sim = spread.durable(sim)
+    names = F.explode(F.array(*[F.lit(f) for f in features]))
+    members = sim.select(*by).distinct().select(*by, names.alias("feature"))
+    return cluster_members(members.withColumn("corr_threshold", F.lit(float(corr_threshold))), sim, by, features)
+
+
+def cluster_members(members: DataFrame, sim: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(by, feature, cluster, medoid) of the features that each series has.
+
+    ``members`` has (by, feature, corr_threshold): a series' own features and its threshold. Pairs without a
+    similarity have none, and a lone feature is a cluster of one. One task per series gets the distances of its
+    pairs, never its rows.
+    """
+    by, features = list(by), list(features)
+    members, sim = spread.durable(members), spread.durable(sim)
     place = {f: i for i, f in enumerate(features)}
-    n = len(features)
-
-    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((n, n))
-        m[pdf["feature_i"].map(place), pdf["feature_j"].map(place)] = pdf["sim"]
-        dist = np.clip(1.0 - m, 0.0, 1.0)
-        np.fill_diagonal(dist, 0.0)
-        found = _average_linkage(dist, 1.0 - corr_threshold)
-        out = pd.DataFrame({"feature": features, "cluster": found})
+
+    def assign(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        mine = sorted(set(own["feature"]), key=place.__getitem__)
+        if not mine:
+            return pd.DataFrame(columns=[*by, "feature", "cluster"])
+        n, at = len(mine), {f: i for i, f in enumerate(mine)}
+        near = pairs[pairs["feature_i"].isin(at) & pairs["feature_j"].isin(at)]
+        i, j = near["feature_i"].map(at).to_numpy(int), near["feature_j"].map(at).to_numpy(int)
+        up = i < j
+        i, j, found = i[up], j[up], near["sim"].to_numpy(float)[up]
+        dist = np.ones(n * (n - 1) // 2)
+        dist[i * (2 * n - i - 1) // 2 + j - i - 1] = np.clip(1.0 - found, 0.0, 1.0)
+        out = pd.DataFrame({"feature": mine, "cluster": linked_clusters(dist, n, 1.0 - own["corr_threshold"].iloc[0])})
         for k, v in zip(by, key):
             out[k] = v
         return out[[*by, "feature", "cluster"]]
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sim.schema if f.name in by)
-    members = spread.durable(sim.groupBy(*by).applyInPandas(assign, f"{types}, feature string, cluster int"))
-    return medoids(members, sim, by, features)
+    grouped = members.groupBy(*by).cogroup(sim.groupBy(*by))
+    clustered = spread.durable(grouped.applyInPandas(assign, f"{types}, feature string, cluster int"))
+    return medoids(clustered, sim, by, features)
 
 
 def medoids(members: DataFrame, sim: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -274,22 +331,23 @@ def medoids(members: DataFrame, sim: DataFrame, by: Sequence[str], features: Seq
     order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     left = members.withColumnRenamed("feature", "feature_i")
     right = members.select(*by, F.col("feature").alias("feature_j"), "cluster")
-    near = sim.join(left, [*by, "feature_i"]).join(right, [*by, "feature_j", "cluster"])
+    near = spread.join_null_safe(sim, left, [*by, "feature_i"])
+    near = spread.join_null_safe(near, right, [*by, "feature_j", "cluster"])
     spent = near.groupBy(*by, F.col("feature_i").alias("feature")).agg(
         F.sum(F.least(F.greatest(1 - F.col("sim"), F.lit(0.0)), F.lit(1.0))).alias("_d")
     )
-    totals = members.join(spent, [*by, "feature"], "left")
+    totals = spread.join_null_safe(members, spent, [*by, "feature"], "left")
     best = totals.groupBy(*by, "cluster").agg(
         F.min_by("feature", F.struct(F.round(F.coalesce("_d", F.lit(0.0)), 12), order)).alias("medoid")
     )
-    return members.join(best, [*by, "cluster"]).select(*by, "feature", "cluster", "medoid")
+    return spread.join_null_safe(members, best, [*by, "cluster"]).select(*by, "feature", "cluster", "medoid")
 
 
 def cluster_importance(clusters: DataFrame, importance: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, cluster, medoid, importance) from the importance of each medoid."""
     by = list(by)
     reps = clusters.select(*by, "cluster", "medoid").distinct()
-    return reps.join(importance.withColumnRenamed("feature", "medoid"), [*by, "medoid"])
+    return spread.join_null_safe(reps, importance.withColumnRenamed("feature", "medoid"), [*by, "medoid"])
 
 
 # ---- importance -----------------------------------------------------------------------
@@ -391,30 +449,45 @@ def _with_sentinels(groups: DataFrame, sentinel: DataFrame | None, by: Sequence[
     if sentinel is None:
         return groups
     last = groups.groupBy(*by).agg((F.max("grp") + 1).alias("_next"))
-    extra = sentinel.select(*by, "feature").join(last, list(by), "left")
+    extra = spread.join_null_safe(sentinel.select(*by, "feature"), last, list(by), "left")
     extra = extra.select(
         *by, "feature", F.coalesce("_next", F.lit(0)).cast("int").alias("grp"), F.lit("sentinel").alias("kind")
     )
     return groups.unionByName(extra)
 
 
+def _above_own(importance: DataFrame, percentiles: DataFrame, by: list[str]) -> DataFrame:
+    """Marks as ``_high`` what is at or above its series' own percentile; the clusters of a series are few."""
+    ordered = importance.groupBy(*by).agg(F.array_sort(F.collect_list("importance")).alias("_all"))
+    ordered = spread.join_null_safe(ordered, percentiles.select(*by, "importance_percentile"), by)
+    at = (F.size("_all") - 1) * F.col("importance_percentile") / 100
+    lo, hi = (F.get("_all", f(at).cast("int")) for f in (F.floor, F.ceil))
+    # As numpy's percentile does it.
+    cuts = ordered.select(*by, (lo + (hi - lo) * (at - F.floor(at))).alias("_cut"))
+    return spread.lookup_join(importance, cuts, by).withColumn("_high", F.col("importance") >= F.col("_cut"))
+
+
 def assign_groups(
     members: DataFrame,
     importance: DataFrame,
     by: Sequence[str],
-    percentile: float = 50.0,
+    percentile: float | DataFrame = 50.0,
     sentinel: DataFrame | None = None,
 ) -> DataFrame:
     """(by, feature, grp, kind): important clusters one by one, then the rest, then the sentinels.
 
     ``importance`` has one row per (by, cluster); clusters at or above the percentile of their
-    series are important and numbered by falling importance.
+    series are important and numbered by falling importance. ``percentile`` is one number or a
+    table (by, importance_percentile).
     """
     by = list(by)
-    cut = spread.percentiles(importance, by, "importance", [percentile / 100])
-    judged = spread.lookup_join(importance.select(*by, "cluster", "importance"), cut, by).withColumn(
-        "_high", F.col("importance") >= F.col("q")[0]
-    )
+    if isinstance(percentile, DataFrame):
+        judged = _above_own(importance.select(*by, "cluster", "importance"), percentile, by)
+    else:
+        cut = spread.percentiles(importance, by, "importance", [percentile / 100])
+        judged = spread.lookup_join(importance.select(*by, "cluster", "importance"), cut, by).withColumn(
+            "_high", F.col("importance") >= F.col("q")[0]
+        )
     order = Window.partitionBy(*by, "_high").orderBy(F.desc("importance"), "cluster")
     whole = Window.partitionBy(*by)
     judged = judged.withColumns(
@@ -426,7 +499,7 @@ def assign_groups(
         F.when(F.col("_high"), F.col("_place")).otherwise(F.col("_n_high")).cast("int").alias("grp"),
         F.when(F.col("_high"), "important").otherwise("catch_all").alias("kind"),
     )
-    groups = members.join(placed, [*by, "cluster"]).select(*by, "feature", "grp", "kind")
+    groups = spread.join_null_safe(members, placed, [*by, "cluster"]).select(*by, "feature", "grp", "kind")
     return _with_sentinels(groups, sentinel, by)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
-from tidewatch.operators import compare, evaluate, graph, prepare, reconstruct, scoring, select, spread, windows
+from tidewatch.operators import compare, evaluate, graph, prepare, reconstruct, scoring, select, selection, spread, windows
 from tidewatch.plans import detectors, tables
 from tidewatch.plans.detect_queries import CALIBRATED, calibrated
 from tidewatch.plans.registry import query
@@ -56,11 +56,53 @@ def _(spark, folder):
     return rounded(similarity(spark, folder), ["sim"])
 
 
-@query("cluster_redundant")
+# Average linkage of five features, one merge a step: d has the distances of all pairs (25 of them), w the
+# sizes and lab the first member of each feature's cluster.
+LINKAGE = (
+    DIFFS
+    + """,
+sm AS (SELECT a.series_id, a.fi, a.fj, greatest(a.s, b.s) AS s FROM rs a JOIN rs b ON b.series_id = a.series_id AND b.fi = a.fj AND b.fj = a.fi),
+ft AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{k}', {i})" for i, k in enumerate(KINDS))
+    + """) v(f, i)),
+cl AS (SELECT u.series_id, x.i * 5 + y.i AS pos, CASE WHEN x.i = y.i THEN 1e9 ELSE least(greatest(1 - coalesce(sm.s, 0), 0), 1) END AS d
+  FROM (SELECT DISTINCT series_id FROM sm) u CROSS JOIN ft x CROSS JOIN ft y
+  LEFT JOIN sm ON sm.series_id = u.series_id AND sm.fi = x.f AND sm.fj = y.f),
+st AS (
+  SELECT series_id, 0 AS k, list(d::DOUBLE ORDER BY pos) AS d, [1::DOUBLE, 1, 1, 1, 1] AS w, [0::BIGINT, 1, 2, 3, 4] AS lab FROM cl GROUP BY 1
+  UNION ALL
+  SELECT series_id, k + 1, list_transform(range(25), lambda x: CASE WHEN x // 5 = x % 5 OR x // 5 = j OR x % 5 = j THEN 1e9::DOUBLE
+      WHEN x // 5 = i THEN (w[i + 1] * d[i * 5 + x % 5 + 1] + w[j + 1] * d[j * 5 + x % 5 + 1]) / (w[i + 1] + w[j + 1])
+      WHEN x % 5 = i THEN (w[i + 1] * d[i * 5 + x // 5 + 1] + w[j + 1] * d[j * 5 + x // 5 + 1]) / (w[i + 1] + w[j + 1]) ELSE d[x + 1] END),
+    list_transform(range(5), lambda x: CASE WHEN x = i THEN w[i + 1] + w[j + 1] ELSE w[x + 1] END),
+    list_transform(lab, lambda l: CASE WHEN l = j THEN i ELSE l END)
+  FROM (SELECT *, (m // 5)::BIGINT AS i, (m % 5)::BIGINT AS j FROM (SELECT *, list_position(d, list_min(d)) - 1 AS m FROM st WHERE list_min(d) <= 0.5))),
+fin AS (SELECT series_id, lab FROM st QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY k DESC) = 1),
+mb AS (SELECT series_id, f AS feature, i, lab[i + 1] AS l FROM fin CROSS JOIN ft),
+sp AS (SELECT a.series_id, a.feature, a.i, a.l, round(coalesce(sum(cl.d) FILTER (WHERE b.i <> a.i), 0), 12) AS far FROM mb a
+  JOIN mb b ON b.series_id = a.series_id AND b.l = a.l JOIN cl ON cl.series_id = a.series_id AND cl.pos = a.i * 5 + b.i GROUP BY ALL),
+ck AS (SELECT series_id, feature, CAST(dense_rank() OVER (PARTITION BY series_id ORDER BY l) AS INTEGER) AS cluster,
+  first_value(feature) OVER (PARTITION BY series_id, l ORDER BY far, i) AS medoid FROM sp)"""
+)
+
+
+@query("cluster_redundant", sql("d3", LINKAGE + " SELECT * FROM ck").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, folder):
     return select.cluster_redundant(similarity(spark, folder), BY, KINDS, corr_threshold=0.5)
 
 
+@query("select_chain")
+def _(spark, folder):
+    """All stages on the day panel, where a user has the event types that ever occurred."""
+    raw = tables.day_panel(spark, folder)
+    days = spread.durable(prepare.interpolate(raw, BY, KINDS))
+    groups = spread.durable(selection.select_features(days, BY, KINDS, SHORT, LAGS, decay=10.0))
+    own = selection.own_features(days, BY, KINDS).where("verdict <> 'dropped'")
+    wrong = select.check_partition(groups, own.select(*BY, "feature"), BY)
+    # Features that no group or two groups hold would follow with their problem: there are none.
+    return groups.unionByName(wrong.select(*BY, "feature", F.lit(-1).alias("grp"), F.col("problem").alias("kind")))
+
+
 MEMBERS = {"click": 1, "error": 1, "purchase": 2, "signup": 3, "view": 3}
 MEMBER_SQL = "(VALUES " + ", ".join(f"('{f}', {c})" for f, c in MEMBERS.items()) + ") m(feature, cluster)"
 IMPORTANCE = (
