@@ -58,7 +58,7 @@ BLOCK = 1500
 # Text whose sets are made at once.
 CHUNK = 1 << 20
 # Text whose shingles are counted together, and ranges of hashes for each task that counts.
-SPAN, RANGES = 16 << 20, 4
+SPAN, RANGES = 4 << 20, 4
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 U = np.uint64
