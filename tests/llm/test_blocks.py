@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -47,6 +48,48 @@ def test_only_dropped_elements_are_dropped(inner, want):
     assert " ".join(x.text for x in blocks) == want and all(x.path[0] == "article" for x in blocks)
 
 
+LONG = {
+    "open quotes": ('<a href="x ', 90_000), "open raw tags": ("<script x ", 100_000), "open tags": ("<a ", 340_000),
+    "open names": ("<a", 500_000), "open comments": ("<!--", 250_000), "open drawings": ("<svg>", 200_000),
+    "nested": ("<div>", 200_000), "nested with text": ("<div>x", 160_000), "signs": ("<", 1_000_000), "ends": ("</", 500_000),
+    "ends of nothing": ("<div><i></b></x>", 60_000), "both quotes": ("<a '\" ", 150_000), "inline": ("<i></b>", 150_000),
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_broken_and_deep_pages_take_linear_time(kind):
+    part, times = LONG[kind]
+    took = []
+    for n in (times // 4, times):
+        for page in (part * n, part * n + "\" >"):
+            began = time.process_time()
+            blocks = b.parse(f"<main><p>begin {page}")
+            took.append(time.process_time() - began)
+            assert blocks[0].text.startswith("begin")
+    # Two seconds a megabyte, on a machine twice as slow as it is alone.
+    assert max(took) < 6 and max(took[2:]) < 12 * max(0.05, max(took[:2]))
+
+
+def test_unfinished_tags_are_text():
+    def texts(page):
+        return [x.text for x in b.parse(page)]
+
+    assert texts('<p>a <b c="d>e<p>f') == ['a <b c="d>e', "f"]
+    assert texts("<p>1 <2 and 3> 4 <<i>5</i>") == ["1 <2 and 3> 4 <5"]
+    assert texts("<p>a</p <p>b") == ["a", "b"]
+    assert texts('<p><i"b c>x') == ["x"] and texts("<p>x<") == ["x<"] and texts("<p>x</") == ["x</"]
+    assert texts("<template><style>a</template>b</style>c") == ["bc"]
+    assert texts("<svg><!-- </svg>a") == ["a"]
+
+
+def test_deep_paths():
+    deep = b.parse("<article>" + "<div class='ad'>" * 3 + "x</div></div></div>y")
+    assert [x.path for x in deep] == [("article", *("div", ".ad") * 3), ("article",)]
+    assert [b.by_markup(x.steps) for x in deep] == [False, True] and deep[0].steps.size == 7
+    same = b.Block(deep[0].path, "x", 0.0)
+    assert (b.Features().of([same]) == b.Features().of(deep[:1])).all()
+
+
 def test_gradients_match_differences():
     r = np.random.default_rng(0)
     net = b.Lstm(5, 3)

@@ -12,6 +12,9 @@ the like is main text. As markup differs between sites, every training page is a
 other container names, and with added blocks in containers that the page does not have. All other steps
 are one narrow pass over all pages; pages are padded to the longest of a small group of similar length.
 
+Pages are read in time that grows with their length alone, also broken ones and very deep ones: text that only looks like
+tags stays text.
+
 Null or empty html has no blocks and an empty text, as has a page without any main block. Null urls stay
 null, repeated rows are repeated, other columns are not read. Without any labelled page the
 markup rule itself decides.
@@ -22,7 +25,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ VARIANTS = 3
 EPOCHS = 6
 PATH_SIZE, WORD_SIZE, MEASURES = 96, 32, 6
 HIDDEN = 24
-GROUP = 64
+GROUP, STEPS = 64, 20_000
 SEED = 7
 
 # Elements of HTML that hold no content, and those that start a line of their own.
@@ -51,11 +56,8 @@ RAW = ("script", "style")
 CLOSED = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("svg", "iframe", "template")}
 # Elements that "/>" closes.
 FOREIGN = ("svg", "math")
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
+NAME_END, SPECIAL = re.compile(r"[\s/>]"), re.compile("[\"'>]")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+")
@@ -69,83 +71,214 @@ OTHER = frozenset(
 )
 
 
-class Block:
-    __slots__ = ("path", "text", "link")
+@lru_cache(maxsize=10_000)
+def marks_of(words: tuple[str, ...]) -> tuple[int, bool, bool]:
+    """Slots of the words in the network's input, and whether they name main text or other parts."""
+    slots = 0
+    for w in words:
+        slots |= 1 << zlib.crc32(w.encode()) % PATH_SIZE
+    return slots, any(w in MAIN for w in words), any(w.lstrip(".") in OTHER for w in words)
+
+
+class Path:
+    """Open block elements with the words of their names: a step at a time, so that deep pages stay linear."""
+
+    __slots__ = ("above", "words", "size", "slots", "main", "other")
+
+    def __init__(self, above: Path | None, words: tuple[str, ...]):
+        self.above, self.words = above, words
+        slots, main, other = marks_of(words)
+        self.size = len(words) + (above.size if above else 0)
+        self.slots = slots | (above.slots if above else 0)
+        self.main = main or above is not None and above.main
+        self.other = other or above is not None and above.other
+
 
-    def __init__(self, path: tuple[str, ...], text: str, link: float):
-        self.path, self.text, self.link = path, text, link
+class Block:
+    __slots__ = ("steps", "text", "link")
+
+    def __init__(self, path: Path | tuple[str, ...], text: str, link: float):
+        self.steps = path if isinstance(path, Path) else Path(None, path)
+        self.text, self.link = text, link
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        words, step = [], self.steps
+        while step is not None:
+            words.append(step.words)
+            step = step.above
+        return tuple(w for part in words[::-1] for w in part)
+
+
+class Scanner:
+    """Tags of a page from left to right, in time that grows with the page alone.
+
+    What a tag's end depends on is remembered: where the next quote, ``>`` or end of a name is, and whether quotes that open at a
+    place lead to a ``>`` at all. So text that looks like a thousand unfinished tags is read once, not once for each.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        #: Where the search for the next tag goes on; may be moved forward.
+        self.at = 0
+        self.next: dict[re.Pattern, tuple[int, int]] = {}
+        self.ends: dict[int, int] = {}
+
+    def find(self, what: re.Pattern, at: int) -> int:
+        """The first place of a character from ``at`` on, -1 if none; ``at`` mostly rises."""
+        asked, found = self.next.get(what, (1, 0))
+        if not asked <= at or 0 <= found < at:
+            m = what.search(self.page, at)
+            asked, found = at, m.start() if m else -1
+            self.next[what] = asked, found
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the ``>`` stands that ends a tag, in no quotes; -1 if there is none."""
+        place, seen = self.find(SPECIAL, at), []
+        while True:
+            if place < 0 or self.page[place] == ">":
+                end = place
+                break
+            if place in self.ends:
+                end = self.ends[place]
+                break
+            seen.append(place)
+            closed = self.page.find(self.page[place], place + 1)
+            m = SPECIAL.search(self.page, closed + 1) if closed >= 0 else None
+            place = m.start() if m else -1
+        for quote in seen:
+            self.ends[quote] = end
+        return end
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether an end tag, the rest of the tag); the name is empty for what is no element."""
+        page = self.page
+        gone = False  # no ">" is left
+        while (start := page.find("<", self.at)) >= 0:
+            at = self.at = start + 1
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                self.at = len(page) if end < 0 else end + 3
+                yield start, self.at, "", False, ""
+                continue
+            closing = page.startswith("/", at)
+            first = at + closing
+            if first < len(page) and page[first].isascii() and page[first].isalpha() and not gone:
+                stop = self.find(NAME_END, first)
+                if stop < 0:
+                    # Neither white space nor ">" follows any more.
+                    gone = True
+                    continue
+                end = self.tag_end(stop)
+                if end < 0 and 0 <= (quote := self.find(SPECIAL, first)) < stop:
+                    # Quotes inside a name belong to it, unless that leaves the tag without an end.
+                    end, stop = self.tag_end(quote), quote
+                if end >= 0:
+                    name = page[first:stop].lower()
+                    self.at = end + 1
+                    if name in RAW and not closing:
+                        m = RAW_END[name].search(page, self.at)
+                        self.at = m.end() if m else len(page)
+                    yield start, self.at, name, closing, page[stop:end]
+                    continue
+            if page[at : at + 1] in ("!", "?", "/") and not gone:
+                end = page.find(">", at + 1)
+                if end < 0:
+                    gone = True
+                    continue
+                self.at = end + 1
+                yield start, self.at, "", False, ""
 
 
 def parse(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
+    """The leaf blocks of a page in order, in time that grows with the page alone."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # Open elements, each with the path that it leads to, and how many of a name are open: block elements in the
+    # whole page, others since the last block element.
+    stack: list[tuple[str, Path | None]] = []
+    blocks: Counter = Counter()
+    inner: list[Counter] = [Counter()]
     parts: list[str] = []
     linked = [0, 0]
+    anchors = 0
 
     def add(text: str) -> None:
         if text:
             parts.append(text)
-            linked[any(name == "a" for name, _ in stack)] += len(text)
+            linked[anchors > 0] += len(text)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(w for name, words in stack if name in BLOCK for w in (name, *words))
-            out.append(Block(path, text, linked[1] / max(1, sum(linked))))
+            here = stack[-1][1] if stack else None
+            out.append(Block(here or Path(None, ()), text, linked[1] / max(1, sum(linked))))
         parts.clear()
         linked[:] = [0, 0]
 
+    def pop() -> str:
+        nonlocal anchors
+        name = stack.pop()[0]
+        anchors -= name == "a"
+        if name in BLOCK:
+            blocks[name] -= 1
+            inner.pop()
+        else:
+            inner[-1][name] -= 1
+        return name
+
     def close(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-            # An end tag does not reach out of the block that holds it.
-            if name not in BLOCK and stack[i][0] in BLOCK:
-                return
-
-    at = 0
-    open_ended = set()
-    while (m := TAG.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["raw"] or "").lower()
+        # An end tag does not reach out of the block that holds it.
+        if (blocks if name in BLOCK else inner[-1])[name] > 0:
+            while pop() != name:
+                pass
+
+    at, open_ended, scanner = 0, set(), Scanner(page)
+    for start, end, name, closing, rest in scanner.tags():
+        add(page[at:start])
+        at = end
         if not name:
             continue
         if name in BLOCK or name == "br":
             flush()
-        if m["raw"] is not None or name in FOREIGN and not m["end"] and m["rest"].endswith("/"):
+        if name in RAW and not closing or name in FOREIGN and not closing and rest.endswith("/"):
             continue
-        if name in CLOSED and not m["end"] and name not in open_ended:
-            end = CLOSED[name].search(page, at)
-            if end is not None:
-                at = end.end()
+        if name in CLOSED and not closing and name not in open_ended:
+            found = CLOSED[name].search(page, at)
+            if found is not None:
+                at = scanner.at = found.end()
                 continue
             # Nor has any later one an end.
             open_ended.add(name)
-        if m["end"]:
+        if closing:
             close(name)
         elif name not in VOID:
-            if name in BLOCK and stack:
-                while stack and stack[-1][0] not in BLOCK:
-                    stack.pop()
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                elif stack and stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    stack.pop()
             words = ()
             if name in BLOCK:
-                names = NAMES.findall(m["rest"])
+                while stack and stack[-1][0] not in BLOCK:
+                    pop()
+                if stack and (
+                    stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")
+                ):
+                    pop()
+                names = NAMES.findall(rest)
                 words = tuple(f".{w}" for n in names for w in PART.findall(n.lower()))
-            stack.append((name, words))
+            here = stack[-1][1] if stack else None
+            if name in BLOCK:
+                here = Path(here, (name, *words))
+                blocks[name] += 1
+                inner.append(Counter())
+            else:
+                inner[-1][name] += 1
+            anchors += name == "a"
+            stack.append((name, here))
     add(page[at:])
     flush()
     return out
 
 
-def by_markup(path: tuple[str, ...]) -> bool:
-    return any(p in MAIN for p in path) and not any(p.lstrip(".") in OTHER for p in path)
+def by_markup(path: Path) -> bool:
+    return path.main and not path.other
 
 
 class Features:
@@ -165,14 +298,14 @@ class Features:
     def of(self, blocks: list[Block]) -> np.ndarray:
         out = np.zeros((len(blocks), PATH_SIZE + WORD_SIZE + MEASURES), np.float32)
         for i, b in enumerate(blocks):
-            for p in set(b.path):
-                out[i, zlib.crc32(p.encode()) % PATH_SIZE] = 1
+            slots = np.frombuffer(b.steps.slots.to_bytes(PATH_SIZE // 8, "little"), np.uint8)
+            out[i, :PATH_SIZE] = np.unpackbits(slots, bitorder="little")
             words = WORD.findall(b.text.lower())
             counts = np.bincount([self.slot(w) for w in words], minlength=WORD_SIZE) if words else np.zeros(WORD_SIZE)
             out[i, PATH_SIZE : PATH_SIZE + WORD_SIZE] = counts / max(1, len(words))
             size = len(b.text)
             out[i, -MEASURES:] = (
-                np.log1p(size) / 8, b.link, i / len(blocks), len(words) / (size + 1), len(b.path) / 8,
+                np.log1p(size) / 8, b.link, i / len(blocks), len(words) / (size + 1), b.steps.size / 8,
                 sum(b.text.count(c) for c in ".,;:!?") / (len(words) + 1),
             )
         return out
@@ -341,7 +474,7 @@ def fit(pages: DataFrame, url: str = "url", page: str = "html", most: int = TRAI
     features, r, sequences = Features(), np.random.default_rng(SEED), []
     for row in dict.fromkeys(rows):
         blocks = parse(row)
-        labels = [by_markup(b.path) for b in blocks]
+        labels = [by_markup(b.steps) for b in blocks]
         if any(labels) and not all(labels):
             shown = [(blocks, labels), *(shown_otherwise(blocks, labels, r) for _ in range(VARIANTS))]
             sequences += [(features.of(b), np.array(m)) for b, m in shown]
@@ -360,10 +493,15 @@ class Extractor:
         blocks = [parse(p) if p else [] for p in pages]
         out = [""] * len(pages)
         order = sorted((i for i, b in enumerate(blocks) if b), key=lambda i: len(blocks[i]))
-        for at in range(0, len(order), GROUP):
-            group = order[at : at + GROUP]
+        at = 0
+        while at < len(order):
+            # Pages in rising length: as many as GROUP, and no more steps than GROUP pages of usual length.
+            upto = at + 1
+            while upto < min(at + GROUP, len(order)) and (upto + 1 - at) * len(blocks[order[upto]]) <= STEPS:
+                upto += 1
+            group, at = order[at:upto], upto
             if self.network is None:
-                marks = [[by_markup(b.path) for b in blocks[i]] for i in group]
+                marks = [[by_markup(b.steps) for b in blocks[i]] for i in group]
             else:
                 inputs = [self.features.of(blocks[i]) for i in group]
                 x, mask, _ = padded([(a, np.zeros(len(a), bool)) for a in inputs])
