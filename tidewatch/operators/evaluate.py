@@ -140,13 +140,27 @@ def point_adjust(
 
 
 def segments_detected(segs: DataFrame, cover: DataFrame, lengths: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, seg_id, detected): whether any position of the segment is covered."""
-    points = windows.segment_points(segs, lengths, by, ["seg_id"])
-    hits = points.join(cover.select(*by, "t"), [*by, "t"], "left_semi").groupBy(*by, "seg_id").agg(
-        F.lit(1).alias("detected")
-    )
+    """(by, seg_id, detected): whether any position of the segment, clipped to its series, is covered.
+
+    The covered positions before the segment's start and up to its end are counted by one running sum: a segment is two
+    rows, however long it is.
+    """
+    by = list(by)
+    inside = spread.lookup_join(segs.select(*by, "seg_id", "start_t", "end_t"), lengths, by)
+    first, last = F.greatest(F.col("start_t"), F.lit(0)), F.least(F.col("end_t"), F.col("n") - 1)
+    inside = inside.where(first <= last)
+    ends = inside.select(
+        *by, "seg_id", F.inline(F.array(
+            F.struct((2 * first).cast("bigint").alias("_pos"), F.lit(-1).alias("_side")),
+            F.struct((2 * last + 2).cast("bigint").alias("_pos"), F.lit(1).alias("_side")),
+        ))
+    )
+    points = cover.select(*by, (2 * F.col("t") + 1).cast("bigint").alias("_pos"), F.lit(1).alias("_c"))
+    both = points.unionByName(ends.withColumn("_c", F.lit(0)), allowMissingColumns=True)
+    counted = spread.bucket_running(both, by, {"_upto": F.col("_c")}, t="_pos").where("_side IS NOT NULL")
+    hits = counted.groupBy(*by, "seg_id").agg(F.sum(F.col("_side") * F.col("_upto")).alias("_hits")).where("_hits > 0")
     out = segs.join(hits, [*by, "seg_id"], "left")
-    return out.select(*by, "seg_id", "start_t", "end_t", F.coalesce("detected", F.lit(0)).alias("detected"))
+    return out.select(*by, "seg_id", "start_t", "end_t", F.coalesce(F.sign("_hits").cast("int"), F.lit(0)).alias("detected"))
 
 
 def threshold_sweep(

@@ -209,10 +209,12 @@ def bucket_running(
     maxima: Mapping[str, Column] | None = None,
     t: str = "t",
     size: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
     """Inclusive running sums / maxima along t, one bucket per task.
 
-    The rows are shuffled once; bucket totals and rows come from the same exchange.
+    The rows are shuffled once; bucket totals and rows come from the same exchange. Rows with a null
+    key or t are dropped, or with ``how`` left kept, each with its own bucket's values alone.
     """
     by = list(by)
     sums, maxima = dict(sums or {}), dict(maxima or {})
@@ -229,9 +231,9 @@ def bucket_running(
     )
     within = bucket_frame(by, t).rowsBetween(Window.unboundedPreceding, 0)
     kept = [c for c in df.columns if c != "_bucket"]
-    return df.join(offsets, [*by, "_bucket"]).select(
+    return df.join(offsets, [*by, "_bucket"], how).select(
         *kept,
-        *[(F.sum(c).over(within) + F.col(f"_off_{n}")).alias(n) for n, c in sums.items()],
+        *[(F.sum(c).over(within) + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n, c in sums.items()],
         *[F.greatest(F.max(c).over(within), F.col(f"_off_{n}")).alias(n) for n, c in maxima.items()],
     )
 

@@ -156,22 +156,51 @@ def segment_points(
     return blocks.select(*by, *extra, F.explode(F.sequence(first, last)).alias("t"))
 
 
-def paint_segments(df: DataFrame, segs: DataFrame, by: Sequence[str], y: str = "y", t: str = "t") -> DataFrame:
-    """0/1 label per row of df: 1 inside any segment."""
-    lengths = df.groupBy(*by).agg((F.max(t) + 1).alias("n"))
-    points = segment_points(segs, lengths, by).distinct().withColumn(y, F.lit(1)).withColumnRenamed("t", t)
-    return df.join(points, [*by, t], "left").withColumn(y, F.coalesce(F.col(y), F.lit(0)))
+def paint_segments(
+    df: DataFrame, segs: DataFrame, by: Sequence[str], y: str = "y", t: str = "t", size: int | None = None
+) -> DataFrame:
+    """0/1 label per row of df: 1 inside any segment (ends included).
 
+    No position of a segment is spelled out: it adds one where it starts and takes one off behind its end, and
+    a row lies inside where more have started than ended. So a segment is two rows, however long it is.
+    """
+    by = list(by)
+    real = segs.where(F.col("start_t") <= F.col("end_t"))
+    for c in by:
+        real = real.where(F.col(c).isNotNull())
+    edges = real.select(
+        *by, F.inline(F.array(
+            F.struct((2 * F.col("start_t")).alias("_pos"), F.lit(1).alias("_d")),
+            F.struct((2 * F.col("end_t") + 2).alias("_pos"), F.lit(-1).alias("_d")),
+        ))
+    )
+    # Rows stand between the places of the edges: at 2t + 1, behind a start at 2t and before an end at 2t + 2.
+    place = F.coalesce((2 * F.col(t) + 1).cast("bigint"), F.lit(-1).cast("bigint"))
+    rows = df.withColumns({"_pos": place, "_d": F.lit(0), "_row": F.lit(True)})
+    both = rows.unionByName(edges.withColumn("_pos", F.col("_pos").cast("bigint")), allowMissingColumns=True)
+    summed = spread.bucket_running(both, by, {"_open": F.col("_d")}, t="_pos", size=size, how="left")
+    kept = [c for c in df.columns if c != y]
+    inside = F.col(t).isNotNull() & (F.col("_open") > 0)
+    return summed.where("_row").select(*kept, inside.cast("int").alias(y))
+
+
+def window_cover(
+    flagged: DataFrame, lengths: DataFrame, by: Sequence[str], length: int, size: int | None = None
+) -> DataFrame:
+    """Distinct positions covered by flagged windows, clipped to the series: (by, t).
 
-def window_cover(flagged: DataFrame, lengths: DataFrame, by: Sequence[str], length: int) -> DataFrame:
-    """Distinct positions covered by flagged windows, clipped to the series: (by, t)."""
-    near = spread.lookup_join(flagged.select(*by, "w"), lengths, by)
-    last = F.least(F.col("w") + length - 1, F.col("n") - 1)
-    return (
-        near.where(F.col("w") < F.col("n"))
-        .select(*by, F.explode(F.sequence("w", last)).alias("t"))
-        .distinct()
-    )
+    A position belongs to the last flagged window that starts at or before it, so a window gives the positions up to
+    the next flagged one: each position once, whatever the length of a window.
+    """
+    by = list(by)
+    near = spread.lookup_join(flagged.select(*by, "w").distinct(), lengths, by).where(F.col("w") < F.col("n"))
+    size = max(size or spread.BUCKET, length)
+    halo = spread.with_halo(near, 0, length - 1, "w", size)
+    frame = Window.partitionBy(*by, "_bucket").orderBy("w")
+    after = F.min("w").over(frame.rangeBetween(1, max(1, length - 1)))
+    starts = halo.withColumn("_next", after).where("_home")
+    last = F.least(F.col("w") + length - 1, F.col("n") - 1, F.coalesce(F.col("_next") - 1, F.col("n") - 1))
+    return starts.select(*by, F.explode(F.sequence("w", last)).alias("t"))
 
 
 def covered_segments(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidewatch.operators import prepare, spread
+from tidewatch.operators import prepare, spread, windows
 
 FILE = ["_file", "_start"]
 
@@ -37,6 +37,13 @@ def natural(path: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 40, "0")).otherwise(p)), "")
 
 
+def file_ranks(scan: DataFrame) -> DataFrame:
+    """(_file, _rank): the files of a scan in order of the numbers in their names, as ``file_order`` puts them."""
+    files = scan.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    order = Window.orderBy(natural(F.col("_file")), "_file")
+    return files.select("_file", F.row_number().over(order).alias("_rank"))
+
+
 def place_order() -> list[Column]:
     return [natural(F.col("_file")), F.col("_file"), F.col("_start")]
 
@@ -207,9 +214,7 @@ def labelled_channels(spark: SparkSession, path: str, labels: str) -> DataFrame:
     """
     rows = npy(spark, path)
     spans = intervals(channel_table(spark, labels)).select("series_id", "start_t", "end_t")
-    inside = F.explode(F.sequence("start_t", "end_t")).alias("t")
-    hits = spans.where("end_t >= start_t").select("series_id", inside).distinct().withColumn("y", F.lit(1))
-    return rows.join(hits, ["series_id", "t"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return windows.paint_segments(rows, spans, ["series_id"])
 
 
 # ---- plant and cluster tables ---------------------------------------------------------
@@ -242,11 +247,12 @@ def plant_csv(
         F.try_to_timestamp(F.trim(F.col(f"`{timestamp}`")), F.lit(time_format)).alias("_ts"),
         prepare.attack_flag(F.col(f"`{label}`")).alias("y"),
         *[prepare.coerce_numeric(F.trim(F.col(f"`{c}`"))).alias(c) for c in features],
-        natural(F.col("_file")).alias("_name"),
         *FILE,
         "_line",
     )
-    ordered = spread.row_index(rows, [], ["_ts", "_name", *FILE, "_line"]).drop("_ts", "_name", *FILE, "_line")
+    # Files are numbered once, so that no row carries its path into the sort.
+    ranked = spread.lookup_join(rows, file_ranks(scan), ["_file"], "left").drop("_file")
+    ordered = spread.row_index(ranked, [], ["_ts", "_rank", "_start", "_line"]).drop("_ts", "_rank", "_start", "_line")
     if on_bad == "raise":
         return prepare.assert_no_nan(ordered, features)
     if on_bad != "impute":
