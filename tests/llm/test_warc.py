@@ -1,6 +1,9 @@
 import base64
 import hashlib
 import io
+import random
+
+import pytest
 
 from tidewatch.llm import common, warc
 
@@ -86,3 +89,33 @@ def test_damage_is_noticed():
         except ValueError:
             continue
         raise AssertionError
+
+
+def test_usual_files_roll_and_empty_payloads_are_spread(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = [(i, "u", None if i < 300 else " ".join(r.choice(words) for _ in range(400))) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = common.scratch(spark, "warc-test")
+    manifest = warc.write(df, path, shard_bytes=warc.SHARD_BYTES // 512, file_bytes=warc.FILE_BYTES // 512).collect()
+    files, records = {}, {}
+    for m in manifest:
+        files[m.shard] = files.get(m.shard, 0) + 1
+        records[m.shard] = records.get(m.shard, 0) + m.records
+    # At the usual ratio of sizes files roll inside a shard, and no shard holds the whole run of empty payloads.
+    assert max(files.values()) > 1 and max(records.values()) < 200 and sum(records.values()) == 600
+    assert warc.read(spark, path).count() == 600
+
+
+def test_paths_are_qualified(spark):
+    conf = spark._jsc.hadoopConfiguration()
+    assert common.qualified(spark, "/x/y").startswith("file:/") and common.file_system("file:///x/y")[1] == "/x/y"
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "hdfs://127.0.0.1:1/")
+    try:
+        assert common.qualified(spark, "/x/y") == "hdfs://127.0.0.1:1/x/y"
+    finally:
+        conf.set("fs.defaultFS", before)
+    for path in ("/x/y", "x", "odd://host/x"):
+        with pytest.raises(Exception, match="names no file system|[Uu]nrecognized|scheme"):
+            common.file_system(path)

@@ -16,14 +16,23 @@ from tidewatch.operators import spread
 # Spark's settings that delete an action's shuffle files once it has ended.
 CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
+# Names of a store in Hadoop that pyarrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the file system that Spark finds it on, so that tasks don't look on their own disk."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{spread.shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{spread.shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}")
 
 
 @contextlib.contextmanager
@@ -46,10 +55,19 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def file_system(uri: str):
-    """The file system of a path and the path in it; plain paths are local."""
+    """The file system of a qualified path and the path in it.
+
+    Spark's names of a store are put as pyarrow knows them; a path without a scheme is refused, since it
+    would mean another place in each task, and so is a store that pyarrow can't open.
+    """
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri} names no file system; qualify it on the driver")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def put(uri: str, data: bytes) -> None:

@@ -141,6 +141,8 @@ def write(
     ``tokenizer`` is a file of ranks and the pattern that cuts texts into words.
     """
 
+    path = common.qualified(df.sparkSession, path)
+
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -187,6 +189,7 @@ def unpack(arrays: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, lis
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document read back: doc_id (JSON), n_tokens, ids_sha256, and where its pieces lie."""
+    path = common.qualified(spark, path)
     schema = "doc_id string, n_tokens long, ids_sha256 string, n_pieces long, file string, row_numbers array<long>, starts array<long>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,10 @@ from tidewatch.operators import spread
 
 SHARD_BYTES = 32 << 20
 MAX_SHARDS = 20_000
-FILE_BYTES = 256 << 20
+# Compressed: below what a shard usually comes to, so that files are sized by it and not by the shard.
+FILE_BYTES = 4 << 20
+# About the bytes of a record's headers.
+HEADER = 512
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPACE = uuid.UUID("8a3c4f1e-5d0b-4c57-9f0e-2f6b7f1f3d55")
@@ -103,14 +106,18 @@ def write(
     shard_bytes: int = SHARD_BYTES,
     file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
-    """Write every row as a record below ``path``; returns the manifest."""
+    """Write every row as a record below ``path``; returns the manifest.
+
+    Shards are cut at running sizes of payloads and headers, so that a run of empty payloads is cut too.
+    """
     spark = df.sparkSession
+    path = common.qualified(spark, path)
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = df.select(F.col(row_id).alias("id"), F.col(url).cast("string").alias("url"), raw.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     rows = rows.withColumn("key", order_key(rows, "id"))
 
-    heads = common.stored(rows.select("key", "digest", "id", "url", F.octet_length("payload").cast("long").alias("size")))
+    heads = common.stored(rows.select("key", "digest", "id", "url", (F.octet_length("payload") + HEADER).cast("long").alias("size")))
     first = heads.groupBy("digest").agg(F.min(F.struct("key", "id", "url")).alias("first"), F.count("*").alias("n"))
     later = (
         heads.join(first.where("n > 1"), "digest")
@@ -204,6 +211,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Every record below ``path``: row_id and refers_to (as JSON), url, record_type, digest, size."""
+    path = common.qualified(spark, path)
     names = ["row_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to", "payload"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     keep = len(names) - (not payloads)
