@@ -43,6 +43,8 @@ MEMO = 250_000
 LONGEST = 64
 
 PLAIN = re.compile("[^\x00-ɏ]")
+# Also finds those whose small letters lie beyond.
+NARROW = re.compile("[^" + "".join(re.escape(c) for c in map(chr, range(0x250)) if max(c.lower()) < "\u0250") + "]")
 
 
 def byte_chars() -> list[str]:
@@ -96,8 +98,10 @@ class Tables:
 
     def pieces(self, text: str) -> list[str]:
         """The words of a stretch of text without special tokens."""
-        if not PLAIN.search(text):
+        if not NARROW.search(text):
             return self.plain_words.findall(text.lower())
+        if not PLAIN.search(text):
+            return self.words.findall(text.lower())
         if self._library is None:
             from tokenizers import Tokenizer
 
