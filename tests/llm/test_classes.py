@@ -86,6 +86,32 @@ def test_exchange_finds_planted_classes():
     assert likelihood(pairs, of) >= likelihood(pairs, start) - 1e-6
 
 
+def test_rare_words_have_the_class_of_their_own_bigrams(spark, monkeypatch):
+    """Words beyond the items, of any ending, are classed by what stands around them, in small stretches and ranges too."""
+    monkeypatch.setattr(c, "NEAR", 300)
+    r = random.Random(4)
+    det, verb = ["the", "a", "every", "no"], ["runs", "sits", "eats", "naps"]
+    nouns = [f"n{i}x{i * 7919 % 100:02d}" for i in range(300)]
+    adverbs = [f"d{i}x{i * 7919 % 100:02d}" for i in range(300)]
+    rows = []
+    for i in range(900):
+        parts = [f"{r.choice(det)} {nouns[(i + k * 37) % 300]} {r.choice(verb)} {adverbs[(i + k * 41) % 300]}" for k in range(4)]
+        rows.append((" ".join(parts),))
+    model, counts = c.fit(spark.createDataFrame(rows, "raw string").repartition(6), "raw", items=8, classes=6)
+    assert set(model.own) == {w.encode() for w in det + verb}
+    items = c.Items(model.own)
+    kinds = [Counter(int(model.of[items[w.encode()]]) for w in words) for words in (nouns, adverbs)]
+    assert kinds[0].keys() & kinds[1].keys() == set()
+    # Transitions are those of the classes that the words ended in.
+    sizes = Counter()
+    for w, n in {bytes(x.w): x.c for x in counts.collect()}.items():
+        sizes[int(model.of[items[w]])] += n
+    assert sum(sizes[k] for k in kinds[0]) >= 3600 and sum(sizes[k] for k in kinds[1]) >= 3600
+    # A word that was not in training has the class of its shape.
+    shape = len(model.own) + c.zlib.crc32(b"en") % c.SHAPES
+    assert items[b"unseen"] == shape
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, True, b"some words")], "id long, held_out boolean, raw binary")
     model, counts = c.fit(df.where("not held_out"), "raw")

@@ -2,16 +2,21 @@
 
 P(word | previous word) = P(class | previous class) * P(word | class).
 
-Every word has an item: the ``ITEMS`` most frequent training words are items of their own, any other word
-belongs to the item of its shape (a hash of its last two bytes), the end of a text is one more. Items are assigned
+The ``ITEMS`` most frequent training words are items of their own, the end of a text is one more. Items are assigned
 to classes by exchange: each in turn moves to the class that gains most likelihood of the
-training bigrams, until no sweep gains. Class transitions are smoothed with class frequencies, emissions
+training bigrams, until no sweep gains. This is done twice. First any other word belongs to the item of its shape (a hash of its last
+two bytes), and there are at most ``SEEDS`` classes. From these every other training word, however rare, gets an item by its own
+bigrams: the class that comes most often before it and the one that comes most often after it (``rest``). All bigrams
+are counted anew with these items, which the second exchange assigns to the classes of the model. Only a word that no training
+text holds keeps the item of its shape, which goes to the class of most rare training words of that shape. Class transitions are
+smoothed with class frequencies, emissions
 by half a count for every known word of the class and one unknown word; both sum to one.
 
-Word counts and item bigrams are taken over all training texts, added up per task before they are
+Word counts and bigrams are taken over all training texts, added up per task before they are
 shuffled. On the driver are the ``FREQUENT`` most frequent words, all of one count or none, and the
-item bigrams (at most the square of the number of items). Texts are scored in one narrow pass
-that knows the frequent words; the counts of all others are joined, one row per text and
+item bigrams (at most the square of the number of items). The items of the other words lie in files of the shared folder, one
+for each range of their 64-bit hashes; a worker holds 10 bytes for each word in the ranges that it has met. Texts are scored in one
+narrow pass that knows the frequent words; the counts of all others are joined, one row per text and
 word, and added to the text's score.
 
 Words are lower-case A-Z, cut at white space. Null and empty texts have the end as their only token. A null id
@@ -21,9 +26,10 @@ no training text every known count is 0. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +43,15 @@ ITEMS = 1000
 SHAPES = 128
 CLASSES = 40
 SWEEPS = 12
+# Text whose words are looked up together.
+TOGETHER = 500_000
+# Classes of the first exchange.
+SEEDS = 16
 FREQUENT = 200_000
 # Distinct words a task holds before it passes them on or forgets them.
 HELD = 400_000
+# Neighbours of rare words that a task counts at once, and bits of their hashes that give a range.
+NEAR, RANGE_BITS = 2_000_000, 6
 # Weight of the class frequencies in a transition.
 WEIGHT = 5.0
 
@@ -71,27 +83,81 @@ def _rows(seen: Counter) -> pa.RecordBatch:
     )
 
 
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes, the same in every process."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+
+
+class Words(list):
+    """Words that are items of their own, and the files with the items of the other training words, by range of hashes."""
+
+    def __init__(self, own: list[bytes], files: dict[int, str]):
+        super().__init__(own)
+        self.files = files
+
+    def __reduce__(self):
+        return Words, (list(self), self.files)
+
+
 class Items(dict):
-    """Word -> item."""
+    """Word -> item: own words, shapes, the end, and those that other training words have from ``rest``."""
 
     def __init__(self, own: list[bytes]):
         super().__init__()
         self.own = {w: i for i, w in enumerate(own)}
         self.end = len(own) + SHAPES
         self.count = self.end + 1
+        self.files = getattr(own, "files", {})
+        self.seen: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __missing__(self, word: bytes) -> int:
-        item = self.own.get(word)
-        if item is None:
-            item = self.end if word == END else len(self.own) + zlib.crc32(word[-2:]) % SHAPES
+    def meet(self, texts: list[list[bytes]]) -> None:
+        """Look up all words of some texts at once."""
         if len(self) >= HELD:
             self.clear()
-        self[word] = item
-        return item
+        new = [w for w in set().union(*texts) if w not in self]
+        if not new:
+            return
+        found = np.full(len(new), -1)
+        if self.files:
+            if self.seen is None:
+                # Ranges rise, and so do the hashes in each.
+                kept = [common.load_arrays(self.files[part]) for part in sorted(self.files)]
+                self.seen = np.concatenate([x["h"] for x in kept]), np.concatenate([x["item"] for x in kept])
+            hashes, items = self.seen
+            keys = hashed(new)
+            at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+            found = np.where(hashes[at] == keys, items[at].astype(np.int64), -1)
+        for word, item in zip(new, found.tolist(), strict=True):
+            own = self.own.get(word)
+            if own is None and word == END:
+                own = self.end
+            if own is None:
+                # Words that were not in training have the item of their shape.
+                own = self.count + item if item >= 0 else len(self.own) + zlib.crc32(word[-2:]) % SHAPES
+            self[word] = own
+
+    def __missing__(self, word: bytes) -> int:
+        self.meet([[word]])
+        return self[word]
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Items of a text's tokens: the end, the words, the end."""
-        return np.array([self.end, *[self[w] for w in words], self.end], np.int64)
+        return np.array([self.end, *map(self.__getitem__, words), self.end], np.int64)
+
+
+def texts_of(batch: pa.RecordBatch, column: int, known: Items) -> Iterator[list[bytes]]:
+    """The words of each text of a batch, which ``known`` has met."""
+    texts, size = [], 0
+    for value in batch.column(column):
+        raw = value.as_py() or b""
+        texts.append(words_of(raw))
+        size += len(raw)
+        if size >= TOGETHER:
+            known.meet(texts)
+            yield from texts
+            texts, size = [], 0
+    known.meet(texts)
+    yield from texts
 
 
 def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -155,6 +221,104 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+class Numbers(dict):
+    """Word -> number, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary value from each stretch of an array between two edges."""
+    offsets = (edges * data.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+
+
+def rest(raw: DataFrame, own: list[bytes], of: np.ndarray, classes: int) -> Words:
+    """Items of all training words that are none of their own, from their own bigrams, in files of the shared folder.
+
+    A word's item tells the class (``of``, of its neighbours' items) that is most often before it, and that after it.
+    """
+    spark, folder = raw.sparkSession, common.scratch(raw.sparkSession, "classes")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each rare word of a stretch of texts: its hash, the classes around it, and how often each."""
+        known, numbers, found, size = Items(own), Numbers(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
+            edges = np.searchsorted(keys, np.arange(len(numbers) + 1) * 2 * classes)
+            hashes = hashed(numbers)
+            arrays = [
+                pa.array((hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)), pa.array(hashes.view(np.int64)),
+                _binaries((keys % (2 * classes)).astype("<u2"), edges), _binaries(n.astype("<u4"), edges),
+            ]
+            return pa.RecordBatch.from_arrays(arrays, ["part", "h", "near", "n"])
+
+        for batch in batches:
+            for words in texts_of(batch, 0, known):
+                at = known.of(words)
+                on = np.flatnonzero((at >= len(own)) & (at < known.end))
+                if not len(on):
+                    continue
+                number = np.array([numbers[words[i - 1]] for i in on.tolist()], np.int64) * 2 * classes
+                found += [number + of[at[on - 1]], number + classes + of[at[on + 1]]]
+                size += 2 * len(on)
+                if size >= NEAR or len(numbers) >= HELD:
+                    yield flush()
+                    numbers, found, size = Numbers(), [], 0
+        yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum the counts of each word, rows of a word one after the other, and write each range's items."""
+        part, hashes, chosen, names = None, [], [], []
+        last, sums = np.zeros(0, np.int64), np.zeros((0, 2 * classes))
+
+        def add(ids: np.ndarray, counts: np.ndarray) -> None:
+            hashes.append(ids)
+            chosen.append((counts[:, :classes].argmax(axis=1) * classes + counts[:, classes:].argmax(axis=1)).astype(np.uint16))
+
+        def close() -> None:
+            keys = np.concatenate(hashes).view(np.uint64)
+            order = np.argsort(keys)
+            common.save_arrays(f"{folder}/{part}", h=keys[order], item=np.concatenate(chosen)[order])
+            names.append(part)
+
+        for whole in batches:
+            at, parts = 0, np.asarray(whole.column(0))
+            while at < whole.num_rows:
+                upto = min(at + 4096, int(np.searchsorted(parts, parts[at], side="right")))
+                rows = whole.slice(at, upto - at)
+                at = upto
+                if part is not None and parts[at - 1] != part:
+                    add(last, sums)
+                    close()
+                    hashes, chosen, last, sums = [], [], last[:0], sums[:0]
+                part = int(parts[at - 1])
+                ids, group = np.unique(np.asarray(rows.column(1)), return_inverse=True)
+                codes = [x.as_py() for x in rows.column(2)]
+                n = np.frombuffer(b"".join(x.as_py() for x in rows.column(3)), "<u4")
+                slot = np.repeat(group, [len(c) // 2 for c in codes]) * 2 * classes + np.frombuffer(b"".join(codes), "<u2")
+                fresh = np.bincount(slot, n, minlength=len(ids) * 2 * classes).reshape(-1, 2 * classes)
+                if len(last) and last[0] == ids[0]:
+                    fresh[0] += sums[0]
+                else:
+                    add(last, sums)
+                # The last word may go on in the next rows.
+                add(ids[:-1], fresh[:-1])
+                last, sums = ids[-1:], fresh[-1:]
+        if part is not None:
+            add(last, sums)
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], ["part"])
+
+    sent = raw.mapInArrow(near, "part long, h long, near binary, n binary")
+    parts = min(1 << RANGE_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = common.stored(sent.repartition(parts, "part").sortWithinPartitions("part", "h").mapInArrow(choose, "part long"))
+    return Words(own, {r.part: f"{folder}/{r.part}" for r in made.collect()})
+
+
 @dataclass
 class Model:
     own: list[bytes]
@@ -180,47 +344,71 @@ def fit(train: DataFrame, text: str = "text", items: int = ITEMS, classes: int =
     top = common.most_frequent(counts, FREQUENT)
     own = [w for w, _ in top if w != END][:items]
 
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items(own)
-        sums = np.zeros(known.count**2, np.int64)
-        for batch in batches:
-            for value in batch.column(0):
-                at = known.of(words_of(value.as_py()))
-                found, n = np.unique(at[:-1] * known.count + at[1:], return_counts=True)
-                sums[found] += n
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+    def item_pairs(known_words: list[bytes], count: int) -> np.ndarray:
+        """How often an item follows another."""
+
+        def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, sums = Items(known_words), np.zeros(count**2, np.int64)
+            for batch in batches:
+                for words in texts_of(batch, 0, known):
+                    at = known.of(words)
+                    found, n = np.unique(at[:-1] * count + at[1:], return_counts=True)
+                    sums[found] += n
+            some = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
+
+        pairs = raw.mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        # At most the square of the number of items.
+        matrix = np.zeros(count**2)
+        with common.tidy(train.sparkSession):
+            found = pairs.toPandas()
+        matrix[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
+        return matrix.reshape(count, count)
 
     known = Items(own)
-    pairs = raw.mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # At most the square of the number of items.
-    matrix = np.zeros(known.count**2)
-    with common.tidy(train.sparkSession):
-        found = pairs.toPandas()
-    matrix[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
-    matrix = matrix.reshape(known.count, known.count)
-    of = exchange(matrix, classes, SWEEPS)
+    first = exchange(item_pairs(own, known.count), min(classes, SEEDS), SWEEPS)
+    seeds = int(first.max()) + 1
+    words = rest(raw, own, first, seeds)
+    matrix = item_pairs(words, known.count + seeds**2)
+    # The end goes last, where the exchange leaves it alone.
+    order = np.append(np.delete(np.arange(len(matrix)), known.end), known.end)
+    of = np.empty(len(matrix), np.int64)
+    of[order] = exchange(matrix[np.ix_(order, order)], classes, SWEEPS)
     classes = int(of.max()) + 1
+    shapes = np.arange(len(own), known.end)
 
     def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, v = Items(own), np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+        """Tokens and types of each class, and of those types that are no items, by shape (the last of them: own items)."""
+        known, plain = Items(words), Items(own)
+        n, v = np.zeros((classes, SHAPES + 1), np.int64), np.zeros((classes, SHAPES + 1), np.int64)
         for batch in batches:
-            at = of[np.array([known[w] for w in batch.column(0).to_pylist()], np.int64)]
-            np.add.at(n, at, batch.column(1).to_numpy())
-            np.add.at(v, at, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(n), pa.array(v)], ["k", "n", "v"])
-
-    sums = counts.mapInArrow(kinds, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    n, v = np.zeros(classes), np.zeros(classes)
-    for r in sums.collect():
-        n[r.k], v[r.k] = r.n, r.v
+            found = batch.column(0).to_pylist()
+            known.meet([found])
+            plain.meet([found])
+            at = of[np.array([known[w] for w in found], np.int64)]
+            shape = np.array([plain[w] for w in found], np.int64) - len(own)
+            shape[(shape < 0) | (shape >= SHAPES)] = SHAPES
+            np.add.at(n, (at, shape), batch.column(1).to_numpy())
+            np.add.at(v, (at, shape), 1)
+        cells = [np.repeat(np.arange(classes), SHAPES + 1), np.tile(np.arange(SHAPES + 1), classes), n.ravel(), v.ravel()]
+        some = cells[3] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in cells], ["k", "shape", "n", "v"])
+
+    sums = counts.mapInArrow(kinds, "k long, shape long, n long, v long").groupBy("k", "shape")
+    n, v = np.zeros((classes, SHAPES + 1)), np.zeros((classes, SHAPES + 1))
+    for r in sums.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        n[r.k, r["shape"]], v[r.k, r["shape"]] = r.n, r.v
+    # Words that were not in training are likest to the rare ones of their shape, or to all rare ones.
+    rare = v[:, :SHAPES]
+    of[shapes] = np.where(rare.any(axis=0), rare.argmax(axis=0), rare.sum(axis=1).argmax())
+    n, v = n.sum(axis=1), v.sum(axis=1)
     member = np.zeros((len(of), classes))
     member[np.arange(len(of)), of] = 1
     joint = member.T @ matrix @ member
     share = (n + 0.5) / (n.sum() + 0.5 * classes)
     transition = np.log10((joint + WEIGHT * share) / (joint.sum(axis=1, keepdims=True) + WEIGHT))
     room = np.log10(n + 0.5 * (v + 1))
-    return Model(own, dict(top), int(total.n or 0), int(total.v), int(total.ends or 0), of, transition, room), counts
+    return Model(words, dict(top), int(total.n or 0), int(total.v), int(total.ends or 0), of, transition, room), counts
 
 
 PARTS = "id {}, held_out boolean, n_tokens long, known long, part double, path double, row long, rare array<binary>, times array<int>"
@@ -241,8 +429,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 out = []
-                for value in batch.column(2):
-                    words = words_of(value.as_py())
+                for words in texts_of(batch, 2, items):
                     at = model.of[items.of(words)]
                     path = float((model.transition[at[:-1], at[1:]] - model.room[at[1:]]).sum())
                     found = [x for w in words if (x := logs.get(w)) is not None]
