@@ -127,6 +127,17 @@ def test_pack(spark, encoder):
     assert all(len(s.ids) == 4 * s.n_tokens == 4 * s.cu_seqlens[-1] for s in whole.values())
 
 
+def test_batches_are_bounded_by_bytes():
+    full = [(i, 0, 2048, bytes(8192), 2048, i, 0, 2048, 0) for i in range(1000)]
+    short = [(i, 0, 1, bytes(4), 1, i, 0, 2048, 0) for i in range(20_000)]
+    long = [(0, 0, 1, bytes(2 * tiers.BYTES), 1, 0, 0, 2048, 0)]
+    for rows in ([], full, short, long, full + long + short):
+        parts = list(tiers._slices(rows))
+        assert [r for part in parts for r in part] == rows and all(parts)
+        assert all(len(part) == 1 or sum(len(r[3]) for r in part) <= tiers.BYTES for part in parts)
+        assert all(len(part) <= tiers.ROWS for part in parts)
+
+
 def test_odd_tables(spark, encoder):
     df = spark.createDataFrame([(None, None, None, None)], KIND)
     (row,) = tiers.pack(df, tiers.default_tokenizer()).collect()

@@ -43,8 +43,8 @@ STEP_TOKENS = 65_536
 DEALT = 16
 # Tasks whose rests are packed together: less than a shortest window from each.
 MERGE = 4096
-# Piece rows that a worker hands over at once.
-ROWS = 20_000
+# Piece rows, and bytes of their ids, that a worker hands over at once; a batch of whole windows is bounded by its bytes.
+ROWS, BYTES = 5_000, 2_000_000
 
 FIELDS = {
     "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(),
@@ -178,6 +178,7 @@ class Steps:
         self.step_tokens = step_tokens
         self.waiting: dict[int, list[list[Piece]]] = defaultdict(list)
         self.rows: list[tuple] = []
+        self.held = 0
 
     def add(self, size: int, window: list[Piece]) -> None:
         self.waiting[size].append(window)
@@ -196,6 +197,7 @@ class Steps:
                 row = (p.doc, p.start, len(p.ids), p.ids.tobytes(), p.total, self.sequence, offset, size, self.group + group)
                 self.rows.append(row)
                 offset += len(p.ids)
+            self.held += 4 * offset
             self.sequence += 1
         self.group += groups
 
@@ -204,7 +206,7 @@ class Steps:
             self.flush(size)
 
     def take(self) -> list[tuple]:
-        rows, self.rows = self.rows, []
+        rows, self.rows, self.held = self.rows, [], 0
         return rows
 
 
@@ -215,8 +217,14 @@ def _batch(rows: list[tuple], kind: pa.DataType, name: str) -> pa.RecordBatch:
 
 
 def _slices(rows: list[tuple]) -> Iterator[list[tuple]]:
-    for at in range(0, len(rows), ROWS):
-        yield rows[at : at + ROWS]
+    at, size = 0, 0
+    for upto, row in enumerate(rows):
+        if upto > at and (upto - at >= ROWS or size + len(row[3]) > BYTES):
+            yield rows[at:upto]
+            at, size = upto, 0
+        size += len(row[3])
+    if at < len(rows):
+        yield rows[at:]
 
 
 def pack(
@@ -254,7 +262,7 @@ def pack(
                     for size, window in pack_tiers(pool, windows):
                         steps.add(size, window)
                     held = 0
-                if len(steps.rows) >= ROWS:
+                if steps.held >= BYTES or len(steps.rows) >= ROWS:
                     for rows in _slices(steps.take()):
                         yield _batch(rows, arrow, "id")
         if arrow is None:
