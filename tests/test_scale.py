@@ -1,11 +1,14 @@
 """The routes for large groups give the same rows as the plain ones."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate, prepare, scoring, select, spread, windows
+from tidewatch.plans import detect_queries
 
 
 @pytest.fixture(scope="module")
@@ -179,3 +182,34 @@ def test_lagged_spearman(spark, monkeypatch, decay, tile, limit):
     assert len(got) == 20
     for r in got:
         assert r["sim"] == pytest.approx(want[names.index(r["feature_i"]), names.index(r["feature_j"])], abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_node_errors_from_a_panel_made_once(spark, tmp_path, monkeypatch, limit):
+    """Sums and maxima of node errors, from one aggregation of the items, also where the fitted values are not broadcast."""
+    if limit is not None:
+        monkeypatch.setattr(spread, "LOOKUP_LIMIT", limit)
+    rows = [(1, 5.0, 100.0, 0.1, "A", "F", "1992-01-05"), (1, 7.0, 50.0, 0.2, "A", "F", "1992-01-09"),
+            (1, 2.0, 30.0, 0.0, "A", "F", "1992-02-01"), (1, 4.0, 20.0, 0.3, "N", "O", "1992-02-03"),
+            (2, 9.0, None, 0.1, "R", "F", "1993-03-01"), (None, 1.0, 2.0, 0.5, "R", "F", "1993-03-01")]
+    kind = "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, d string"
+    items = spark.createDataFrame(rows, kind).withColumn("l_shipdate", F.to_timestamp("d")).drop("d")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    cells = detect_queries.node_cells(spark, str(tmp_path))
+    assert not any("lineitem" in f for f in cells.inputFiles())
+    panels = {}
+    for s, q, p, d, a, b, day in rows:
+        t = (int(day[:4]) - 1992) * 12 + int(day[5:7]) - 1
+        for m, x in (("qty", q), ("price", p), ("disc", d)):
+            at = panels.setdefault((s, a + b, m), {})
+            at[t] = x if at.get(t) is None else at[t] + (x or 0)
+    want = {}
+    for (s, node, m), at in panels.items():
+        x = [v for v in at.values() if v is not None]
+        mean = sum(x) / len(x) if x else 0.0
+        std = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5 if x else 1.0
+        logvar = 2 * math.log(std or 1.0)
+        for t, v in at.items():
+            want[s, t, node, m] = None if v is None else round((mean - v) ** 2 / math.exp(logvar) + logvar, 6)
+    got = {(r.series_id, r.t, r.node, r.metric): r.error for r in cells.collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == cells.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.functions import losses
-from tidewatch.operators import evaluate, prepare, scoring, spread, windows
+from tidewatch.operators import evaluate, panel, prepare, scoring, spread, windows
 from tidewatch.plans import detectors, tables
 from tidewatch.plans.registry import query
 from tidewatch.plans.tables import BY, LENGTH, SHORT, WIDTH, sql, table
@@ -609,13 +609,21 @@ ns AS (SELECT series_id, t, node, round(sum(error), 6) AS score FROM ne GROUP BY
 
 
 def node_cells(spark, folder):
-    """Gaussian errors against the mean and spread of each supplier, node and metric."""
-    keys = ["series_id", "node", "metric"]
-    df = tables.node_panel(spark, folder)
-    fitted = spread.lookup_join(df, prepare.fit_moments(df, keys, ["x"]), keys)
-    logvar = 2 * F.log(F.when(F.col("std_x") == 0, 1.0).otherwise(F.col("std_x")))
-    error = losses.gaussian_nll(F.col("x"), F.col("mean_x"), logvar)
-    return fitted.select("series_id", "t", "node", "metric", F.round(error, 6).alias("error"))
+    """Gaussian errors against the mean and spread of each supplier, node and metric.
+
+    The panel is made once, and its metrics stay in one row until the errors are known, so that the sum over them
+    needs no shuffle of its own rows.
+    """
+    keys = ["series_id", "node"]
+    df = spread.durable(tables.wide_node_panel(spark, folder))
+    fitted = spread.lookup_join(df, prepare.fit_moments(df, keys, tables.METRICS), keys)
+
+    def error(m):
+        logvar = 2 * F.log(F.when(F.col(f"std_{m}") == 0, 1.0).otherwise(F.col(f"std_{m}")))
+        return F.round(losses.gaussian_nll(F.col(m), F.col(f"mean_{m}"), logvar), 6).alias(m)
+
+    errors = fitted.select("series_id", "t", "node", *[error(m) for m in tables.METRICS])
+    return panel.to_long(errors, ["series_id", "t", "node"], tables.METRICS, "metric", "error")
 
 
 def node_scores(spark, folder):

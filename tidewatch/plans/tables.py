@@ -63,11 +63,11 @@ def vector_panel(spark: SparkSession, folder: str) -> DataFrame:
     return panel.from_array(indexed, ["series_id", "t"], "embedding", WIDTH, "v")
 
 
-def node_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """One series per supplier, one step per month, nodes = return flag and line status, long metrics."""
+def wide_node_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """One series per supplier, one step per month, nodes = return flag and line status, a column per metric."""
     items = table(spark, folder, "lineitem")
     month = (F.year("l_shipdate") - 1992) * 12 + F.month("l_shipdate") - 1
-    cells = items.groupBy(
+    return items.groupBy(
         F.col("l_suppkey").alias("series_id"),
         month.cast("bigint").alias("t"),
         F.concat("l_returnflag", "l_linestatus").alias("node"),
@@ -76,7 +76,11 @@ def node_panel(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.sum("l_extendedprice"), 2).alias("price"),
         F.round(F.sum("l_discount"), 2).alias("disc"),
     )
-    return panel.to_long(cells, ["series_id", "t", "node"], METRICS, "metric", "x")
+
+
+def node_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The node panel with long metrics."""
+    return panel.to_long(wide_node_panel(spark, folder), ["series_id", "t", "node"], METRICS, "metric", "x")
 
 
 SQL = {
