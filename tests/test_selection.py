@@ -134,3 +134,33 @@ def test_thresholds_of_each_series(spark):
     cuts = spark.createDataFrame([(1, 50), (2, 90)], "series_id int, importance_percentile int")
     rows = select.assign_groups(own, scores, BY, cuts).where("kind = 'important'").groupBy("series_id").count().collect()
     assert {r["series_id"]: r["count"] for r in rows} == {s: sum(c >= np.percentile(range(1, 12), p) for c in range(1, 12)) for s, p in ((1, 50), (2, 90))}
+
+
+def test_linkage_takes_many_series_in_one_call(spark):
+    """Series with null and repeated keys, own features and thresholds, cut over batches; no group goes to Python by itself."""
+    rng, names = np.random.default_rng(2), list("abcdefg")
+    members, sim, want = [], [], {}
+    for k in [None, *range(40)]:
+        mine = sorted(rng.choice(7, rng.integers(1, 8), replace=False).tolist())
+        cut = float(rng.choice([0.3, 0.6, 0.9]))
+        members += [(k, f"x{k}" if k else None, names[i], cut) for i in mine] * (2 if k == 3 else 1)
+        dist = np.ones((7, 7))
+        for i in range(7):
+            for j in range(i):
+                if rng.random() < 0.8:
+                    dist[i, j] = dist[j, i] = 1 - (x := float(rng.random()))
+                    sim += [(k, f"x{k}" if k else None, names[a], names[b], x) for a, b in ((i, j), (j, i))]
+        found = select._average_linkage(dist[np.ix_(mine, mine)], 1 - cut)
+        want |= {(k, names[i]): int(c) for i, c in zip(mine, found)}
+    sim.append((99, "without", "a", "b", 0.9))
+    members = spark.createDataFrame(members, "k long, s string, feature string, corr_threshold double").repartition(5)
+    sim = spark.createDataFrame(sim, "k long, s string, feature_i string, feature_j string, sim double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = select.linked_members(members, sim, ["k", "s"], names)
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.feature): r.cluster for r in rows} == want and len(rows) == len(want)
+    plan = out._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and "FlatMapGroups" not in plan

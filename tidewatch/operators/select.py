@@ -296,33 +296,92 @@ def cluster_members(members: DataFrame, sim: DataFrame, by: Sequence[str], featu
     """(by, feature, cluster, medoid) of the features that each series has.
 
     ``members`` has (by, feature, corr_threshold): a series' own features and its threshold. Pairs without a
-    similarity have none, and a lone feature is a cluster of one. One task per series gets the distances of its
-    pairs, never its rows.
+    similarity have none, and a lone feature is a cluster of one. A task gets the distances of the
+    pairs of its series one series after the other, never their rows.
     """
     by, features = list(by), list(features)
     members, sim = spread.durable(members), spread.durable(sim)
-    place = {f: i for i, f in enumerate(features)}
-
-    def assign(key: tuple, own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        mine = sorted(set(own["feature"]), key=place.__getitem__)
-        if not mine:
-            return pd.DataFrame(columns=[*by, "feature", "cluster"])
-        n, at = len(mine), {f: i for i, f in enumerate(mine)}
-        near = pairs[pairs["feature_i"].isin(at) & pairs["feature_j"].isin(at)]
-        i, j = near["feature_i"].map(at).to_numpy(int), near["feature_j"].map(at).to_numpy(int)
-        up = i < j
-        i, j, found = i[up], j[up], near["sim"].to_numpy(float)[up]
+    return medoids(spread.durable(linked_members(members, sim, by, features)), sim, by, features)
+
+
+def linked_members(members: DataFrame, sim: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """(by, feature, cluster) by average linkage, all series of a task in one call.
+
+    Rows of a series come sorted: its features (i, -1, threshold), then its pairs (i, j, similarity).
+    """
+    names = F.array(*[F.lit(f) for f in features])
+
+    def place(c: str):
+        return (F.array_position(names, F.col(c)) - 1).cast("int")
+
+    own = members.select(*by, place("feature").alias("i"), F.lit(-1).alias("j"), F.col("corr_threshold").cast("double").alias("x"))
+    pairs = sim.select(*by, place("feature_i").alias("i"), place("feature_j").alias("j"), F.col("sim").cast("double").alias("x"))
+    rows = own.unionByName(pairs.where("i >= 0 AND i < j"))
+    rows = rows.repartition(*by) if by else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*by, "j", "i")
+    width = len(by)
+
+    def clusters(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        i, j, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        on = j < 0
+        mine = np.unique(i[on])
+        n = len(mine)
+        if not n:
+            return mine, mine
+        if mine[0] < 0:
+            raise ValueError("a series has a feature that is not among the features")
+        cut, at = 1.0 - x[on][0], np.full(len(features), -1)
+        at[mine] = np.arange(n)
+        i, j, x = at[i[~on]], at[j[~on]], x[~on]
+        both = (i >= 0) & (j >= 0)
+        i, j, x = i[both], j[both], x[both]
         dist = np.ones(n * (n - 1) // 2)
-        dist[i * (2 * n - i - 1) // 2 + j - i - 1] = np.clip(1.0 - found, 0.0, 1.0)
-        out = pd.DataFrame({"feature": mine, "cluster": linked_clusters(dist, n, 1.0 - own["corr_threshold"].iloc[0])})
-        for k, v in zip(by, key):
-            out[k] = v
-        return out[[*by, "feature", "cluster"]]
-
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sim.schema if f.name in by)
-    grouped = members.groupBy(*by).cogroup(sim.groupBy(*by))
-    clustered = spread.durable(grouped.applyInPandas(assign, f"{types}, feature string, cluster int"))
-    return medoids(clustered, sim, by, features)
+        dist[i * (2 * n - i - 1) // 2 + j - i - 1] = np.clip(1.0 - x, 0.0, 1.0)
+        return mine, linked_clusters(dist, n, cut)
+
+    def same(a: tuple, b: tuple) -> bool:
+        return a == b or all(p == q or (p != p and q != q) for p, q in zip(a, b, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, kinds = None, [], []
+        done: list[tuple] = []
+
+        def close() -> None:
+            if held:
+                done.append((last, *clusters(held)))
+                held.clear()
+
+        def flush() -> pa.RecordBatch:
+            many = [len(m) for _, m, _ in done]
+            keys = [pa.array([k[c] for (k, _, _), n in zip(done, many, strict=True) for _ in range(n)], kinds[c]) for c in range(width)]
+            out = [
+                pa.array([features[p] for _, m, _ in done for p in m.tolist()], pa.string()),
+                pa.array([int(c) for _, _, cs in done for c in cs], pa.int32()),
+            ]
+            done.clear()
+            return pa.RecordBatch.from_arrays([*keys, *out], [*by, "feature", "cluster"])
+
+        for batch in batches:
+            kinds = [batch.column(c).type for c in range(width)]
+            keys = list(zip(*[batch.column(c).to_pylist() for c in range(width)], strict=True)) if by else [()] * batch.num_rows
+            i, j, x = (batch.column(width + c).to_numpy(zero_copy_only=False) for c in range(3))
+            at = 0
+            while at < len(keys):
+                upto = at + 1
+                while upto < len(keys) and same(keys[upto], keys[at]):
+                    upto += 1
+                if not held or not same(keys[at], last):
+                    close()
+                    last = keys[at]
+                held.append((i[at:upto], j[at:upto], x[at:upto]))
+                at = upto
+            yield flush()
+        close()
+        if done:
+            yield flush()
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for c in by for f in sim.schema if f.name == c)
+    return rows.mapInArrow(run, ", ".join(x for x in (types, "feature string, cluster int") if x))
 
 
 def medoids(members: DataFrame, sim: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFrame:
