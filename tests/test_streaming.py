@@ -67,3 +67,17 @@ def test_idle_keys_leave_the_state(spark, tmp_path):
     held = spark.read.format("statestore").option("path", f"{tmp_path}/out/progress").option("stateVarName", "tail").load()
     # Nine days on, both keys' earlier values are gone but for the last row's key, if it was released.
     assert held.where("key.user_id = 1").count() == 0
+
+
+def test_rows_without_a_key_stay_apart(spark, tmp_path):
+    """A null key is a key of its own, and takes no rows of others; a null tie comes first."""
+    rows = [(None if i % 5 == 0 else i % 3, i, START + timedelta(minutes=i), float(i * i % 17)) for i in range(90)]
+    rows += [(1, None, rows[40][2], 3.0), (1, 200, START + timedelta(days=1), 0.0)]
+    got = {r.event_id: r for r in run(spark, tmp_path, [rows]).collect()}
+    mine = {r[1]: r[0] for r in rows if r[1] != 200}
+    assert {i: r.user_id for i, r in got.items()} == mine
+    for user in (None, 0, 2):
+        values = [(r[1], r[3]) for r in rows if r[0] == user]
+        for at, (i, _) in enumerate(values):
+            want = float(np.var([v for _, v in values[at - 3 : at + 1]])) if at > 2 else None
+            assert got[i].score == pytest.approx(want) if want is not None else got[i].score is None

@@ -8,7 +8,7 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -144,7 +144,8 @@ def score_in_order(
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     row_kind = f"at_us bigint, {kinds}, at_value double"
     key_kind = events.schema[key].dataType.simpleString()
-    who, names, pause = key, [f.name for f in fields], int(idle.total_seconds() * 1000)
+    names, pause = [f.name for f in fields], int(idle.total_seconds() * 1000)
+    row = Row(key, "at_us", *names, "score")
 
     def runs(rows: list[tuple]) -> Iterator[list[tuple]]:
         """Rows in order, cut where nothing has come for ``idle``."""
@@ -162,21 +163,20 @@ def score_in_order(
             self.tail = handle.getValueState("tail", "v array<double>, last bigint")
             self.waiting = handle.getListState("waiting", row_kind)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            fresh = pd.concat(list(rows))
-            columns = [fresh[c].tolist() for c in ("at_us", *names, "at_value")]
-            self.waiting.appendList(list(zip(*columns, strict=True)))
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            fresh = [tuple(r[c] for c in ("at_us", *names, "at_value")) for r in rows]
+            self.waiting.appendList(fresh)
             # The watermark passes a row once it is as late as its millisecond.
-            self.handle.registerTimer(int(fresh["at_us"].min()) // 1000)
+            self.handle.registerTimer(min(r[0] for r in fresh) // 1000)
             return iter(())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
             mark = timerValues.getCurrentWatermarkInMs()
-            held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:-1])
+            held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: [(x is not None, x) for x in r[:-1]])
             ready = [r for r in held if r[0] // 1000 <= mark]
             rest = held[len(ready) :]
-            values, last = self.tail.get() if self.tail.exists() else ([], None)
-            scores: list[np.ndarray] = []
+            values, last = self.tail.get() or ([], None)
+            scores: list[float] = []
             for run in runs(ready):
                 if last is not None and run[0][0] // 1000 - last >= pause:
                     values = []
@@ -185,7 +185,7 @@ def score_in_order(
                 on = np.flatnonzero(~np.isnan(seen))
                 if len(on) >= length:
                     out[on[length - 1 :]] = np.lib.stride_tricks.sliding_window_view(seen[on], length).var(axis=1)
-                scores.append(out[len(values) :])
+                scores += out[len(values) :].tolist()
                 values, last = seen[on][len(on) - min(kept, len(on)) :].tolist(), run[-1][0] // 1000
             if last is not None and mark >= last + pause:
                 self.tail.clear()
@@ -197,16 +197,15 @@ def score_in_order(
                 self.handle.registerTimer(rest[0][0] // 1000)
             else:
                 self.waiting.clear()
-            if ready:
-                columns = dict(zip(("at_us", *names), zip(*(r[:-1] for r in ready), strict=True), strict=True))
-                yield pd.DataFrame({who: key[0], **columns, "score": np.concatenate(scores)})
+            for r, x in zip(ready, scores, strict=True):
+                yield row(key[0], *r[:-1], x)
 
         def close(self) -> None:
             pass
 
     asked = events.withWatermark(ts, late).where(F.col(ts).isNotNull())
     asked = asked.select(key, ts, F.unix_micros(ts).alias("at_us"), *names, F.col(value).cast("double").alias("at_value"))
-    scored = asked.groupBy(key).transformWithStateInPandas(
+    scored = asked.groupBy(key).transformWithState(
         InOrder(), f"{key} {key_kind}, at_us bigint, {kinds}, score double", "append", "EventTime"
     )
     return scored.select(
