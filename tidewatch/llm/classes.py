@@ -44,7 +44,7 @@ SHAPES = 128
 CLASSES = 40
 SWEEPS = 12
 # Text whose words are looked up together.
-TOGETHER = 500_000
+TOGETHER = 30_000
 # Classes of the first exchange.
 SEEDS = 16
 FREQUENT = 200_000
