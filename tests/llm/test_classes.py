@@ -112,6 +112,35 @@ def test_rare_words_have_the_class_of_their_own_bigrams(spark, monkeypatch):
     assert items[b"unseen"] == shape
 
 
+def test_texts_are_cut_into_words_twice(spark):
+    """Once to count and once to number them, not for each table of the model; a text's numbers give the items of its words."""
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, False, (t or "").encode()) for i, t in cases()]
+    schema = "id long, held_out boolean, raw binary"
+    df = spark.createDataFrame(rows, schema).mapInArrow(passed, schema)
+    model, counts = c.fit(df, "raw", items=5, classes=6)
+    assert read.value == 2 * len(rows)
+    frequent = {w: n for w, n in model.frequent.items() if n > 3}
+    texts = c.coded(df, frequent, model.ends).select("codes", "hashes", "rare", "times", "id").collect()
+    listed = [w for w in frequent if w != c.END]
+    lookup, items = c.Lookup(c.Listed(listed), model.own), c.Items(model.own)
+    raws = sorted(rows, key=repr)
+    batch = c.pa.RecordBatch.from_pylist([{"codes": bytes(r.codes), "hashes": bytes(r.hashes)} for r in texts])
+    got = np.concatenate([x[1] for x in lookup.texts(batch.slice(1))])
+    raw_of = {i: raw for i, _, raw in raws}
+    want = [items.end, *(x for r in texts[1:] for w in [*c.words_of(raw_of[r.id]), c.END] for x in [items[w]])]
+    assert got.tolist() == want
+    for r in texts:
+        rare = Counter(w for w in c.words_of(raw_of[r.id]) if w not in frequent)
+        assert dict(zip(map(bytes, r.rare), r.times, strict=True)) == rare
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, True, b"some words")], "id long, held_out boolean, raw binary")
     model, counts = c.fit(df.where("not held_out"), "raw")

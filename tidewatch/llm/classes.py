@@ -12,11 +12,14 @@ text holds keeps the item of its shape, which goes to the class of most rare tra
 smoothed with class frequencies, emissions
 by half a count for every known word of the class and one unknown word; both sum to one.
 
+Texts are cut into words twice: to count the words, and to write each text as numbers (``coded``), a frequent word as its place
+in the list and any other by its shape and 64-bit hash. Everything after reads the numbers, many texts at once.
+
 Word counts and bigrams are taken over all training texts, added up per task before they are
 shuffled. On the driver are the ``FREQUENT`` most frequent words, all of one count or none, and the
 item bigrams (at most the square of the number of items). The items of the other words lie in files of the shared folder, one
 for each range of their 64-bit hashes; a worker holds 10 bytes for each word in the ranges that it has met. Texts are scored in one
-narrow pass that knows the frequent words; the counts of all others are joined, one row per text and
+narrow pass over their numbers; the counts of words that are not frequent are joined, one row per text and
 word, and added to the text's score.
 
 Words are lower-case A-Z, cut at white space. Null and empty texts have the end as their only token. A null id
@@ -26,13 +29,14 @@ no training text every known count is 0. Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +47,8 @@ ITEMS = 1000
 SHAPES = 128
 CLASSES = 40
 SWEEPS = 12
-# Text whose words are looked up together.
-TOGETHER = 30_000
+# Text whose words are looked up together, and texts whose numbers are.
+TOGETHER, ROWS = 30_000, 512
 # Classes of the first exchange.
 SEEDS = 16
 FREQUENT = 200_000
@@ -85,7 +89,12 @@ def _rows(seen: Counter) -> pa.RecordBatch:
 
 def hashed(words: Iterable[bytes]) -> np.ndarray:
     """64-bit hashes, the same in every process."""
-    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<u8")
+    some = np.fromiter(words, object)
+    return pd.util.hash_array(some, categorize=False) if len(some) else np.zeros(0, np.uint64)
+
+
+def shape(word: bytes) -> int:
+    return zlib.crc32(word[-2:]) % SHAPES
 
 
 class Words(list):
@@ -99,6 +108,24 @@ class Words(list):
         return Words, (list(self), self.files)
 
 
+class Kept:
+    """Items of the words beyond those that are items of their own, by hash; -1 for words that were not in training."""
+
+    def __init__(self, files: dict[int, str]):
+        # Ranges rise, and so do the hashes in each.
+        kept = [common.load_arrays(files[part]) for part in sorted(files)]
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(x["h"] for x in kept)])
+        self.items = np.concatenate([np.zeros(0, np.uint16), *(x["item"] for x in kept)])
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.hashes) or not len(keys):
+            return np.full(len(keys), -1)
+        # Neighbours in order are near each other in memory.
+        some, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == some, self.items[at].astype(np.int64), -1)[back]
+
+
 class Items(dict):
     """Word -> item: own words, shapes, the end, and those that other training words have from ``rest``."""
 
@@ -108,56 +135,169 @@ class Items(dict):
         self.end = len(own) + SHAPES
         self.count = self.end + 1
         self.files = getattr(own, "files", {})
-        self.seen: tuple[np.ndarray, np.ndarray] | None = None
+        self.kept: Kept | None = None
 
-    def meet(self, texts: list[list[bytes]]) -> None:
-        """Look up all words of some texts at once."""
+    def meet(self, words: list[bytes]) -> None:
+        """Look up some words at once."""
         if len(self) >= HELD:
             self.clear()
-        new = [w for w in set().union(*texts) if w not in self]
-        if not new:
-            return
+        new = [w for w in set(words) if w not in self]
         found = np.full(len(new), -1)
         if self.files:
-            if self.seen is None:
-                # Ranges rise, and so do the hashes in each.
-                kept = [common.load_arrays(self.files[part]) for part in sorted(self.files)]
-                self.seen = np.concatenate([x["h"] for x in kept]), np.concatenate([x["item"] for x in kept])
-            hashes, items = self.seen
-            keys = hashed(new)
-            at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
-            found = np.where(hashes[at] == keys, items[at].astype(np.int64), -1)
+            self.kept = self.kept or Kept(self.files)
+            found = self.kept.of(hashed(new))
         for word, item in zip(new, found.tolist(), strict=True):
             own = self.own.get(word)
             if own is None and word == END:
                 own = self.end
             if own is None:
                 # Words that were not in training have the item of their shape.
-                own = self.count + item if item >= 0 else len(self.own) + zlib.crc32(word[-2:]) % SHAPES
+                own = self.count + item if item >= 0 else len(self.own) + shape(word)
             self[word] = own
 
     def __missing__(self, word: bytes) -> int:
-        self.meet([[word]])
+        self.meet([word])
         return self[word]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Items of a text's tokens: the end, the words, the end."""
-        return np.array([self.end, *map(self.__getitem__, words), self.end], np.int64)
 
+@dataclass
+class Vocabulary:
+    """What the training texts count up to."""
+
+    counts: DataFrame  # w, c of all words and the end
+    frequent: dict[bytes, int]
+    tokens: int
+    types: int
+    ends: int  # training texts
+
+    @property
+    def listed(self) -> list[bytes]:
+        """The frequent words in the order of their numbers."""
+        return [w for w in self.frequent if w != END]
+
+
+def vocabulary(raw: DataFrame) -> Vocabulary:
+    """Counts of the words of texts (raw)."""
+    counted_ = raw.select("raw").mapInArrow(counted, "w binary, c long")
+    counts = common.stored(counted_.groupBy("w").agg(F.sum("c").alias("c")))
+    ends = F.sum(F.when(F.col("w") == F.lit(END), F.col("c")))
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
+    frequent = dict(common.most_frequent(counts, FREQUENT))
+    return Vocabulary(counts, frequent, int(total.n or 0), int(total.v), int(total.ends or 0))
+
+
+CODED = (
+    "id {}, held_out boolean, n_tokens long, known long, part double, row long, codes binary, hashes binary, "
+    "rare array<binary>, times array<int>"
+)
+
+
+def coded(rows: DataFrame, frequent: dict[bytes, int], ends: int) -> DataFrame:
+    """Rows (id, held_out, raw) with their texts as numbers, and what the frequent words add to their scores.
+
+    ``codes`` has a 32-bit number for each word: its place among the frequent ones, or -1 less its shape. ``hashes`` are the 64-bit
+    hashes of the latter, in order; ``rare`` are these words themselves, once each, with their ``times``.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "held_out", "n_tokens", "known", "part", "row", "codes", "hashes", "rare", "times"]
+    pairs = [(w, c) for w, c in frequent.items() if w != END]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def texts_of(batch: pa.RecordBatch, column: int, known: Items) -> Iterator[list[bytes]]:
-    """The words of each text of a batch, which ``known`` has met."""
-    texts, size = [], 0
-    for value in batch.column(column):
-        raw = value.as_py() or b""
-        texts.append(words_of(raw))
-        size += len(raw)
-        if size >= TOGETHER:
-            known.meet(texts)
-            yield from texts
-            texts, size = [], 0
-    known.meet(texts)
-    yield from texts
+        numbers, row = {w: i for i, (w, _) in enumerate(pairs)}, TaskContext.get().partitionId() << 40
+        # Any negative number finds the last.
+        logs = np.log10(np.array([*(c for _, c in pairs), 0.5]) + 0.5)
+        end = float(np.log10(ends + 0.5))
+
+        def numbered(texts: list[list[bytes]]) -> Iterator[tuple]:
+            words = list(chain.from_iterable(texts))
+            codes = np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
+            value = logs[codes]
+            new = np.flatnonzero(codes < 0)
+            others = [words[i] for i in new.tolist()]
+            codes[new] = -1 - np.fromiter(map(shape, others), np.int32, len(others))
+            hashes = hashed(others)
+            edges = np.cumsum([0, *map(len, texts)])
+            inner = np.searchsorted(new, edges).tolist()
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                lo, hi = inner[i], inner[i + 1]
+                rare = Counter(others[lo:hi])
+                known = b - a - (hi - lo) + (ends > 0)
+                yield (
+                    b - a + 1, known, float(value[a:b].sum()) + end, codes[a:b].tobytes(), hashes[lo:hi].tobytes(),
+                    list(rare), list(rare.values()),
+                )
+
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                out, texts, size = [], [], 0
+                for value in batch.column(2):
+                    raw = value.as_py() or b""
+                    texts.append(words_of(raw))
+                    size += len(raw)
+                    if size >= TOGETHER:
+                        out += numbered(texts)
+                        texts, size = [], 0
+                out += numbered(texts)
+                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)]
+                arrays.insert(3, pa.array(np.arange(row, row + len(out))))
+                row += len(out)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
+
+    return common.stored(rows.select("id", "held_out", "raw").mapInArrow(run, CODED.format(kind)))
+
+
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in binary values one after the other, and how many each value has."""
+    offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+    data, size = column.buffers()[2] if len(column) else None, np.dtype(kind).itemsize
+    n = int(offsets[-1] - offsets[0]) // size
+    return np.frombuffer(data, kind, n, int(offsets[0])) if n else np.zeros(0, kind), np.diff(offsets) // size
+
+
+class Listed:
+    """Hashes and shapes of the frequent words, in the order of their numbers."""
+
+    def __init__(self, words: list[bytes]):
+        self.hashes = hashed(words)
+        self.shapes = np.fromiter(map(shape, words), np.int64, len(words))
+
+
+class Lookup:
+    """Items of coded texts. The first of the listed words are items of their own."""
+
+    def __init__(self, listed: Listed, own: list[bytes]):
+        n, files = len(own), getattr(own, "files", {})
+        self.end = n + SHAPES
+        self.kept = Kept(files) if files else None
+        others = n + listed.shapes[n:]
+        if self.kept:
+            found = self.kept.of(listed.hashes[n:])
+            others = np.where(found >= 0, self.end + 1 + found, others)
+        # Codes below 0 find shapes from the end.
+        self.table = np.concatenate([np.arange(n), others, np.arange(n + SHAPES - 1, n - 1, -1)])
+
+    def texts(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Slices of a batch that begins with codes and hashes: the slice, items, places of the words, codes, hashes.
+
+        Items begin with the end, each text's words follow, and after each text an end.
+        """
+        for start in range(0, batch.num_rows, ROWS):
+            some = batch.slice(start, ROWS)
+            codes, sizes = flat(some.column(0), "<i4")
+            hashes, _ = flat(some.column(1), "<u8")
+            items = np.full(len(codes) + some.num_rows + 1, self.end)
+            places = np.arange(len(codes)) + np.repeat(np.arange(1, some.num_rows + 1), sizes)
+            found = self.table[codes]
+            if self.kept:
+                kept = self.kept.of(hashes)
+                new = np.flatnonzero(codes < 0)[kept >= 0]
+                found[new] = self.end + 1 + kept[kept >= 0]
+            items[places] = found
+            yield some, items, places, codes, hashes
 
 
 def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -221,54 +361,63 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
-class Numbers(dict):
-    """Word -> number, in the order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _binaries(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     """A binary value from each stretch of an array between two edges."""
     offsets = (edges * data.itemsize).astype("<i4")
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
 
 
-def rest(raw: DataFrame, own: list[bytes], of: np.ndarray, classes: int) -> Words:
+def rest(texts: DataFrame, listed: Listed, own: list[bytes], of: np.ndarray, classes: int) -> Words:
     """Items of all training words that are none of their own, from their own bigrams, in files of the shared folder.
 
     A word's item tells the class (``of``, of its neighbours' items) that is most often before it, and that after it.
     """
-    spark, folder = raw.sparkSession, common.scratch(raw.sparkSession, "classes")
+    spark, folder, first = texts.sparkSession, common.scratch(texts.sparkSession, "classes"), len(own)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each rare word of a stretch of texts: its hash, the classes around it, and how often each."""
-        known, numbers, found, size = Items(own), Numbers(), [], 0
-
-        def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
-            edges = np.searchsorted(keys, np.arange(len(numbers) + 1) * 2 * classes)
-            hashes = hashed(numbers)
+        """For each word that is no item of its own: its hash, the classes around it, and how often each."""
+        known, size = Lookup(listed, own), 0
+        words, slots = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        # Frequent words are added up over the task.
+        sums = np.zeros((len(listed.hashes) - first) * 2 * classes, np.uint32)
+
+        def rows(hashes: np.ndarray, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            """``keys`` rise: a word's place in ``hashes`` times 2 * classes, and a class."""
+            edges = np.searchsorted(keys, np.arange(len(hashes) + 1) * 2 * classes)
             arrays = [
                 pa.array((hashes >> np.uint64(64 - RANGE_BITS)).astype(np.int64)), pa.array(hashes.view(np.int64)),
                 _binaries((keys % (2 * classes)).astype("<u2"), edges), _binaries(n.astype("<u4"), edges),
             ]
             return pa.RecordBatch.from_arrays(arrays, ["part", "h", "near", "n"])
 
+        def flush() -> pa.RecordBatch:
+            some, back = np.unique(np.concatenate(words), return_inverse=True)
+            keys, n = np.unique(back * 2 * classes + np.concatenate(slots), return_counts=True)
+            return rows(some, keys, n)
+
         for batch in batches:
-            for words in texts_of(batch, 0, known):
-                at = known.of(words)
-                on = np.flatnonzero((at >= len(own)) & (at < known.end))
-                if not len(on):
-                    continue
-                number = np.array([numbers[words[i - 1]] for i in on.tolist()], np.int64) * 2 * classes
-                found += [number + of[at[on - 1]], number + classes + of[at[on + 1]]]
-                size += 2 * len(on)
-                if size >= NEAR or len(numbers) >= HELD:
+            for _, items, places, codes, hashes in known.texts(batch):
+                kinds = of[items]
+                before, after = kinds[places - 1], kinds[places + 1] + classes
+                on = codes >= first
+                cells = (codes[on].astype(np.int64) - first) * 2 * classes
+                np.add.at(sums, cells + before[on], 1)
+                np.add.at(sums, cells + after[on], 1)
+                new = codes < 0
+                words += [hashes, hashes]
+                slots += [before[new], after[new]]
+                size += 2 * len(hashes)
+                if size >= NEAR:
                     yield flush()
-                    numbers, found, size = Numbers(), [], 0
+                    words, slots, size = words[:1], slots[:1], 0
         yield flush()
+        step = 20_000 * 2 * classes
+        for start in range(0, len(sums), step):
+            part = sums[start : start + step]
+            met = np.flatnonzero(part.reshape(-1, 2 * classes).any(axis=1))
+            chosen = part.reshape(-1, 2 * classes)[met].ravel()
+            keys = np.flatnonzero(chosen)
+            yield rows(listed.hashes[first + start // (2 * classes) + met], keys, chosen[keys])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sum the counts of each word, rows of a word one after the other, and write each range's items."""
@@ -297,9 +446,9 @@ def rest(raw: DataFrame, own: list[bytes], of: np.ndarray, classes: int) -> Word
                     hashes, chosen, last, sums = [], [], last[:0], sums[:0]
                 part = int(parts[at - 1])
                 ids, group = np.unique(np.asarray(rows.column(1)), return_inverse=True)
-                codes = [x.as_py() for x in rows.column(2)]
-                n = np.frombuffer(b"".join(x.as_py() for x in rows.column(3)), "<u4")
-                slot = np.repeat(group, [len(c) // 2 for c in codes]) * 2 * classes + np.frombuffer(b"".join(codes), "<u2")
+                codes, sizes = flat(rows.column(2), "<u2")
+                n, _ = flat(rows.column(3), "<u4")
+                slot = np.repeat(group, sizes) * 2 * classes + codes
                 fresh = np.bincount(slot, n, minlength=len(ids) * 2 * classes).reshape(-1, 2 * classes)
                 if len(last) and last[0] == ids[0]:
                     fresh[0] += sums[0]
@@ -313,7 +462,7 @@ def rest(raw: DataFrame, own: list[bytes], of: np.ndarray, classes: int) -> Word
             close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64())], ["part"])
 
-    sent = raw.mapInArrow(near, "part long, h long, near binary, n binary")
+    sent = texts.select("codes", "hashes").mapInArrow(near, "part long, h long, near binary, n binary")
     parts = min(1 << RANGE_BITS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     made = common.stored(sent.repartition(parts, "part").sortWithinPartitions("part", "h").mapInArrow(choose, "part long"))
     return Words(own, {r.part: f"{folder}/{r.part}" for r in made.collect()})
@@ -337,30 +486,30 @@ class Model:
 
 def fit(train: DataFrame, text: str = "text", items: int = ITEMS, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model and the table of all training counts (w, c)."""
-    raw = train.select(F.col(text).cast("binary").alias("raw"))
-    counts = common.stored(raw.mapInArrow(counted, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
-    ends = F.sum(F.when(F.col("w") == F.lit(END), F.col("c")))
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
-    top = common.most_frequent(counts, FREQUENT)
-    own = [w for w, _ in top if w != END][:items]
+    raw = train.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), F.col(text).cast("binary").alias("raw"))
+    words = vocabulary(raw)
+    return learn(coded(raw, words.frequent, words.ends), words, items, classes), words.counts
+
+
+def learn(texts: DataFrame, vocabulary: Vocabulary, items: int = ITEMS, classes: int = CLASSES) -> Model:
+    """The model of coded training texts."""
+    counts, own, listed = vocabulary.counts, vocabulary.listed[:items], Listed(vocabulary.listed)
 
     def item_pairs(known_words: list[bytes], count: int) -> np.ndarray:
         """How often an item follows another."""
 
         def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, sums = Items(known_words), np.zeros(count**2, np.int64)
+            known, sums = Lookup(listed, known_words), np.zeros(count**2, np.int64)
             for batch in batches:
-                for words in texts_of(batch, 0, known):
-                    at = known.of(words)
-                    found, n = np.unique(at[:-1] * count + at[1:], return_counts=True)
-                    sums[found] += n
+                for _, at, _, _, _ in known.texts(batch):
+                    np.add.at(sums, at[:-1] * count + at[1:], 1)
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["pair", "n"])
 
-        pairs = raw.mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = texts.select("codes", "hashes").mapInArrow(bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         # At most the square of the number of items.
         matrix = np.zeros(count**2)
-        with common.tidy(train.sparkSession):
+        with common.tidy(texts.sparkSession):
             found = pairs.toPandas()
         matrix[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy()
         return matrix.reshape(count, count)
@@ -368,7 +517,7 @@ def fit(train: DataFrame, text: str = "text", items: int = ITEMS, classes: int =
     known = Items(own)
     first = exchange(item_pairs(own, known.count), min(classes, SEEDS), SWEEPS)
     seeds = int(first.max()) + 1
-    words = rest(raw, own, first, seeds)
+    words = rest(texts, listed, own, first, seeds)
     matrix = item_pairs(words, known.count + seeds**2)
     # The end goes last, where the exchange leaves it alone.
     order = np.append(np.delete(np.arange(len(matrix)), known.end), known.end)
@@ -383,8 +532,8 @@ def fit(train: DataFrame, text: str = "text", items: int = ITEMS, classes: int =
         n, v = np.zeros((classes, SHAPES + 1), np.int64), np.zeros((classes, SHAPES + 1), np.int64)
         for batch in batches:
             found = batch.column(0).to_pylist()
-            known.meet([found])
-            plain.meet([found])
+            known.meet(found)
+            plain.meet(found)
             at = of[np.array([known[w] for w in found], np.int64)]
             shape = np.array([plain[w] for w in found], np.int64) - len(own)
             shape[(shape < 0) | (shape >= SHAPES)] = SHAPES
@@ -408,41 +557,38 @@ def fit(train: DataFrame, text: str = "text", items: int = ITEMS, classes: int =
     share = (n + 0.5) / (n.sum() + 0.5 * classes)
     transition = np.log10((joint + WEIGHT * share) / (joint.sum(axis=1, keepdims=True) + WEIGHT))
     room = np.log10(n + 0.5 * (v + 1))
-    return Model(words, dict(top), int(total.n or 0), int(total.v), int(total.ends or 0), of, transition, room), counts
+    v = vocabulary
+    return Model(words, v.frequent, v.tokens, v.types, v.ends, of, transition, room)
 
 
-PARTS = "id {}, held_out boolean, n_tokens long, known long, part double, path double, row long, rare array<binary>, times array<int>"
+SCORED = "id {}, held_out boolean, n_tokens long, known long, part double, path double, row long"
 
 
 def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Scores of rows (id, held_out, raw): the contract's columns and the perplexity."""
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "held_out", "n_tokens", "known", "part", "path", "row", "rare", "times"]
+    return score_coded(coded(rows, model.frequent, model.ends), model, counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        items, row = Items(model.own), TaskContext.get().partitionId() << 40
-        logs = {w: float(np.log10(c + 0.5)) for w, c in model.frequent.items()}
-        end = float(np.log10(model.ends + 0.5))
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                out = []
-                for words in texts_of(batch, 2, items):
-                    at = model.of[items.of(words)]
-                    path = float((model.transition[at[:-1], at[1:]] - model.room[at[1:]]).sum())
-                    found = [x for w in words if (x := logs.get(w)) is not None]
-                    rare: dict = Counter(w for w in words if w not in logs) if len(found) < len(words) else {}
-                    known = len(found) + (model.ends > 0)
-                    out.append((len(words) + 1, known, sum(found) + end, path, row, list(rare), list(rare.values())))
-                    row += 1
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-                arrays = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names)
+def score_coded(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Scores of coded rows."""
+    kind = texts.schema["id"].dataType.simpleString()
+    names = ["id", "held_out", "n_tokens", "known", "part", "path", "row"]
+    own, of, transition, room = model.own, model.of, model.transition, model.room
+    listed = Listed([w for w in model.frequent if w != END])
 
-    parts = common.stored(rows.select("id", "held_out", "raw").mapInArrow(run, PARTS.format(kind)))
-    each = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lookup(listed, own)
+        for batch in batches:
+            for some, items, _, _, _ in known.texts(batch):
+                at = of[items]
+                steps = transition[at[:-1], at[1:]] - room[at[1:]]
+                edges = np.cumsum([0, *some.column(4).to_pylist()]).tolist()
+                path = [float(steps[a:b].sum()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[2:7], pa.array(path, pa.float64()), some.column(7)], names)
+
+    asked = texts.select("codes", "hashes", "id", "held_out", "n_tokens", "known", "part", "row")
+    parts = asked.mapInArrow(run, SCORED.format(kind))
+    each = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", "x.rare", "x.times")
     least = min(model.frequent.values(), default=None)
     others = counts if least is None else counts.where(F.col("c") < least)
     looked = each.join(others.withColumnRenamed("w", "rare"), "rare", "left")
@@ -450,7 +596,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("seen"),
     )
-    joined = parts.drop("rare", "times").join(sums, "row", "left")
+    joined = parts.join(sums, "row", "left")
     counts_part = F.col("part") + F.coalesce("more", F.lit(0.0))
     total = counts_part + F.col("path")
     return joined.select(
@@ -465,5 +611,7 @@ def op3_brown(spark: SparkSession, folder: str) -> DataFrame:
     documents = common.table(spark, folder, "documents")
     held_out = common.remainder("doc_id", 5) == 1
     rows = documents.select(F.col("doc_id").alias("id"), held_out.alias("held_out"), F.col("text").cast("binary").alias("raw"))
-    model, counts = fit(rows.where("not held_out"), "raw")
-    return score(rows, model, counts).withColumnRenamed("id", "doc_id")
+    words = vocabulary(rows.where("not held_out"))
+    texts = coded(rows, words.frequent, words.ends)
+    model = learn(texts.where("not held_out"), words)
+    return score_coded(texts, model, words.counts).withColumnRenamed("id", "doc_id")
