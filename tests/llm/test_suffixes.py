@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import suffixes as s
 
@@ -73,6 +74,20 @@ def test_levels_merge_like_a_counter(spark):
     index.drop()
 
 
+def test_a_carry_is_one_write(spark):
+    """A batch that takes several levels along writes them once, and its scan leaves a file for each bucket at most."""
+    rows = spark.createDataFrame([(i, "abc" * i) for i in range(60)], "doc_id long, text string")
+    keyed = s.with_key(rows, "doc_id", "text")
+    index = s.SuffixIndex(spark, 3)
+    for _ in range(4):
+        index.add(s.contexts(keyed, 40))
+    assert index.made == 6 and [rank for rank, _ in index.levels] == [2]
+    assert all(len(found.inputFiles()) <= 3 for found in index.shared)
+    total = spark.table(index.levels[0][1]).agg(F.sum("n")).first()[0]
+    assert total == 4 * s.contexts(keyed, 40).agg(F.sum("n")).first()[0]
+    index.drop()
+
+
 def test_empty_and_whole_characters(spark):
     df = spark.createDataFrame([(1, "é" * 300, "a"), (2, "é" * 300, "b")], "doc_id long, text string, kept string")
     assert s.cut_repeats(df.limit(0), length=41).count() == 0

@@ -11,7 +11,7 @@ neighbours. Equal contexts are one row with a count, which is why a text or pass
 of the rows share stays small. A new batch of documents becomes an array of its own, is merge-scanned
 against every level for shared suffixes (joins of equally bucketed tables: nothing is shuffled), and
 then levels of equal rank merge, as the digits of a binary counter carry, so that each row is
-rewritten log2(batches) times.
+rewritten log2(batches) times at most.
 
 A context that occurs twice makes all its bytes repeats. A context that occurs once but shares its
 anchor string with others is compared string by string (64-bit hashes of all its strings, under the
@@ -231,13 +231,20 @@ class SuffixIndex:
         found = own.where("twice").select("head", "h")
         for _, level in self.levels:
             found = found.union(own.select("head", "h").join(self.spark.table(level), ["head", "h"], "left_semi"))
-        self.shared.append(common.stored(found))
+        # One file for each bucket, not for each bucket and level.
+        self.shared.append(common.stored(found.coalesce(self.buckets)))
+        merged = [name]
         while self.levels and self.levels[-1][0] == rank:
-            _, other = self.levels.pop()
-            merged = self._write(self.spark.table(other).union(self.spark.table(name)))
-            self._drop(other)
-            self._drop(name)
-            name, rank = merged, rank + 1
+            merged.append(self.levels.pop()[1])
+            rank += 1
+        if len(merged) > 1:
+            # All levels that a carry takes along are written once.
+            rows = new
+            for other in merged[1:]:
+                rows = rows.union(self.spark.table(other))
+            name = self._write(rows)
+            for other in merged:
+                self._drop(other)
         self.levels.append((rank, name))
 
     def matches(self) -> DataFrame:
