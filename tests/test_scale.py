@@ -86,6 +86,15 @@ def test_lookup_join_salted(hot):
         assert rows(plain) == rows(salted)
 
 
+def test_salted_copies_are_not_broadcast(hot):
+    """The copies' files may be small, though they were too many rows to broadcast even once."""
+    df, _ = hot
+    stats = df.groupBy("series_id").agg(F.avg("x").alias("m"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plan = spread.lookup_join(df, stats, BY, how, limit=0)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bucket_running(hot):
     df, pdf = hot
     got = spread.bucket_running(df, BY, {"s": F.col("x")}, {"m": F.col("x")}, size=16).toPandas()

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import select, selection
+from tidewatch.operators import select, selection, spread
 
 BY = ["series_id"]
 NAMES = ["a", "b", "c", "d", "e", "f"]
@@ -164,3 +164,25 @@ def test_linkage_takes_many_series_in_one_call(spark):
     assert {(r.k, r.feature): r.cluster for r in rows} == want and len(rows) == len(want)
     plan = out._jdf.queryExecution().toString()
     assert "CoGroup" not in plan and "FlatMapGroups" not in plan
+
+
+def test_no_side_of_the_chain_is_broadcast_by_the_bytes_of_its_files(spark, monkeypatch):
+    """Small files may hold more rows than the driver can: beyond the lookup limit all joins are sorted ones."""
+    df, plans, durable = panel(spark), [], spread.durable
+
+    def seen(table):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return durable(table)
+
+    def found():
+        groups = selection.select_features(df, BY, NAMES, 8, max_lag=3, k=4)
+        plans.append(groups._jdf.queryExecution().executedPlan().toString())
+        return sorted(map(str, groups.collect()))
+
+    want = found()
+    monkeypatch.setattr(spread, "LOOKUP_LIMIT", 0)
+    monkeypatch.setattr(spread, "durable", seen)
+    plans.clear()
+    assert found() == want
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) > 3

@@ -390,23 +390,24 @@ def medoids(members: DataFrame, sim: DataFrame, by: Sequence[str], features: Seq
     order = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     left = members.withColumnRenamed("feature", "feature_i")
     right = members.select(*by, F.col("feature").alias("feature_j"), "cluster")
-    near = spread.join_null_safe(sim, left, [*by, "feature_i"])
-    near = spread.join_null_safe(near, right, [*by, "feature_j", "cluster"])
+    near = spread.join_null_safe(sim, left, [*by, "feature_i"], many=True)
+    near = spread.join_null_safe(near, right, [*by, "feature_j", "cluster"], many=True)
     spent = near.groupBy(*by, F.col("feature_i").alias("feature")).agg(
         F.sum(F.least(F.greatest(1 - F.col("sim"), F.lit(0.0)), F.lit(1.0))).alias("_d")
     )
-    totals = spread.join_null_safe(members, spent, [*by, "feature"], "left")
+    totals = spread.join_null_safe(members, spent, [*by, "feature"], "left", many=True)
     best = totals.groupBy(*by, "cluster").agg(
         F.min_by("feature", F.struct(F.round(F.coalesce("_d", F.lit(0.0)), 12), order)).alias("medoid")
     )
-    return spread.join_null_safe(members, best, [*by, "cluster"]).select(*by, "feature", "cluster", "medoid")
+    found = spread.join_null_safe(members, best, [*by, "cluster"], many=True)
+    return found.select(*by, "feature", "cluster", "medoid")
 
 
 def cluster_importance(clusters: DataFrame, importance: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, cluster, medoid, importance) from the importance of each medoid."""
     by = list(by)
     reps = clusters.select(*by, "cluster", "medoid").distinct()
-    return spread.join_null_safe(reps, importance.withColumnRenamed("feature", "medoid"), [*by, "medoid"])
+    return spread.join_null_safe(reps, importance.withColumnRenamed("feature", "medoid"), [*by, "medoid"], many=True)
 
 
 # ---- importance -----------------------------------------------------------------------
@@ -508,7 +509,7 @@ def _with_sentinels(groups: DataFrame, sentinel: DataFrame | None, by: Sequence[
     if sentinel is None:
         return groups
     last = groups.groupBy(*by).agg((F.max("grp") + 1).alias("_next"))
-    extra = spread.join_null_safe(sentinel.select(*by, "feature"), last, list(by), "left")
+    extra = spread.join_null_safe(sentinel.select(*by, "feature"), last, list(by), "left", many=True)
     extra = extra.select(
         *by, "feature", F.coalesce("_next", F.lit(0)).cast("int").alias("grp"), F.lit("sentinel").alias("kind")
     )
@@ -518,7 +519,7 @@ def _with_sentinels(groups: DataFrame, sentinel: DataFrame | None, by: Sequence[
 def _above_own(importance: DataFrame, percentiles: DataFrame, by: list[str]) -> DataFrame:
     """Marks as ``_high`` what is at or above its series' own percentile; the clusters of a series are few."""
     ordered = importance.groupBy(*by).agg(F.array_sort(F.collect_list("importance")).alias("_all"))
-    ordered = spread.join_null_safe(ordered, percentiles.select(*by, "importance_percentile"), by)
+    ordered = spread.join_null_safe(ordered, percentiles.select(*by, "importance_percentile"), by, many=True)
     at = (F.size("_all") - 1) * F.col("importance_percentile") / 100
     lo, hi = (F.get("_all", f(at).cast("int")) for f in (F.floor, F.ceil))
     # As numpy's percentile does it.
@@ -558,7 +559,7 @@ def assign_groups(
         F.when(F.col("_high"), F.col("_place")).otherwise(F.col("_n_high")).cast("int").alias("grp"),
         F.when(F.col("_high"), "important").otherwise("catch_all").alias("kind"),
     )
-    groups = spread.join_null_safe(members, placed, [*by, "cluster"]).select(*by, "feature", "grp", "kind")
+    groups = spread.join_null_safe(members, placed, [*by, "cluster"], many=True).select(*by, "feature", "grp", "kind")
     return _with_sentinels(groups, sentinel, by)
 
 

@@ -23,8 +23,8 @@ def own_features(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> D
     verdicts = prepare.static_features(df, by, features)
     flags = prepare.two_valued(df, by, features)
     there = prepare.stat_rows(prepare.fit_range(df, by, features), by, features, ["min"]).where("min IS NOT NULL")
-    both = spread.join_null_safe(verdicts, flags, [*by, "feature"])
-    return spread.join_null_safe(both, there.select(*by, "feature"), [*by, "feature"], "left_semi")
+    both = spread.join_null_safe(verdicts, flags, [*by, "feature"], many=True)
+    return spread.join_null_safe(both, there.select(*by, "feature"), [*by, "feature"], "left_semi", many=True)
 
 
 class _Shape:
@@ -102,7 +102,9 @@ def own_importance(
     """
     by, features = list(by), list(features)
     place = F.create_map(*[v for i, f in enumerate(features) for v in (F.lit(f), F.lit(i))])
-    scales = spread.join_null_safe(members.select(*by, "feature"), prepare.median_iqr(df, by, features), [*by, "feature"])
+    scales = spread.join_null_safe(
+        members.select(*by, "feature"), prepare.median_iqr(df, by, features), [*by, "feature"], many=True
+    )
     at = place[F.col("feature")].alias("at")
     entry = F.struct(at, F.col("median").cast("double").alias("median"), F.col("iqr").cast("double").alias("iqr"))
     used = scales.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("e"))
@@ -111,7 +113,7 @@ def own_importance(
     windows_ = F.col("n") - length + 1
     cut = (windows_ - F.greatest(F.lit(1).cast("bigint"), F.bround(windows_ * F.lit(share), 0).cast("bigint"))).alias("cut")
     salt = F.xxhash64(*by, F.lit(seed)).alias("salt")
-    context = spread.join_null_safe(used, sizes, by).select(*by, "use", "middle", "range", "n", cut, salt)
+    context = spread.join_null_safe(used, sizes, by, many=True).select(*by, "use", "middle", "range", "n", cut, salt)
     context = spread.durable(context)
     fit = context.where("cut >= 1")
 
@@ -168,9 +170,8 @@ def own_importance(
 
     scored = dealt.mapInArrow(model, f"{kinds}, at int, importance double")
     scored = scored.select(*by, F.get(names, F.col("at")).alias("feature"), "importance")
-    return spread.join_null_safe(members.select(*by, "feature"), scored, [*by, "feature"], "left").select(
-        *by, "feature", "importance"
-    )
+    found = spread.join_null_safe(members.select(*by, "feature"), scored, [*by, "feature"], "left", many=True)
+    return found.select(*by, "feature", "importance")
 
 
 def select_features(

@@ -247,10 +247,15 @@ def stored_bytes(df: DataFrame) -> int:
     return total
 
 
-def join_null_safe(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys meet null keys; the columns of ``on`` come from ``df``."""
+def join_null_safe(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", many: bool = False) -> DataFrame:
+    """Equi-join in which null keys meet null keys; the columns of ``on`` come from ``df``.
+
+    With ``many`` no side is broadcast: Spark goes by the bytes of files, and a few MB of them may hold millions of rows.
+    """
     keys = {c: f"_on_{c}" for c in on}
     renamed = small.withColumnsRenamed(keys)
+    if many:
+        renamed = renamed.hint("merge")
     same = F.lit(True)
     for c, k in keys.items():
         same = same & df[c].eqNullSafe(renamed[k])
@@ -280,7 +285,7 @@ def lookup_join(
         out = join_null_safe(df, F.broadcast(small), on, how)
     else:
         copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = join_null_safe(df.withColumn("_salt", salt_of(df)), copies, [*on, "_salt"], how).drop("_salt")
+        out = join_null_safe(df.withColumn("_salt", salt_of(df)), copies, [*on, "_salt"], how, many=True).drop("_salt")
     return out.drop("_one")
 
 
